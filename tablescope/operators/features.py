@@ -1,0 +1,111 @@
+"""Derived columns: calendar parts, row statistics, ratios, per-signal statistics, lags."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tablescope.functions.exprs import col
+from tablescope.functions.kinds import kinds
+from tablescope.operators.windows import lag_features
+from tablescope.options import RATIO_HINTS, Options
+from tablescope.plans.roles import Roles
+from tablescope.plans.runtime import lookup_join
+
+
+def calendar_parts(df: DataFrame, ts: str) -> DataFrame:
+    """Year, month, day, hour and weekday (Monday is 0)."""
+    c = col(ts)
+    return df.withColumns({f"{ts}_year": F.year(c), f"{ts}_month": F.month(c), f"{ts}_day": F.day(c),
+                           f"{ts}_hour": F.hour(c), f"{ts}_weekday": F.weekday(c)})
+
+
+def calendar_features(df: DataFrame, ts: str) -> DataFrame:
+    """Calendar parts plus quarter and weekend flag; columns that exist are kept."""
+    c = col(ts)
+    added = {f"{ts}_quarter": F.quarter(c), f"{ts}_is_weekend": (F.weekday(c) >= 5).cast("int")}
+    parts = calendar_parts(df.select(c), ts).columns[1:]
+    maker = {"year": F.year, "month": F.month, "day": F.day, "hour": F.hour, "weekday": F.weekday}
+    added = {**{p: maker[p[len(ts) + 1:]](c) for p in parts}, **added}
+    return df.withColumns({n: e for n, e in added.items() if n not in df.columns})
+
+
+def row_statistics(df: DataFrame, columns: Sequence[str], limit: int = 15) -> DataFrame:
+    """Mean, sample std, max, min and range across columns, skipping nulls; needs three."""
+    columns = list(columns)
+    if len(columns) < 3:
+        return df
+    used = [col(c).cast("double") for c in columns[:limit]]
+    values = F.array_compact(F.array(*used))
+    n = F.size(F.col("_v"))
+    total = F.aggregate("_v", F.lit(0.0), lambda a, x: a + x)
+    mean = F.try_divide(total, n)
+    squares = F.aggregate("_v", F.lit(0.0), lambda a, x: a + (x - F.col("_row_mean")) * (x - F.col("_row_mean")))
+    return (df.withColumn("_v", values)
+              .withColumn("_row_mean", mean)
+              .withColumn("_row_std", F.when(n > 1, F.sqrt(F.try_divide(squares, n - 1))))
+              .withColumn("_row_max", F.greatest(*used)).withColumn("_row_min", F.least(*used))
+              .withColumn("_row_range", F.col("_row_max") - F.col("_row_min"))
+              .drop("_v"))
+
+
+def ratio_pairs(columns: Sequence[str]) -> list[tuple[str, str]]:
+    """Column pairs whose ratio means something by name, two by two per hint pair at most."""
+    pairs = []
+    for top, bottom in RATIO_HINTS:
+        left = [c for c in columns if top in c.lower()][:2]
+        right = [c for c in columns if bottom in c.lower()][:2]
+        pairs += [(a, b) for a in left for b in right if a != b and (a, b) not in pairs]
+    return pairs
+
+
+def ratio_features(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``_ratio_<a>_<b>``; a zero denominator gives null."""
+    new = {f"_ratio_{a}_{b}": F.try_divide(col(a).cast("double"), col(b)) for a, b in ratio_pairs(columns)}
+    return df.withColumns({n: e for n, e in new.items() if n not in df.columns})
+
+
+def signal_statistics(df: DataFrame, signal: str, value: str) -> DataFrame:
+    """``(signal, sig_mean, sig_std, sig_min, sig_max, sig_count)``; null signals form no group."""
+    v = col(value)
+    return (df.where(col(signal).isNotNull()).groupBy(col(signal))
+              .agg(F.avg(v).alias("sig_mean"), F.stddev_samp(v).alias("sig_std"),
+                   F.min(v).alias("sig_min"), F.max(v).alias("sig_max"), F.count(v).alias("sig_count")))
+
+
+def signal_features(df: DataFrame, signal: str, value: str, opts: Options = Options()) -> DataFrame:
+    """Rows with the statistics of their signal."""
+    return lookup_join(df, signal_statistics(df, signal, value), [signal], "left", opts)
+
+
+def features(df: DataFrame, roles: Roles, opts: Options = Options(),
+             order: Sequence[str] | None = None) -> tuple[DataFrame, list[str]]:
+    """All features that apply to the table's shape; returns the frame and a log.
+
+    ``order`` gives unique ordering columns for lags; the timestamp plus all other
+    columns is used otherwise, so the result does not depend on file order.
+    """
+    if not opts.enable_features:
+        return df, []
+    start, log = set(df.columns), []
+    ts = roles.timestamp
+    has_time = ts in df.columns and kinds(df)[ts] == "datetime"
+    numbers = [c for c in roles.numbers(opts) if c in df.columns]
+    if opts.date_features and has_time:
+        df = calendar_features(df, ts)
+    if roles.shape == "wide_table":
+        df = row_statistics(df, numbers, opts.row_stat_columns)
+    df = ratio_features(df, numbers)
+    value = roles.value_num or (numbers[0] if numbers else None)
+    if roles.shape == "signal_pool" and roles.signal and (roles.value_num or roles.value) in df.columns:
+        df = signal_features(df, roles.signal, roles.value_num or roles.value, opts)
+    if roles.shape in ("signal_pool", "time_series") and has_time and value in df.columns:
+        by = [roles.signal] if roles.signal and not opts.strict_compat else []
+        sortable = [c for c, k in kinds(df).items() if k != "nested" and c not in (ts, *by)]
+        df = lag_features(df, value, list(order or [ts, *sortable]), by, opts)
+    added = [c for c in df.columns if c not in start]
+    if added:
+        log.append(f"added {len(added)} features: {', '.join(added[:6])}")
+    return df, log
