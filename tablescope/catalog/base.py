@@ -61,6 +61,12 @@ FIXTURES = {
         case when c_custkey % 4 = 0 then null else c_acctbal end as balance,
         case when c_custkey % 50 = 0 then c_acctbal end as sparse,
         case when c_custkey % 40 = 0 then null else c_nationkey end as nation from {customer}""",
+    "dirty_lines": """with base as (select l_orderkey, l_linenumber, l_shipdate,
+        case when l_orderkey % 7 = 0 then null else l_quantity end as l_quantity,
+        l_extendedprice * case when l_orderkey % 500 = 0 then -100 else 1 end as price,
+        case when l_orderkey % 40 = 0 then 'n/a' else cast(l_partkey as string) end as part_text,
+        l_returnflag from {lineitem})
+        select * from base union all select * from base where l_orderkey % 9 = 0""",
     "columns_constant": """select c_custkey, c_mktsegment, 'same' as constant_text,
         case when c_custkey % 3 = 0 then 7 end as constant_number from {customer}""",
 }

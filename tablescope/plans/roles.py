@@ -128,10 +128,12 @@ def shape_scores(df: DataFrame, opts: Options = Options()) -> DataFrame:
 
 # --------------------------------------------------------------------------- roles
 def _date_shares(df: DataFrame, texts: Sequence[str]) -> DataFrame:
+    """Cells per date layout; text too long to be a date is ruled out first."""
+    short = df.select(*[F.when(F.length(F.trim(col(c))).between(4, 40), F.trim(col(c))).alias(c) for c in texts])
     metrics = {f"d{i}": (lambda c, f=f, p=p: F.count_if(
-        F.trim(c).rlike(p) & F.try_to_timestamp(F.trim(c), F.lit(f)).isNotNull()))
+        F.when(c.rlike(p), F.try_to_timestamp(c, F.lit(f))).isNotNull()))
         for i, (p, f) in enumerate(DATE_FORMATS)}
-    return long_aggregate(df, texts, metrics)
+    return long_aggregate(short, texts, metrics)
 
 
 def column_facts(df: DataFrame, columns: Sequence[str] | None = None) -> dict[str, dict]:
@@ -158,7 +160,9 @@ def column_facts(df: DataFrame, columns: Sequence[str] | None = None) -> dict[st
             facts[r["column"]]["date"] = max(r[f"d{i}"] for i in range(len(DATE_FORMATS)))
     count_me = [c for c in flat if kind[c] != "datetime"]
     if count_me:
-        sketch = long_aggregate(df, count_me, {"k": lambda c: F.approx_count_distinct(c, 0.01)})
+        keys = df.select(*[col(c).cast("string").alias(c) for c in count_me])
+        sketch = long_aggregate(keys, count_me, {
+            "k": lambda c: F.hll_sketch_estimate(F.hll_sketch_agg(c, 12))})
         close = []
         for r in sketch.collect():
             fact = facts[r["column"]]
