@@ -359,8 +359,8 @@ def a28(spark, d):
 def box_sql(c: str, by: str = "", source: str = "t") -> str:
     g = f"{by}, " if by else ""
     using = f"join b using ({by})" if by else ", b"
-    return (f"select {g}'{c}' as \"column\", {R('q1', 4)} as q1, {R('mid', 4)} as median, {R('q3', 4)} as q3, "
-            f"{R('lo', 4)} as lower_fence, {R('hi', 4)} as upper_fence, "
+    return (f"select {g}'{c}' as \"column\", {R('q1', 6)} as q1, {R('mid', 6)} as median, {R('q3', 6)} as q3, "
+            f"{R('lo', 6)} as lower_fence, {R('hi', 6)} as upper_fence, "
             f"cast(min(case when {c} >= lo and {c} <= hi then {c} end) as double) as low_whisker, "
             f"cast(max(case when {c} >= lo and {c} <= hi then {c} end) as double) as high_whisker, "
             f"count(case when {c} < lo or {c} > hi then 1 end) as n_outliers from t {using} group by {g}q1, mid, q3, lo, hi")
@@ -374,13 +374,13 @@ def box_frame(c: str, by: str = "") -> str:
 
 @query("A29_box_stats", with_fixture("lineitem_spike", box_frame("l_extendedprice") + box_sql("l_extendedprice")))
 def a29(spark, d):
-    return rounded(explore.box_stats(fixture(spark, d, "lineitem_spike"), ["l_extendedprice"]), 4)
+    return rounded(explore.box_stats(fixture(spark, d, "lineitem_spike"), ["l_extendedprice"]), 6)
 
 
 @query("A29_box_by_group", with_fixture("lineitem_spike",
        box_frame("l_extendedprice", "l_returnflag") + box_sql("l_extendedprice", "l_returnflag")))
 def a29_group(spark, d):
-    return rounded(explore.box_stats(fixture(spark, d, "lineitem_spike"), ["l_extendedprice"], ["l_returnflag"]), 4)
+    return rounded(explore.box_stats(fixture(spark, d, "lineitem_spike"), ["l_extendedprice"], ["l_returnflag"]), 6)
 
 
 @query("A29_box_outliers", with_fixture("lineitem_spike", "select l_orderkey, l_linenumber, 'l_extendedprice' as \"column\", "
@@ -416,7 +416,7 @@ def a32(spark, d):
        f"(select distinct * from t)) from t) as n_duplicates, {R(_DIRTY_SCORE)} as quality_score"))
 def a33(spark, d):
     df = fixture(spark, d, "dirty_lines")
-    return rounded(explore.summary_card(df, 12, quality.quality_score(df)))
+    return rounded(explore.summary_card(df, 12, quality.quality(df).summary))
 
 
 @query("A34_class_imbalance", "select " + R("max(n) / cast(min(n) as double)")

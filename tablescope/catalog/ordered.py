@@ -168,7 +168,7 @@ def l7_line(spark, d):
 @query("L7_plot_box", "with t as (select * from lineitem)" + box_frame("l_extendedprice", "l_returnflag")
        + box_sql("l_extendedprice", "l_returnflag"))
 def l7_box(spark, d):
-    return rounded(explore.plot_data(table(spark, d, "lineitem"), "l_quantity", "l_extendedprice", "l_returnflag", "box", None), 4)
+    return rounded(explore.plot_data(table(spark, d, "lineitem"), "l_quantity", "l_extendedprice", "l_returnflag", "box", None), 6)
 
 
 @query("L7_plot_histogram", "with t as (select * from lineitem) " + union(

@@ -151,14 +151,16 @@ def effective_missing(df: DataFrame, roles: Roles, top: int = 15) -> DataFrame:
             .orderBy(F.desc("missing_pct"), "column").limit(top))
 
 
-def summary_card(raw: DataFrame, n_features: int, quality_score: DataFrame) -> DataFrame:
-    """One row: rows, raw columns, feature columns, mean missing %, duplicate rows, quality."""
+def summary_card(raw: DataFrame, n_features: int, summary: DataFrame) -> DataFrame:
+    """One row: rows, raw columns, feature columns, mean missing %, duplicate rows, quality.
+
+    ``summary`` is the one-row quality summary, which already counted rows and duplicates.
+    """
     miss = missing_counts(raw).agg((F.avg("ratio") * 100).alias("missing_pct"))
-    # Three one-row tables.
-    return (duplicate_counts(raw).crossJoin(F.broadcast(miss)).crossJoin(F.broadcast(quality_score))
-            .select("n_rows", F.lit(len(raw.columns)).cast("bigint").alias("raw_columns"),
-                    F.lit(n_features).cast("bigint").alias("feature_columns"), "missing_pct",
-                    "n_duplicates", "quality_score"))
+    return summary.crossJoin(F.broadcast(miss)).select(
+        F.col("total_rows").alias("n_rows"), F.lit(len(raw.columns)).cast("bigint").alias("raw_columns"),
+        F.lit(n_features).cast("bigint").alias("feature_columns"), "missing_pct",
+        F.col("duplicate_rows").alias("n_duplicates"), "quality_score")
 
 
 # ------------------------------------------------------------------ distributions

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tablescope.functions.exprs import col
 from tablescope.operators.learning import rules
 from tablescope.operators.learning.common import (Analysis, assemble, complete_cases, failed,
-                                                  fill_medians, metrics_table, standardize)
+                                                  fill_medians, metrics_table, spread, standardize)
 from tablescope.options import Options
 
 Z = "__z"
@@ -67,7 +67,7 @@ def clustering(df: DataFrame, columns: Sequence[str], key: Sequence[str] = (),
     n = data.count()
     if n < 20:
         return failed("clustering", f"too few rows: {n}")
-    data = _scaled(data, columns).persist()
+    data = spread(_scaled(data, columns)).persist()
     judge = ClusteringEvaluator(predictionCol="prediction", featuresCol="features")
     fitted, curve = {}, []
     for k in range(2, min(9, n // 5 + 2)):
@@ -96,7 +96,7 @@ def quick_clusters(df: DataFrame, columns: Sequence[str], opts: Options = Option
     Returns all rows with ``cluster`` and two principal coordinates.
     """
     columns = list(columns)[:opts.max_features]
-    data = _scaled(fill_medians(df, columns, opts), columns).persist()
+    data = spread(_scaled(fill_medians(df, columns, opts), columns)).persist()
     n = data.count()
     costs: list[tuple[int, float]] = []
     best_k, best_drop = 2, float("inf")

@@ -44,6 +44,12 @@ def complete_cases(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(*[col(c) for c in columns]).dropna(subset=columns)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for iterative fits when the input has fewer splits than the cluster."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def doubles(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.withColumns({c: col(c).cast("double") for c in columns})
 

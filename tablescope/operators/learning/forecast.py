@@ -12,7 +12,8 @@ from tablescope.functions.exprs import col
 from tablescope.functions.kinds import kinds
 from tablescope.operators.learning import rules
 from tablescope.operators.learning.common import (Analysis, assemble, failed, importance_table,
-                                                  metrics_table, model_importances, regression_metrics)
+                                                  metrics_table, model_importances, regression_metrics,
+                                                  spread)
 from tablescope.operators.windows import chronological_split, forecast_feature_names, forecast_features
 from tablescope.options import Options
 from tablescope.plans.runtime import materialize
@@ -37,7 +38,8 @@ def forecast(df: DataFrame, ts: str | None, target: str | None, order: Sequence[
     if table.count() < 20:
         return failed("forecast", "too few rows after lags")
     data = chronological_split(table, order, 1 - opts.test_fraction, opts)
-    data = assemble(data, names).withColumn("label", col(target).cast("double")).persist()
+    data = assemble(data, names).withColumn("label", col(target).cast("double"))
+    data = spread(data).persist()
     train, test = data.where("is_train"), data.where("NOT is_train")
     learners = {"Linear Regression": LinearRegression(),
                 "Gradient Boosting": GBTRegressor(maxIter=opts.boosting_rounds, maxDepth=3, stepSize=0.1,

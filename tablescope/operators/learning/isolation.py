@@ -6,7 +6,7 @@ come back as a few hundred nodes each; scoring is vectorised over all rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from math import log
 
 import numpy as np
@@ -18,8 +18,7 @@ from tablescope.functions.exprs import col, outside, row_hash
 from tablescope.functions.kinds import numeric_columns
 from tablescope.operators.learning import rules
 from tablescope.operators.learning.clusters import _coordinates, _scaled
-from tablescope.operators.learning.common import (Analysis, complete_cases, doubles, failed,
-                                                  metrics_table)
+from tablescope.operators.learning.common import Analysis, complete_cases, failed, metrics_table
 from tablescope.options import Options
 from tablescope.plans.quantiles import quantile_row
 
@@ -123,21 +122,20 @@ def score(df: DataFrame, columns: Sequence[str], nodes: DataFrame, sample: int,
     shared = df.sparkSession.sparkContext.broadcast(forest)
 
     @F.pandas_udf("double")
-    def depth_score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        for batch in batches:
-            x = np.column_stack([s.to_numpy(dtype=float) for s in batch])
-            total = np.zeros(len(x))
-            every = np.arange(len(x))
-            for feature, threshold, left, right, depth in shared.value:
-                at = np.zeros(len(x), dtype=np.int64)
-                moving = every[feature[at] >= 0]
-                while len(moving):
-                    spot = at[moving]
-                    goes = x[moving, feature[spot]] <= threshold[spot]
-                    at[moving] = np.where(goes, left[spot], right[spot])
-                    moving = moving[feature[at[moving]] >= 0]
-                total += depth[at]
-            yield pd.Series(-np.power(2.0, -total / (len(shared.value) * norm)))
+    def depth_score(*values: pd.Series) -> pd.Series:
+        x = np.column_stack([s.to_numpy(dtype=float) for s in values])
+        total = np.zeros(len(x))
+        every = np.arange(len(x))
+        for feature, threshold, left, right, depth in shared.value:
+            at = np.zeros(len(x), dtype=np.int64)
+            moving = every[feature[at] >= 0]
+            while len(moving):
+                spot = at[moving]
+                goes = x[moving, feature[spot]] <= threshold[spot]
+                at[moving] = np.where(goes, left[spot], right[spot])
+                moving = moving[feature[at[moving]] >= 0]
+            total += depth[at]
+        return pd.Series(-np.power(2.0, -total / (len(shared.value) * norm)))
 
     return df.withColumn(name, depth_score(*[col(c).cast("double") for c in columns]))
 

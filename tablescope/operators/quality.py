@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablescope.functions.exprs import col, digest, is_number, outside
+from tablescope.functions.exprs import col, digest, is_number
 from tablescope.functions.kinds import kinds, numeric_columns, text_columns
 from tablescope.operators.outliers import bounds_table, outlier_counts
 from tablescope.options import NON_NEGATIVE_HINTS, Options
 from tablescope.plans.roles import Roles, typology
+from tablescope.plans.runtime import materialize
 from tablescope.plans.stats import distinct_counts, long_aggregate, missing_counts, numeric_summary
 
 ISSUES = "category string, column string, severity string, count bigint, pct double, detail string"
@@ -96,9 +96,9 @@ def missing_issues(df: DataFrame) -> DataFrame:
         F.col("n_missing").alias("count"), pct.alias("pct"), F.lit("missing values").alias("detail"))
 
 
-def duplicate_issues(df: DataFrame) -> DataFrame:
+def duplicate_issues(counts: DataFrame) -> DataFrame:
     pct = F.col("n_duplicates") / F.col("n_rows") * 100
-    return duplicate_counts(df).where("n_duplicates > 0").select(
+    return counts.where("n_duplicates > 0").select(
         F.lit("duplicate").alias("category"), F.lit("*").alias("column"),
         F.when(pct < 5, "medium").otherwise("high").alias("severity"),
         F.col("n_duplicates").alias("count"), pct.alias("pct"), F.lit("repeated rows").alias("detail"))
@@ -130,9 +130,10 @@ def quality_outliers(df: DataFrame, opts: Options = Options()) -> DataFrame:
                     (F.col("n_outliers") / F.col("n_values") * 100).alias("pct")))
 
 
-def issues(df: DataFrame, opts: Options = Options()) -> DataFrame:
-    """All findings as one table."""
-    parts = [missing_issues(df), duplicate_issues(df), outlier_issues(df, opts), range_issues(df)]
+def issues(df: DataFrame, opts: Options = Options(), duplicates: DataFrame | None = None) -> DataFrame:
+    """All findings as one table; ``duplicates`` are counts that are already known."""
+    repeated = duplicate_counts(df) if duplicates is None else duplicates
+    parts = [missing_issues(df), duplicate_issues(repeated), outlier_issues(df, opts), range_issues(df)]
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -153,13 +154,15 @@ def quality_score(df: DataFrame, opts: Options = Options()) -> DataFrame:
 
 def quality(df: DataFrame, roles: Roles | None = None, opts: Options = Options()) -> Quality:
     """Summary, issue and profile tables of one DataFrame."""
-    found = issues(df, opts)
+    # Written once: the score, the summary and the reader all use these small tables.
+    duplicates = materialize(duplicate_counts(df))
+    found = materialize(issues(df, opts, duplicates))
     label, reason = typology(df, roles)
-    summary = (_quality_score(found, number_as_text(df)).crossJoin(F.broadcast(duplicate_counts(df)))
+    summary = (_quality_score(found, number_as_text(df)).crossJoin(F.broadcast(duplicates))
                .select(F.col("n_rows").alias("total_rows"), F.lit(len(df.columns)).alias("total_cols"),
                        "quality_score", F.col("n_duplicates").alias("duplicate_rows"),
                        F.lit(label).alias("typology"), F.lit(reason).alias("reason")))
-    return Quality(summary, found, profile(df))
+    return Quality(materialize(summary), found, profile(df))
 
 
 def overview_score(df: DataFrame, missing_weight: float = 0.5, duplicate_weight: float = 1.5) -> DataFrame:

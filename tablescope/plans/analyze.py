@@ -6,7 +6,6 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tablescope.operators import clean as cleaning
 from tablescope.operators import explore, quality
@@ -119,13 +118,12 @@ def analyze(spark: SparkSession, source: str | DataFrame, opts: Options = Option
     tables["schema"] = summary_rows(spark, roles)
     base = [roles.value_num] if roles.value_num in df.columns else []
     stats_of = [c for c in dict.fromkeys([*base, *roles.numbers(opts)[:5]]) if c in df.columns]
-    score = checked.summary.select("quality_score")
     report = Report(
         raw=raw, cleaned=df, roles=roles, quality=checked, tables=tables,
         insights=explore.insights(df, roles, opts),
         stats=explore.basic_stats(df, stats_of) if stats_of else None,
         proposals=proposals(df, roles, opts),
-        card=explore.summary_card(raw, len(df.columns), score), log=log + made)
+        card=explore.summary_card(raw, len(df.columns), checked.summary), log=log + made)
     if out_dir:
         progress("save")
         report.saved_to = write_features(df, out_dir, name)

@@ -128,9 +128,9 @@ def write_table(df: DataFrame, path: str, fmt: str = "csv", single_file: bool =
     """Write a directory of part files; one file only on request and only for small tables."""
     writer = (df.coalesce(1) if single_file else df).write.mode(mode)
     if fmt in ("csv", "tsv"):
-        # Empty text and null stay apart; embedded quotes are doubled.
+        # Embedded quotes are doubled; empty text reads back as null.
         writer.option("header", True).option("sep", "\t" if fmt == "tsv" else ",") \
-              .option("quote", '"').option("escape", '"').option("emptyValue", '""').csv(path)
+              .option("quote", '"').option("escape", '"').csv(path)
     elif fmt in ("json", "ndjson"):
         writer.option("ignoreNullFields", False).json(path)
     elif fmt == "parquet":
