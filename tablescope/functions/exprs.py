@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 # --- fixed values: text that counts as a number ------------------------------
 NUMBER_PATTERN = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+NUMBER_STARTS = tuple("0123456789+-.iI")
 INFINITY_PATTERN = r"^[+-]?(inf|infinity)$"
 
 # --- fixed values: accepted date layouts (shape of the text, Spark format) ---
@@ -43,8 +44,11 @@ def parse_number(c: Column) -> Column:
     """
     text = F.trim(c)
     infinity = F.when(text.startswith("-"), F.lit(-math.inf)).otherwise(F.lit(math.inf))
+    # Prose is ruled out by its first character, before any pattern sees the whole text.
+    first = F.substring(text, 1, 1)
     return (
-        F.when(text.rlike(NUMBER_PATTERN), text.try_cast("double"))
+        F.when(~first.isin(*NUMBER_STARTS), F.lit(None).cast("double"))
+        .when(text.rlike(NUMBER_PATTERN), text.try_cast("double"))
         .when(F.lower(text).rlike(INFINITY_PATTERN), infinity)
     )
 

@@ -18,7 +18,8 @@ from tablescope.functions.exprs import col, outside, row_hash
 from tablescope.functions.kinds import numeric_columns
 from tablescope.operators.learning import rules
 from tablescope.operators.learning.clusters import _coordinates, _scaled
-from tablescope.operators.learning.common import Analysis, complete_cases, failed, metrics_table
+from tablescope.operators.learning.common import (Analysis, complete_cases, failed, metrics_table,
+                                                  spread)
 from tablescope.options import Options
 from tablescope.plans.quantiles import quantile_row
 
@@ -147,7 +148,7 @@ def flag_anomalies(df: DataFrame, columns: Sequence[str], rate: float, opts: Opt
     """
     n = df.count()
     nodes = fit_forest(df, columns, n, opts)
-    scored = score(df, columns, nodes, min(n, opts.isolation_rows)).persist()
+    scored = score(spread(df), columns, nodes, min(n, opts.isolation_rows)).persist()
     cut = quantile_row(scored, ["score"], (rate,), opts)["score"][0]
     return scored.withColumn("is_anomaly", F.col("score") < F.lit(cut))
 

@@ -91,6 +91,7 @@ class Options:
     contamination: float = 0.1
 
     # physical limits (sizes that are checked before a strategy is chosen)
+    buffer_rows: int = 50_000        # largest table whose percentiles skip the sketch
     exact_rows: int = 2_000_000      # largest group handed to one exact-percentile buffer
     block_rows: int = 1_000_000      # rows per ordered-window block
     broadcast_rows: int = 1_000_000  # largest lookup table that is broadcast

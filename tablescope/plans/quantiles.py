@@ -1,14 +1,19 @@
 """Exact linear-interpolated quantiles that stay exact on very large groups.
 
 Spark's ``percentile`` keeps every distinct value of a group in one buffer. That is
-used while the largest group is small enough. Larger groups are narrowed first: each
-pass counts rows per cell of the current bracket (a combined, tiny aggregate) and keeps
-the cells that hold the wanted ranks, until few rows are left between the bounds.
+used while the largest group is small enough. For a large ungrouped table a sketch gives
+bounds around every wanted rank; an exact count checks them and only the few values in
+between are sorted. Where that does not settle a column, and for large groups, bounds are
+narrowed step by step: each pass counts rows per cell of the current bracket (a combined,
+tiny aggregate) and keeps the cells that hold the wanted ranks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from math import ceil, floor
+from operator import or_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,8 +21,11 @@ from pyspark.sql import functions as F
 from tablescope.functions.exprs import col
 from tablescope.options import Options
 from tablescope.plans.runtime import lookup_join, materialize
+from tablescope.plans.stats import long_aggregate
 
 CELLS = 4096
+ACCURACY = 10_000        # rank error of the sketch is one part in this many
+TARGETS_PER_PASS = 40
 _EDGE = 8e307
 
 
@@ -27,9 +35,14 @@ def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
     columns, by = list(columns), list(by)
     groups = df.groupBy(*[col(b) for b in by]).agg(F.count(F.lit(1)).alias("_n"))
     largest = groups.agg(F.max("_n")).first()[0] or 0
-    if largest <= opts.exact_rows:
-        return _one_buffer(df, columns, probs, by)
-    return _narrowed(df, columns, probs, by, opts)
+    if by and largest > opts.exact_rows:
+        return _narrowed(df, columns, probs, by, opts)
+    if not by and largest > opts.buffer_rows:
+        return _bracketed(df, columns, probs, opts)
+    # Several columns share a pass only while their buffers stay small together.
+    per_pass = max(1, 2 * opts.exact_rows // max(largest, 1))
+    parts = [_one_buffer(df, columns[i:i + per_pass], probs, by) for i in range(0, len(columns), per_pass)]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def quantile_row(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
@@ -52,6 +65,71 @@ def _one_buffer(df, columns, probs, by):
                 .select(*[col(b) for b in by], "r.*"))
 
 
+def _bracketed(df, columns, probs, opts):
+    """Ungrouped form: sketch, exact check, sort of the values near each rank."""
+    reach = 3.0 / ACCURACY
+    grid = sorted({min(max(p + d, 0.0), 1.0) for p in probs for d in (-reach, reach)})
+    sketched = long_aggregate(df, columns, {
+        "n": F.count, "lo": lambda c: F.min(c.cast("double")), "hi": lambda c: F.max(c.cast("double")),
+        "q": lambda c: F.percentile_approx(c.cast("double"), grid, ACCURACY)}).collect()
+    targets = []
+    for r in sketched:
+        for p in map(float, probs):
+            if not r["n"]:
+                continue
+            a = r["lo"] if p - reach <= 0 else r["q"][grid.index(p - reach)]
+            b = r["hi"] if p + reach >= 1 else r["q"][grid.index(p + reach)]
+            spot = (r["n"] - 1) * p
+            targets.append({"c": r["column"], "p": p, "a": a, "b": b, "lo": floor(spot), "hi": ceil(spot),
+                            "share": spot - floor(spot)})
+    value: dict[tuple[str, float], float | None] = {(r["column"], float(p)): None
+                                                    for r in sketched for p in probs if not r["n"]}
+    for start in range(0, len(targets), TARGETS_PER_PASS):
+        part = targets[start:start + TARGETS_PER_PASS]
+        x = [col(t["c"]).cast("double") for t in part]
+        counts = df.agg(*[F.count_if(v < t["a"]).alias(f"below{i}") for i, (v, t) in enumerate(zip(x, part))],
+                        *[F.count_if(v <= t["b"]).alias(f"upto{i}") for i, (v, t) in enumerate(zip(x, part))]).first()
+        near = {}
+        for i, t in enumerate(part):
+            t["below"], t["upto"] = counts[f"below{i}"], counts[f"upto{i}"]
+            if not t["below"] <= t["lo"] <= t["hi"] < t["upto"]:
+                continue
+            if t["a"] == t["b"]:
+                value[t["c"], t["p"]] = t["a"]
+            else:
+                near[i] = t
+        for i, (low, high) in _order_statistics(df, x, near, opts).items():
+            t = near[i]
+            value[t["c"], t["p"]] = low * (1 - t["share"]) + high * t["share"]
+    left = sorted({t["c"] for t in targets if (t["c"], t["p"]) not in value}, key=columns.index)
+    done = [(c, p, v) for (c, p), v in value.items() if c not in left]
+    out = df.sparkSession.createDataFrame(done, "column string, p double, value double")
+    return out.unionByName(_narrowed(df, left, probs, [], opts)) if left else out
+
+
+def _order_statistics(df, x, near, opts):
+    """The two neighbouring values per target; targets with too many values between are left out."""
+    if not near:
+        return {}
+    inside = {i: (x[i] >= t["a"]) & (x[i] <= t["b"]) for i, t in near.items()}
+    cells = F.array_compact(F.array(*[F.when(hit, F.struct(F.lit(i).alias("i"), x[i].alias("x")))
+                                      for i, hit in inside.items()]))
+    counts = (df.where(reduce(or_, inside.values())).select(F.explode(cells).alias("t")).select("t.*")
+                .groupBy("i", "x").agg(F.count(F.lit(1)).alias("m")))
+    counts = materialize(counts)
+    sizes = {r["i"]: r["k"] for r in counts.groupBy("i").agg(F.count(F.lit(1)).alias("k")).collect()}
+    fine = [i for i in near if sizes.get(i, 0) <= opts.exact_rows]
+    if not fine:
+        return {}
+    of = lambda key: F.element_at(F.create_map(*[F.lit(v) for i in fine for v in (i, near[i][key])]), F.col("i"))
+    upto = of("below") + F.sum("m").over(Window.partitionBy("i").orderBy("x"))
+    ranked = counts.where(F.col("i").isin(fine)).withColumn("upto", upto).withColumn("start", F.col("upto") - F.col("m"))
+    holds = lambda rank: (F.col("start") <= of(rank)) & (of(rank) < F.col("upto"))
+    picked = ranked.groupBy("i").agg(F.max(F.when(holds("lo"), F.col("x"))).alias("low"),
+                                     F.max(F.when(holds("hi"), F.col("x"))).alias("high"))
+    return {r["i"]: (r["low"], r["high"]) for r in picked.collect()}
+
+
 def _narrowed(df, columns, probs, by, opts):
     keys = [f"_k{i}" for i in range(len(by))]
     # Null keys travel as a struct, which compares equal to itself in a join.
