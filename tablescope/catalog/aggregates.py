@@ -64,17 +64,17 @@ SPIKE = ["l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice"]
 
 
 @query("A4_quality_outliers", with_fixture("lineitem_spike", outlier_sql(SPIKE, 2.5,
-       "'{c}' as \"column\", n as n_values, " + R("lo", 3) + " as lower, " + R("hi", 3) + " as upper, "
+       "'{c}' as \"column\", n as n_values, " + R("lo", 6) + " as lower, " + R("hi", 6) + " as upper, "
        "m as n_outliers, " + R("m * 100.0 / n") + " as pct")))
 def a4(spark, d):
-    return rounded(quality.quality_outliers(fixture(spark, d, "lineitem_spike")), lower=3, upper=3)
+    return rounded(quality.quality_outliers(fixture(spark, d, "lineitem_spike")))
 
 
 @query("A5_iqr_bounds", with_fixture("lineitem_spike", union([
-    f"select '{c}' as \"column\", n as n_values, {R('lo', 3)} as lower, {R('hi', 3)} as upper, {R('iqr', 3)} as iqr "
+    f"select '{c}' as \"column\", n as n_values, {R('lo', 6)} as lower, {R('hi', 6)} as upper, {R('iqr', 6)} as iqr "
     f"from ({fences(c, 2.5)})" for c in SPIKE])))
 def a5(spark, d):
-    return rounded(outliers.bounds_table(fixture(spark, d, "lineitem_spike"), SPIKE, "iqr", 2.5), 3)
+    return rounded(outliers.bounds_table(fixture(spark, d, "lineitem_spike"), SPIKE, "iqr", 2.5), 6)
 
 
 @query("A5_z_bounds", with_fixture("lineitem_spike", each(SPIKE,
@@ -86,9 +86,9 @@ def a5_z(spark, d):
 
 @query("A6_outlier_summary", with_fixture("lineitem_spike", outlier_sql(SPIKE, 1.5,
        "'{c}' as \"column\", m as n_outliers, " + R("m / cast(rows_ as double)", 8) + " as ratio, "
-       + R("lo", 3) + " as lower, " + R("hi", 3) + " as upper")))
+       + R("lo", 6) + " as lower, " + R("hi", 6) + " as upper")))
 def a6(spark, d):
-    return rounded(outliers.detect_outliers(fixture(spark, d, "lineitem_spike")), 3, ratio=8)
+    return rounded(outliers.detect_outliers(fixture(spark, d, "lineitem_spike")), 6, ratio=8)
 
 
 @query("A6_zscore_summary", with_fixture("lineitem_spike", union([
@@ -267,14 +267,15 @@ _SG = ["c_custkey", "balance", "sparse", "nation"]
     *[f"select case when {RATIO.format(c=c)} > 0.5 then 'high_missing' else 'mid_missing' end as kind, '{c}' as subject, "
       f"{R(RATIO.format(c=c))} as value from t having {RATIO.format(c=c)} > 0.2" for c in [*_SG, "segment"]],
     "select 'duplicate_rows', '*', cast(count(*) - (select count(*) from (select distinct * from t)) as double) from t",
-    "select 'strong_pairs', '*', cast(sum(case when abs(r) > 0.7 then 1 else 0 end) as double) from (" + union(
+    "select 'strong_pairs', '*', cast(sum(case when not isnan(r) and abs(r) > 0.7 then 1 else 0 end) as double) from (" + union(
         [f"select corr({a}, {b}) r from t" for i, a in enumerate(_SG) for b in _SG[i + 1:]]) + ") having "
-    "sum(case when abs(r) > 0.7 then 1 else 0 end) > 0",
+    "sum(case when not isnan(r) and abs(r) > 0.7 then 1 else 0 end) > 0",
     *[f"select 'high_skew', '{c}', {R(f'skewness({c})')} from t having abs(skewness({c})) > 2" for c in _SG],
     *[f"select 'constant', '{c}', 1.0 from t having count(distinct {c}) <= 1" for c in [*_SG, "segment"]]]) + ")"))
 def a23(spark, d):
     df = fixture(spark, d, "segment_gaps")
-    return rounded(explore.insights(df, rl.detect(df)))
+    roles = rl.Roles("wide_table", 1.0, numeric=tuple(_SG), categorical=("segment",))
+    return rounded(explore.insights(df, roles))
 
 
 @query("A23_insights_signals", with_fixture("signal_pool", f"""select * from (

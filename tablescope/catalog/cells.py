@@ -94,10 +94,10 @@ def treated(spark, d, action, **opts):
     return outliers.treat_outliers(df, ["l_extendedprice"], Options(outlier_action=action, **opts))[0]
 
 
-@query("P8_clip", spike(2.5, f"select l_orderkey, l_linenumber, {R('least(greatest(l_extendedprice, lo), hi)', 3)} "
+@query("P8_clip", spike(2.5, f"select l_orderkey, l_linenumber, {R('least(greatest(l_extendedprice, lo), hi)', 6)} "
                              "as l_extendedprice from t, f"))
 def p8(spark, d):
-    return rounded(treated(spark, d, "clip").select("l_orderkey", "l_linenumber", "l_extendedprice"), 3)
+    return rounded(treated(spark, d, "clip").select("l_orderkey", "l_linenumber", "l_extendedprice"), 6)
 
 
 @query("P9_flag", spike(2.5, "select l_orderkey, l_linenumber, (l_extendedprice < lo or l_extendedprice > hi) "
@@ -109,25 +109,25 @@ def p9(spark, d):
 def fitted(spark, d, action):
     df = fixture(spark, d, "lineitem_spike").select("l_orderkey", "l_linenumber", "l_extendedprice")
     params = outliers.fit_outliers(df, {"l_extendedprice": action})
-    return rounded(outliers.apply_outliers(df, params), 3)
+    return rounded(outliers.apply_outliers(df, params), 6)
 
 
 _OUT = "l_extendedprice < lo or l_extendedprice > hi"
 
 
-@query("P10_outlier_to_null", spike(1.5, f"select l_orderkey, l_linenumber, {R(f'case when {_OUT} then null else l_extendedprice end', 3)} "
+@query("P10_outlier_to_null", spike(1.5, f"select l_orderkey, l_linenumber, {R(f'case when {_OUT} then null else l_extendedprice end', 6)} "
                                          "as l_extendedprice from t, f"))
 def p10(spark, d):
     return fitted(spark, d, "remove")
 
 
-@query("P10_outlier_to_median", spike(1.5, f"select l_orderkey, l_linenumber, {R(f'case when {_OUT} then mid else l_extendedprice end', 3)} "
+@query("P10_outlier_to_median", spike(1.5, f"select l_orderkey, l_linenumber, {R(f'case when {_OUT} then mid else l_extendedprice end', 6)} "
                                            "as l_extendedprice from t, f"))
 def p10_median(spark, d):
     return fitted(spark, d, "fill_median")
 
 
-@query("P11_winsorize", spike(1.5, f"select l_orderkey, l_linenumber, {R('least(greatest(l_extendedprice, p01), p99)', 3)} "
+@query("P11_winsorize", spike(1.5, f"select l_orderkey, l_linenumber, {R('least(greatest(l_extendedprice, p01), p99)', 6)} "
                                    "as l_extendedprice from t, f"))
 def p11(spark, d):
     return fitted(spark, d, "winsorize")

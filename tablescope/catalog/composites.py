@@ -92,12 +92,12 @@ def c7(spark, d):
 
 @query("C7_outlier_fit_apply", with_fixture("lineitem_spike", ", f as (select quantile_cont(l_extendedprice, 0.25) q1, "
        "quantile_cont(l_extendedprice, 0.75) q3 from t where l_orderkey % 2 = 0) select l_orderkey, l_linenumber, "
-       + R("least(greatest(l_extendedprice, q1 - 1.5 * (q3 - q1)), q3 + 1.5 * (q3 - q1))", 3)
+       + R("least(greatest(l_extendedprice, q1 - 1.5 * (q3 - q1)), q3 + 1.5 * (q3 - q1))", 6)
        + " as l_extendedprice from t, f where l_orderkey % 2 = 1"))
 def c7_outliers(spark, d):
     df = fixture(spark, d, "lineitem_spike").select("l_orderkey", "l_linenumber", "l_extendedprice")
     params = outliers.fit_outliers(df.where("l_orderkey % 2 = 0"), {"l_extendedprice": "clip"})
-    return rounded(outliers.apply_outliers(df.where("l_orderkey % 2 = 1"), params), 3)
+    return rounded(outliers.apply_outliers(df.where("l_orderkey % 2 = 1"), params), 6)
 
 
 _HOUR = ("select event_type, date_trunc('hour', ts) as window_start, count(value) as n, " + R("avg(value)") + " as mean, "

@@ -204,8 +204,8 @@ def m13_adaptive(spark, d):
     return sets.select(_flat("items").alias("items"), "n")
 
 
-_RULES = ("select array_to_string(a.items, ' & ') as antecedent, array_to_string(b.items, ' & ') as consequent, " + R("u.support", 8)
-          + " as support, " + R("u.support / a.support", 6) + " as confidence, " + R("u.support / a.support / b.support", 6)
+_RULES = ("select array_to_string(a.items, ' & ') as antecedent, array_to_string(b.items, ' & ') as consequent, " + R("u.support", 9)
+          + " as support, " + R("u.support / a.support", 9) + " as confidence, " + R("u.support / a.support / b.support", 9)
           + " as lift from q u join q a on len(a.items) < len(u.items) and list_has_all(u.items, a.items) join q b on "
           "len(a.items) + len(b.items) = len(u.items) and list_has_all(u.items, b.items) and not list_has_any(a.items, b.items) "
           "where u.support / a.support / b.support >= 1")
@@ -214,24 +214,22 @@ _RULES = ("select array_to_string(a.items, ' & ') as antecedent, array_to_string
 @query("M13_rules", f"with {_E.format(limit='0.05')} {_RULES}")
 def m13_rules(spark, d):
     found = assoc.association_rules(assoc.frequent_itemsets(*_binned(spark, d), 0.05))
-    return rounded(found.withColumns({c: _flat(c) for c in ("antecedent", "consequent")}), support=8)
+    return rounded(found.withColumns({c: _flat(c) for c in ("antecedent", "consequent")}), 9)
 
 
 @query("L3_top_rules", f"with {_E.format(limit='0.05')} select array_to_string(a.items, ' & ') as antecedent, array_to_string(b.items, ' & ') "
-       "as consequent, " + R("u.support / a.support / b.support") + " as lift " + _RULES[_RULES.index("from q u"):]
+       "as consequent, " + R("u.support / a.support / b.support", 9) + " as lift " + _RULES[_RULES.index("from q u"):]
        + " order by u.support / a.support / b.support desc, u.support / a.support desc, a.items, b.items limit 20")
 def l3(spark, d):
     found = assoc.association_rules(assoc.frequent_itemsets(*_binned(spark, d), 0.05))
     return rounded(assoc.top_rules(found).select(_flat("antecedent").alias("antecedent"),
-                                                 _flat("consequent").alias("consequent"), "lift"))
+                                                 _flat("consequent").alias("consequent"), "lift"), 9)
 
 
 @query("M13_association")
 def m13_analysis(spark, d):
-    docs = table(spark, d, "documents")
-    found = assoc.association(docs, ["lang", "source"], ["n_chars", "doc_id"])
-    return found.metrics if found.success else spark.createDataFrame(
-        [(found.error, "failed", 1.0)], "model string, metric string, value double")
+    df = table(spark, d, "lineitem").withColumn("weight", F.col("l_quantity") * 2 + F.col("l_tax"))
+    return assoc.association(df, _CATS, ["l_quantity", "weight"]).metrics
 
 
 @query("L3_top_itemsets", f"with {_E.format(limit='0.05')} select array_to_string(items, ' & ') as items, n from q "

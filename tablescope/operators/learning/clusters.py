@@ -67,7 +67,7 @@ def clustering(df: DataFrame, columns: Sequence[str], key: Sequence[str] = (),
     n = data.count()
     if n < 20:
         return failed("clustering", f"too few rows: {n}")
-    data = spread(_scaled(data, columns)).persist()
+    data = spread(_scaled(data, columns), n).persist()
     judge = ClusteringEvaluator(predictionCol="prediction", featuresCol="features")
     fitted, curve = {}, []
     for k in range(2, min(9, n // 5 + 2)):
@@ -96,8 +96,8 @@ def quick_clusters(df: DataFrame, columns: Sequence[str], opts: Options = Option
     Returns all rows with ``cluster`` and two principal coordinates.
     """
     columns = list(columns)[:opts.max_features]
-    data = spread(_scaled(fill_medians(df, columns, opts), columns)).persist()
-    n = data.count()
+    n = df.count()
+    data = spread(_scaled(fill_medians(df, columns, opts), columns), n).persist()
     costs: list[tuple[int, float]] = []
     best_k, best_drop = 2, float("inf")
     for k in range(2, min(6, n // 10 + 2)):

@@ -16,6 +16,9 @@ from tablescope.plans.runtime import lookup_join
 from tablescope.plans.stats import long_aggregate
 
 
+SMALL_ROWS = 5_000_000
+
+
 @dataclass(frozen=True)
 class Analysis:
     """Outcome of one analysis; tables are DataFrames, names are plain text."""
@@ -44,10 +47,14 @@ def complete_cases(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(*[col(c) for c in columns]).dropna(subset=columns)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for iterative fits when the input has fewer splits than the cluster."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def spread(df: DataFrame, rows: int) -> DataFrame:
+    """Use all cores for iterative fits on small tables, which often are a single split.
+
+    Large tables keep their own splits; moving them would cost a shuffle for nothing.
+    """
+    if rows > SMALL_ROWS:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
 def doubles(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -39,7 +39,7 @@ def forecast(df: DataFrame, ts: str | None, target: str | None, order: Sequence[
         return failed("forecast", "too few rows after lags")
     data = chronological_split(table, order, 1 - opts.test_fraction, opts)
     data = assemble(data, names).withColumn("label", col(target).cast("double"))
-    data = spread(data).persist()
+    data = spread(data, n).persist()
     train, test = data.where("is_train"), data.where("NOT is_train")
     learners = {"Linear Regression": LinearRegression(),
                 "Gradient Boosting": GBTRegressor(maxIter=opts.boosting_rounds, maxDepth=3, stepSize=0.1,

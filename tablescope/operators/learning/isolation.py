@@ -148,7 +148,7 @@ def flag_anomalies(df: DataFrame, columns: Sequence[str], rate: float, opts: Opt
     """
     n = df.count()
     nodes = fit_forest(df, columns, n, opts)
-    scored = score(spread(df), columns, nodes, min(n, opts.isolation_rows)).persist()
+    scored = score(spread(df, n), columns, nodes, min(n, opts.isolation_rows)).persist()
     cut = quantile_row(scored, ["score"], (rate,), opts)["score"][0]
     return scored.withColumn("is_anomaly", F.col("score") < F.lit(cut))
 

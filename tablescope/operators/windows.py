@@ -28,11 +28,11 @@ def number_rows(df: DataFrame, order: Sequence[str], opts: Options = Options(),
     if n <= opts.block_rows:
         return df.withColumn(name, F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*keys))
                              .cast("bigint"))
-    parts = -(-n // opts.block_rows)
+    parts = min(-(-n // opts.block_rows), opts.range_partitions)
     # Range bounds come from a sample, so the partition ids are written down once.
     ranged = materialize(df.repartitionByRange(parts, *keys).withColumn("_part", F.spark_partition_id()))
     sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
-    # One row per partition: bounded by rows / block_rows.
+    # One row per partition, at most range_partitions.
     ahead = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("_part", F.coalesce(F.sum("_size").over(ahead), F.lit(0)).alias("_start"))
     local = F.row_number().over(Window.partitionBy("_part").orderBy(*keys))

@@ -94,6 +94,7 @@ class Options:
     buffer_rows: int = 50_000        # largest table whose percentiles skip the sketch
     exact_rows: int = 2_000_000      # largest group handed to one exact-percentile buffer
     block_rows: int = 1_000_000      # rows per ordered-window block
+    range_partitions: int = 20_000   # most partitions of one range sort (bounds are sampled on the driver)
     broadcast_rows: int = 1_000_000  # largest lookup table that is broadcast
     onehot_limit: int = 1_000        # widest one-hot expansion of one column
     salts: int = 16                  # copies of a lookup table in a salted join

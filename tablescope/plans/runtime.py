@@ -38,11 +38,6 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def fits(df: DataFrame, rows: int) -> bool:
-    """Whether a table has at most ``rows`` rows, reading no more than needed."""
-    return df.limit(rows + 1).count() <= rows
-
-
 def lookup_join(df: DataFrame, table: DataFrame, keys: list[str], how: str = "left",
                 opts: Options = Options(), bounded: bool = False) -> DataFrame:
     """Join rows to a one-row-per-key table.
@@ -55,7 +50,7 @@ def lookup_join(df: DataFrame, table: DataFrame, keys: list[str], how: str = "le
     if bounded:
         return df.join(F.broadcast(table), keys, how)
     table = materialize(table)
-    if fits(table, opts.broadcast_rows):
+    if table.count() <= opts.broadcast_rows:
         return df.join(F.broadcast(table), keys, how)
     salted = df.withColumn("_salt", F.pmod(row_hash(df, 7), F.lit(opts.salts)).cast("int"))
     copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(opts.salts - 1))))
