@@ -2,9 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from tablescope.catalog.base import (R, each, fixture, fixture_sql, num, query, rounded, table, union,
-                                     with_fixture)
-from tablescope.functions.exprs import col, is_number
+from tablescope.catalog.base import (R, each, fixture, fixture_sql, num, query, rounded, table, with_fixture)
+from tablescope.functions.exprs import is_number
 from tablescope.functions.text import client_key, dedup_lines
 from tablescope.operators import clean, encode, missing, outliers, quota
 from tablescope.operators.features import (calendar_features, calendar_parts, ratio_features,

@@ -9,7 +9,6 @@ from tablescope.catalog.aggregates import _DIRTY_SCORE
 from tablescope.catalog.base import R, fixture, query, rounded, scratch, table, with_fixture
 from tablescope.operators import clean, encode, missing, outliers, quality
 from tablescope.operators.features import features
-from tablescope.options import Options
 from tablescope.plans import roles as rl
 from tablescope.plans.analyze import analyze, exploration, run_analysis
 from tablescope.streaming import live

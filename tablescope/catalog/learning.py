@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tablescope.catalog.base import R, fixture, query, rounded, table, union, with_fixture
 from tablescope.operators.learning import association as assoc
 from tablescope.operators.learning import clusters, forecast, isolation, rules, supervised
-from tablescope.operators.learning.common import (complete_cases, mark_split, metrics_table, moments,
+from tablescope.operators.learning.common import (mark_split, metrics_table, moments,
                                                   regression_metrics, standardize, top_importances)
 from tablescope.operators.windows import forecast_feature_names
 from tablescope.plans import roles as rl

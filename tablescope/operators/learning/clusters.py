@@ -98,15 +98,12 @@ def quick_clusters(df: DataFrame, columns: Sequence[str], opts: Options = Option
     columns = list(columns)[:opts.max_features]
     n = df.count()
     data = spread(_scaled(fill_medians(df, columns, opts), columns), n).persist()
-    costs: list[tuple[int, float]] = []
-    best_k, best_drop = 2, float("inf")
-    for k in range(2, min(6, n // 10 + 2)):
-        cost = best_kmeans(data, k, opts.kmeans_restarts, 100, opts.seed).summary.trainingCost
-        if costs and costs[-1][1] > 0 and cost / costs[-1][1] < best_drop:
-            best_k, best_drop = k, cost / costs[-1][1]
-        costs.append((k, cost))
-    model = best_kmeans(data, best_k, opts.kmeans_restarts, 100, opts.seed)
-    labelled = model.transform(data).withColumnRenamed("prediction", "cluster")
+    fitted = {k: best_kmeans(data, k, opts.kmeans_restarts, 100, opts.seed)
+              for k in range(2, max(3, min(6, n // 10 + 2)))}
+    cost = {k: m.summary.trainingCost for k, m in fitted.items()}
+    drop = {k: cost[k] / cost[k - 1] for k in fitted if k > 2 and cost[k - 1] > 0}
+    best_k = min(drop, key=drop.get) if drop else 2
+    labelled = fitted[best_k].transform(data).withColumnRenamed("prediction", "cluster")
     return _coordinates(labelled, [*df.columns, "cluster"])
 
 

@@ -54,7 +54,8 @@ def spread(df: DataFrame, rows: int) -> DataFrame:
     """
     if rows > SMALL_ROWS:
         return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(1, min(cores, rows // 5_000)))
 
 
 def doubles(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -98,7 +98,7 @@ def _bracketed(df, columns, probs, opts):
                 value[t["c"], t["p"]] = t["a"]
             else:
                 near[i] = t
-        for i, (low, high) in _order_statistics(df, x, near, opts).items():
+        for i, (low, high) in _order_statistics(df, near, opts).items():
             t = near[i]
             value[t["c"], t["p"]] = low * (1 - t["share"]) + high * t["share"]
     left = sorted({t["c"] for t in targets if (t["c"], t["p"]) not in value}, key=columns.index)
@@ -107,15 +107,18 @@ def _bracketed(df, columns, probs, opts):
     return out.unionByName(_narrowed(df, left, probs, [], opts)) if left else out
 
 
-def _order_statistics(df, x, near, opts):
+def _order_statistics(df, near, opts):
     """The two neighbouring values per target; targets with too many values between are left out."""
     if not near:
         return {}
-    inside = {i: (x[i] >= t["a"]) & (x[i] <= t["b"]) for i, t in near.items()}
-    cells = F.array_compact(F.array(*[F.when(hit, F.struct(F.lit(i).alias("i"), x[i].alias("x")))
-                                      for i, hit in inside.items()]))
-    counts = (df.where(reduce(or_, inside.values())).select(F.explode(cells).alias("t")).select("t.*")
-                .groupBy("i", "x").agg(F.count(F.lit(1)).alias("m")))
+    names = list(dict.fromkeys(t["c"] for t in near.values()))
+    flat = df.select(*[col(c).cast("double").alias(f"_c{j}") for j, c in enumerate(names)])
+    flat = flat.unpivot([], [F.col(f"_c{j}") for j in range(len(names))], "c", "x")
+    inside = {i: (F.col("c") == f"_c{names.index(t['c'])}") & (F.col("x") >= t["a"]) & (F.col("x") <= t["b"])
+              for i, t in near.items()}
+    cells = F.array_compact(F.array(*[F.when(hit, F.lit(i)) for i, hit in inside.items()]))
+    counts = (flat.where(reduce(or_, inside.values())).select(F.explode(cells).alias("i"), "x")
+                  .groupBy("i", "x").agg(F.count(F.lit(1)).alias("m")))
     counts = materialize(counts)
     sizes = {r["i"]: r["k"] for r in counts.groupBy("i").agg(F.count(F.lit(1)).alias("k")).collect()}
     fine = [i for i in near if sizes.get(i, 0) <= opts.exact_rows]
