@@ -17,13 +17,14 @@ FIELDS_PER_PASS = 96
 
 
 def long_aggregate(df: DataFrame, columns: Sequence[str], metrics: dict[str, Metric],
-                   by: Sequence[str] = ()) -> DataFrame:
+                   by: Sequence[str] = (), weight: int = 1) -> DataFrame:
     """``metrics`` of every column as rows ``(by..., column, metric...)``.
 
     All columns share one scan and one aggregate (split only when it gets too wide);
-    the wide result is turned into rows after aggregation, when it is tiny.
+    the wide result is turned into rows after aggregation, when it is tiny. ``weight`` is
+    the number of buffer fields of a metric, for metrics that need many.
     """
-    per_pass = max(1, FIELDS_PER_PASS // max(1, len(metrics)))
+    per_pass = max(1, FIELDS_PER_PASS // max(1, weight * len(metrics)))
     out = None
     for start in range(0, len(columns), per_pass):
         part = _one_pass(df, columns[start:start + per_pass], metrics, by)
@@ -63,7 +64,7 @@ SHAPE_METRICS: dict[str, Metric] = {
 def numeric_summary(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (),
                     shape: bool = False) -> DataFrame:
     metrics = {**NUMERIC_METRICS, **SHAPE_METRICS} if shape else NUMERIC_METRICS
-    return long_aggregate(df, columns, metrics, by)
+    return long_aggregate(df, columns, metrics, by, 5 if shape else 1)
 
 
 def missing_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
