@@ -16,11 +16,12 @@ ordered sets; each set walks down the trie, shares the overlap counted for a com
 all sets below it, and leaves a subtree when the grams that remain cannot reach the
 required overlap, or when all of it is already in the walker's component.
 
-Groups of any size. First every set joins the tree of the smallest set it shares most keys
-with (split in blocks that repeat that one set). Keys whose sets are then still in several
-components get complete treatment: their sets are cut in blocks, and every pair of blocks is
-joined, except pairs inside one component. No pair list of a group is ever made, and no
-candidate is dropped.
+Groups of any size. Sets that shared keys connect form a family; a family of at most ``block``
+sets is one tree. In larger ones every set first joins the tree of the smallest set it shares
+most keys with (split in blocks that repeat that one set). Keys, or families of up to
+``FAMILY_BLOCKS`` blocks, whose sets are then still in several components get complete
+treatment: their sets are cut in blocks, and every pair of blocks is joined, except pairs
+inside one component. No pair list of a group is ever made, and no candidate is dropped.
 
 Defined results: null and empty texts have no set and are alone; equal sets are one class, so
 repeated texts cost one member; ties go to the smallest id; extra columns are ignored.
@@ -40,6 +41,12 @@ from tablescope.llm.arrays import Words, grams, pieces, text_bytes
 from tablescope.llm.common import by_ids, clean_documents, components, runs, saved, ship
 
 
+#: Shared keys that may be broadcast (about 40 bytes each).
+BROADCAST_KEYS = 500_000
+#: Families of up to this many blocks are completed as one, larger ones key by key.
+FAMILY_BLOCKS = 16
+
+
 def gram_sets(batch: pa.RecordBatch, n: int) -> Iterator[tuple[int, np.ndarray]]:
     """(row, ordered set of n-gram hashes) for each text that has a word; shorter texts are one gram."""
     buf, at = text_bytes(batch.column("text"))
@@ -252,7 +259,8 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80, block: int =
     # keys with the same members say the same: one of them stays, with their number as its weight
     shared = saved(shared.groupBy("n", "pivot", "s", "x", "top").agg(F.min("key").alias("key"), F.count("*").alias("weight"))
                    .select("key", "n", "pivot", "weight"))
-    members = saved(keyed.join(shared, "key").select("key", "n", "pivot", "weight", "rep"))
+    small_enough = shared.count() <= BROADCAST_KEYS
+    members = saved(keyed.join(F.broadcast(shared) if small_enough else shared, "key").select("key", "n", "pivot", "weight", "rep"))
     active = saved(members.select(F.col("rep").alias("doc_id")).distinct())
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,8 +273,16 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80, block: int =
 
     sets = saved(by_ids(docs, active, "left_semi").mapInArrow(sets_of, "rep long, set binary"))
 
-    # first pass: each set with the smallest set that it shares most keys with
-    votes = members.where("rep <> pivot").groupBy("rep", "pivot").agg(F.sum("weight").alias("w"))
+    # sets that shared keys connect, directly or not: a family. Small ones are one block each.
+    family = components(members.select(F.col("pivot").alias("a"), F.col("rep").alias("b")))
+    family = saved(family.select(F.col("node").alias("rep"), F.col("component").alias("family")))
+    sizes = saved(family.groupBy("family").agg(F.count("*").alias("m")))
+    family = saved(family.join(sizes, "family"))
+    whole = family.where(F.col("m") <= block).select(F.col("family").alias("block"), "rep", F.col("rep").alias("known"))
+    links = saved(_blocks(whole.join(sets, "rep").select("block", "rep", "known", "set"), percent))
+    # larger families: each set first meets the smallest set that it shares most keys with
+    wide = saved(members.join(family.where(F.col("m") > block), "rep"))
+    votes = wide.where("rep <> pivot").groupBy("rep", "pivot").agg(F.sum("weight").alias("w"))
     choice = saved(votes.groupBy("rep").agg(F.max(F.struct("w", (-F.col("pivot")).alias("p"))).alias("v"))
                    .select("rep", (-F.col("v.p")).alias("pivot")))
     parts = saved(choice.groupBy("pivot").agg(F.ceil(F.count("*") / block).alias("blocks")))
@@ -274,14 +290,14 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80, block: int =
               .select("block", "rep"))
     pivots = parts.select(F.col("pivot").alias("rep"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("k"))
     placed = placed.union(pivots.select(F.xxhash64("rep", "k").alias("block"), "rep"))
-    links = saved(_blocks(placed.join(sets, "rep").select("block", "rep", F.col("rep").alias("known"), "set"), percent))
+    links = saved(links.union(_blocks(placed.join(sets, "rep").select("block", "rep", F.col("rep").alias("known"), "set"), percent)))
     found_parts = saved(components(links))
 
-    # second pass: keys whose sets are still in several components
-    of = members.join(found_parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("known", F.coalesce("component", "rep"))
-    of = saved(of.select("key", "n", "rep", "known"))
-    open_keys = of.groupBy("key").agg(F.min("known").alias("k0"), F.max("known").alias("k1"), F.count("*").alias("n")).where("k0 < k1")
-    open_keys = saved(open_keys.select("key", F.col("n").alias("all")))
+    # then the keys (or whole families of medium size) whose sets are still in several components
+    of = wide.join(found_parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("known", F.coalesce("component", "rep"))
+    of = saved(of.select(F.when(F.col("m") <= FAMILY_BLOCKS * block, F.col("family")).otherwise(F.col("key")).alias("key"), "rep", "known").distinct())
+    open_keys = of.groupBy("key").agg(F.min("known").alias("k0"), F.max("known").alias("k1"), F.count("*").alias("all")).where("k0 < k1")
+    open_keys = saved(open_keys.select("key", "all"))
     rest = of.join(open_keys, "key")
     small = rest.where(F.col("all") <= block).select(F.col("key").alias("block"), "rep", "known")
     large = saved(rest.where(F.col("all") > block).select("key", "rep", "known"))
