@@ -3,8 +3,9 @@
 1. Texts that equal an earlier text need no suffix array: all of them is repeated.
 2. Anchors. Every run of ``length`` bytes holds the smallest of its 20-byte grams (by hash);
    equal runs choose equal anchors at equal places. So two documents share a run only if they
-   share an anchor. Documents are listed per anchor, within a task first, and only anchors in
-   two or more documents go on.
+   share an anchor, and also the 15 bytes before or after it. Documents are listed per anchor,
+   within a task first, with short prints of both sides, and only those go on that meet another
+   document there.
 3. Neighbourhoods. For each shared anchor the bytes around it that runs through the anchor can
    reach are cut from the texts; equal ones are combined with the smallest document.
 4. Suffix arrays. The distinct neighbourhoods of one anchor become an enhanced suffix array
@@ -35,6 +36,8 @@ from tablescope.llm.arrays import byte_grams, pieces, sliding, text_bytes
 from tablescope.llm.common import by_ids, clean_documents, runs, saved, ship
 
 GRAM = 20
+#: Where a document meets an anchor, with a short print of the bytes before and after it.
+MET = np.dtype([("doc", "<i8"), ("before", "<u2"), ("after", "<u2")])
 #: Distinct neighbourhoods of an anchor that are sorted in one task; more take the route by single runs.
 GROUP = 2000
 
@@ -59,14 +62,18 @@ def anchors(buf: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, n
     return np.searchsorted(at, chosen, "right") - 1, chosen, hashes[chosen]
 
 
-def combine(keys: list, *rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order that sorts by the keys (first is most significant), and where each new first-key run begins."""
-    order = np.lexsort([*rest[::-1], *keys[::-1]])
-    change = np.zeros(len(order), bool)
-    change[:1] = True
-    for k in keys:
-        change[1:] |= k[order][1:] != k[order][:-1]
-    return order, np.flatnonzero(change)
+def sides(buf: np.ndarray, at: np.ndarray, text: np.ndarray, place: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Prints of the bytes before and after each anchor, 0 where the text has too few.
+
+    A run of ``length`` bytes through the anchor takes half of what is left of it, or more, from one side.
+    """
+    half = (length - GRAM + 1) // 2
+    prints = (byte_grams(buf, half) >> np.uint64(48)).astype(np.uint16) | np.uint16(1)
+    none = np.uint16(0)
+    before, after = place - half, place + GRAM
+    last = max(len(prints) - 1, 0)
+    return (np.where(before >= at[text], prints[np.clip(before, 0, last)], none),
+            np.where(after + half <= at[text + 1], prints[np.clip(after, 0, last)], none))
 
 
 def lists(values: np.ndarray, begins: np.ndarray) -> pa.Array:
@@ -139,39 +146,50 @@ def repeated_spans(docs: DataFrame, length: int = 50) -> DataFrame:
         for batch in batches:
             for part in pieces(batch):
                 buf, at = text_bytes(part.column("text"))
-                text, _, value = anchors(buf, at, length)
-                ids = part.column("doc_id").to_numpy()[text]
-                order, _ = combine([value, ids])
-                value, ids = value[order], ids[order]
-                once = np.concatenate([[True], (value[1:] != value[:-1]) | (ids[1:] != ids[:-1])])[: len(value)]
-                value, ids = value[once], ids[once]
-                begins = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))[: len(value)]
-                yield pa.RecordBatch.from_pydict({"anchor": value[begins].view(np.int64), "ids": lists(ids, begins)})
+                text, place, value = anchors(buf, at, length)
+                if not len(value):
+                    continue
+                met = np.empty(len(value), MET)
+                met["doc"] = part.column("doc_id").to_numpy()[text]
+                met["before"], met["after"] = sides(buf, at, text, place, length)
+                order = np.lexsort((met["after"], met["before"], met["doc"], value))
+                value, met = value[order], met[order]
+                once = np.concatenate([[True], (value[1:] != value[:-1]) | (met[1:] != met[:-1])])
+                value, met = value[once], met[once]
+                begins = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
+                yield pa.RecordBatch.from_pydict({"anchor": value[begins].view(np.int64), "ids": lists(met, begins)})
+
+    def several_docs(value: np.ndarray, side: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """Whether another document meets the same anchor with the same print on this side."""
+        order = np.lexsort((doc, side, value))
+        v, s, d = value[order], side[order], doc[order]
+        begins = np.flatnonzero(np.concatenate([[True], (v[1:] != v[:-1]) | (s[1:] != s[:-1])]))
+        ends = np.concatenate([begins[1:], [len(v)]])
+        found = np.repeat(d[begins] != d[ends - 1], ends - begins) & (s > 0)
+        out = np.zeros(len(v), bool)
+        out[order] = found
+        return out
 
     def shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        goes_on = None
         for table, is_open in runs(batches, "anchor", GROUP):
             table = table.combine_chunks()
             anchor = table.column("anchor").to_numpy()
             if not len(anchor):
                 continue
-            column = pa.concat_arrays(table.column("ids").chunks)
-            raw, at = text_bytes(column)
-            ids, counts = np.frombuffer(raw.tobytes(), np.int64), np.diff(at) // 8
-            value = np.repeat(anchor, counts)
+            raw, at = text_bytes(pa.concat_arrays(table.column("ids").chunks))
+            met, counts = np.frombuffer(raw.tobytes(), MET), np.diff(at) // MET.itemsize
+            value, doc = np.repeat(anchor, counts), met["doc"].astype(np.int64)
             begins = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
             size = np.diff(np.concatenate([begins, [len(value)]]))
-            several = np.repeat(size > 1, size)
-            if is_open or goes_on == anchor[0]:
-                several[:] = True
-            goes_on = anchor[-1] if is_open else None
+            goes_on = np.ones(len(value), bool) if is_open else (
+                several_docs(value, met["before"], doc) | several_docs(value, met["after"], doc))
             hot = np.repeat(size > GROUP, size) | is_open
-            yield pa.RecordBatch.from_pydict({"doc_id": ids[several], "anchor": value[several], "hot": hot[several]})
+            yield pa.RecordBatch.from_pydict({"doc_id": doc[goes_on], "anchor": value[goes_on], "hot": hot[goes_on]})
 
     listed = texts.mapInArrow(list_anchors, "anchor long, ids binary")
     hits = (listed.repartition("anchor").sortWithinPartitions("anchor")
             .mapInArrow(shared_anchors, "doc_id long, anchor long, hot boolean"))
-    by_doc = saved(hits.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "hot")).alias("hits"))
+    by_doc = saved(hits.groupBy("doc_id").agg(F.collect_set(F.struct("anchor", "hot")).alias("hits"))
                    .select("doc_id", F.col("hits.anchor").alias("anchors"), F.col("hits.hot").alias("hot")))
     holders = saved(by_doc.select("doc_id"))
     around = by_ids(texts, holders, "left_semi").join(by_doc, "doc_id")
@@ -211,8 +229,8 @@ def repeated_spans(docs: DataFrame, length: int = 50) -> DataFrame:
     near = saved(around.mapInArrow(neighbourhoods, "anchor long, hot boolean, around binary, shift int, doc_id long, place long"))
 
     # equal neighbourhoods: all but those of the smallest document are repeats as a whole
-    kinds = near.groupBy("anchor", "shift", "around").agg(F.min("doc_id").alias("low"), F.max("hot").alias("hot"),
-                                                          F.xxhash64("anchor", "shift", "around").alias("kind"))
+    kinds = saved(near.groupBy("anchor", "shift", "around").agg(F.min("doc_id").alias("low"), F.max("hot").alias("hot"),
+                                                                F.xxhash64("anchor", "shift", "around").alias("kind")))
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, _ in runs(batches, "anchor"):
