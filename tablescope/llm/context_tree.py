@@ -35,7 +35,7 @@ from tablescope.llm.arrays import LOWER, Words, pieces, text_bytes
 from tablescope.llm.common import clean_documents, runs, saved, ship
 
 DEPTH = 6
-CONTEXTS = 250_000
+CONTEXTS = 100_000
 COMMON = 1 << 17
 SPACE, END = 0x20, 0x0A
 #: Entries that a counting task holds before it hands them on.
@@ -273,13 +273,18 @@ def fit(counts: DataFrame) -> dict[str, np.ndarray]:
                 else:
                     level_contexts, escape = level.escapes(shorter)
                 mark = d << 56
-                yield pa.RecordBatch.from_pydict({"kind": np.zeros(len(level.p), np.int32), "key": mark | (level.contexts << 8) | level.symbols, "log": np.log10(level.p)})
-                yield pa.RecordBatch.from_pydict({"kind": np.ones(len(escape), np.int32), "key": mark | level_contexts, "log": escape})
+                yield pa.RecordBatch.from_pydict({"kind": np.zeros(len(level.p), np.int32), "key": mark | (level.contexts << 8) | level.symbols, "log": np.log10(level.p).astype(np.float32)})
+                yield pa.RecordBatch.from_pydict({"kind": np.ones(len(escape), np.int32), "key": mark | level_contexts, "log": escape.astype(np.float32)})
 
-    found = trees.mapInArrow(second_pass, "kind int, key long, log double").toPandas()
-    pairs, escapes = found[found["kind"] == 0].sort_values("key"), found[found["kind"] == 1].sort_values("key")
-    return {"keys": np.concatenate([root.symbols, pairs["key"].to_numpy()]), "logs": np.concatenate([np.log10(root.p), pairs["log"].to_numpy()]),
-            "contexts": np.concatenate([[0], escapes["key"].to_numpy()]), "escapes": np.concatenate([root_escape, escapes["log"].to_numpy()])}
+    # bounded by CONTEXTS; comes as Arrow columns
+    found = trees.mapInArrow(second_pass, "kind int, key long, log float").toArrow()
+    kind, key, log = (found.column(c).to_numpy() for c in ("kind", "key", "log"))
+    del found
+    order = np.argsort(key, kind="stable")
+    kind, key, log = kind[order], key[order], log[order]
+    pairs, escapes = kind == 0, kind == 1
+    return {"keys": np.concatenate([root.symbols, key[pairs]]), "logs": np.concatenate([np.log10(root.p).astype(np.float32), log[pairs]]),
+            "contexts": np.concatenate([[0], key[escapes]]), "escapes": np.concatenate([root_escape.astype(np.float32), log[escapes]])}
 
 
 def _escape_to_root(level: Level, root: Level) -> tuple[np.ndarray, np.ndarray]:
@@ -329,8 +334,8 @@ def score(docs: DataFrame, train: str = "true") -> DataFrame:
     counts = saved(gather(docs.where(train)))
     tokens = counts.where("kind = 0")
     n, v = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    common = tokens.orderBy(F.col("n").desc(), "key").limit(COMMON).select("key", "n").toPandas().sort_values("key")
-    model = spark.sparkContext.broadcast({**fit(counts), "words": common["key"].to_numpy(np.int64), "counts": common["n"].to_numpy(np.int64)})
+    common = tokens.orderBy(F.col("n").desc(), "key").limit(COMMON).select("key", "n").toArrow().sort_by("key")
+    model = spark.sparkContext.broadcast({**fit(counts), "words": common.column("key").to_numpy(), "counts": common.column("n").to_numpy()})
 
     def measure(batches: Iterator[pa.RecordBatch], rare: bool) -> Iterator[pa.RecordBatch]:
         m = model.value
