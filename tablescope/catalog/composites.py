@@ -15,7 +15,9 @@ from tablescope.streaming import live
 
 
 def counts(tables: dict[str, DataFrame]) -> DataFrame:
-    """``(name, n)``, one job per table."""
+    """``(name, n)``, one job per table; a table that failed is an error here."""
+    if "_errors" in tables:
+        raise RuntimeError(f"tables failed: {tables['_errors'].collect()}")
     parts = [df.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n")) for name, df in tables.items()]
     return reduce(DataFrame.unionByName, parts)
 
@@ -74,7 +76,9 @@ def c6(spark, d):
     roles = rl.detect(df)
     kinds = ("clustering", "association", "anomaly")
     found = [run_analysis(df, roles, k, key=["c_custkey"] if k == "anomaly" else ()) for k in kinds]
-    return reduce(DataFrame.unionByName, [f.metrics for f in found if f.success])
+    if lost := [f"{k}: {f.error}" for k, f in zip(kinds, found, strict=True) if not f.success]:
+        raise RuntimeError(f"analyses failed: {lost}")
+    return reduce(DataFrame.unionByName, [f.metrics for f in found])
 
 
 @query("C7_fit_apply", with_fixture("segment_gaps", ", f as (select * from t where c_custkey % 2 = 0) "

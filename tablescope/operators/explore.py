@@ -8,14 +8,14 @@ from itertools import combinations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablescope.functions.exprs import col, outside, row_hash
+from tablescope.functions.exprs import col, outside
 from tablescope.functions.kinds import kinds, numeric_columns
 from tablescope.operators.quality import duplicate_counts, high_missing
 from tablescope.operators.windows import moving_average
 from tablescope.options import Options
 from tablescope.plans.quantiles import quantile_row, quantiles
 from tablescope.plans.roles import Roles
-from tablescope.plans.runtime import lookup_join, semi_join
+from tablescope.plans.runtime import copy_hash, lookup_join, number_copies, semi_join
 from tablescope.plans.stats import (FIELDS_PER_PASS, long_aggregate, missing_counts, numeric_summary,
                                     top_values, value_counts)
 
@@ -48,7 +48,7 @@ def basic_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def skewed_columns(df: DataFrame, columns: Sequence[str], limit: float = 2.0) -> DataFrame:
-    s = numeric_summary(df, list(columns)[:20], shape=True)
+    s = numeric_summary(df, list(columns), shape=True)
     return s.where(F.abs("skew") > limit).select("column", "skew")
 
 
@@ -314,8 +314,12 @@ def class_imbalance(df: DataFrame, label: str) -> DataFrame:
 
 # ------------------------------------------------------------------ samples
 def sample_rows(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    """Exactly ``min(n, rows)`` rows, the same on every run: smallest row hashes first."""
-    return df.withColumn("_h", row_hash(df, seed)).orderBy("_h").limit(n).drop("_h")
+    """Exactly ``min(n, rows)`` rows, the same on every run: smallest hashes of (row, copy) first.
+
+    Each copy of a repeated row is drawn on its own, so it has its share of the sample.
+    """
+    numbered = number_copies(df)
+    return numbered.withColumn("_h", copy_hash(numbered, df.columns, seed)).orderBy("_h").limit(n).drop("_h", "_copy")
 
 
 def null_pattern(df: DataFrame, n: int = 300, top: int = 20, seed: int = 42) -> DataFrame:
@@ -367,12 +371,13 @@ def plot_data(df: DataFrame, x: str, y: str, color: str | None = None, kind: str
               sample: int | None = 10_000, seed: int = 42, opts: Options = Options()) -> DataFrame:
     """The table behind a scatter, line, box, histogram or heatmap plot.
 
-    Plots of single points use a reproducible sample; ``sample=None`` keeps all rows.
+    A scatter plot uses a reproducible sample (``sample=None`` keeps all rows); statistics
+    and lines are always over all rows.
     """
     missing = [c for c in (x, y, color) if c and c not in df.columns]
     if missing:
         raise ValueError(f"no such column: {missing}")
-    rows = sample_rows(df, sample, seed) if sample else df
+    rows = sample_rows(df, sample, seed) if sample and kind == "scatter" else df
     picked = [col(c) for c in dict.fromkeys([x, y, *([color] if color else [])])]
     if kind == "scatter":
         return rows.select(*picked)
@@ -383,7 +388,7 @@ def plot_data(df: DataFrame, x: str, y: str, color: str | None = None, kind: str
     if kind == "histogram":
         return histogram(rows, [x, y], 40)
     if kind == "heatmap":
-        return correlations(rows, numeric_columns(rows)[:20])
+        return correlations(rows, numeric_columns(rows))
     raise ValueError(f"unknown plot kind: {kind}")
 
 

@@ -112,9 +112,9 @@ def association(df: DataFrame, categorical: Sequence[str], numeric: Sequence[str
                 opts: Options = Options()) -> Analysis:
     """Frequent itemsets and rules over up to eight categorical and eight binned columns."""
     spark = df.sparkSession
-    numeric = [c for c in numeric if c not in categorical][:8]
+    numeric = [c for c in numeric if c not in categorical]
     binned = terciles(df, numeric, opts)
-    used = [*list(categorical)[:8], *[f"{c}_bin" for c in numeric if f"{c}_bin" in binned.columns]]
+    used = [*list(categorical), *[f"{c}_bin" for c in numeric if f"{c}_bin" in binned.columns]]
     if len(used) < 2:
         return failed("association", "fewer than two usable columns")
     n = binned.dropna(subset=used).count()

@@ -53,7 +53,7 @@ def davies_bouldin(labelled: DataFrame, centers: list, features: str = "features
 def cluster_profile(labelled: DataFrame, columns: Sequence[str], label: str = "cluster") -> DataFrame:
     """Cluster size and mean of up to eight columns."""
     return labelled.groupBy(label).agg(F.count(F.lit(1)).alias("n"),
-                                       *[F.avg(col(c)).alias(c) for c in list(columns)[:8]])
+                                       *[F.avg(col(c)).alias(c) for c in list(columns)])
 
 
 def clustering(df: DataFrame, columns: Sequence[str], key: Sequence[str] = (),

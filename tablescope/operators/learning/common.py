@@ -9,10 +9,10 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablescope.functions.exprs import col, row_hash
+from tablescope.functions.exprs import col
 from tablescope.options import Options
 from tablescope.plans.quantiles import quantile_row, quantiles
-from tablescope.plans.runtime import lookup_join
+from tablescope.plans.runtime import copy_hash, lookup_join, number_copies
 from tablescope.plans.stats import long_aggregate
 
 
@@ -67,12 +67,10 @@ def assemble(df: DataFrame, columns: Sequence[str], name: str = "features") -> D
 
 
 # --------------------------------------------------------------------- splits
-def split_key(df: DataFrame, key: Sequence[str] | None, seed: int):
-    """52-bit row key for splits; portable (MD5) when key columns are given."""
-    if key:
-        text = F.concat_ws("|", F.lit(str(seed)), *[col(c).cast("string") for c in key])
-        return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double")
-    return F.pmod(row_hash(df, seed), F.lit(2 ** 52)).cast("double")
+def split_key(key: Sequence[str], seed: int):
+    """52-bit row key for splits, portable (MD5), from key columns."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[col(c).cast("string") for c in key])
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double")
 
 
 def mark_split(df: DataFrame, test_fraction: float = 0.2, stratify: str | None = None,
@@ -82,7 +80,12 @@ def mark_split(df: DataFrame, test_fraction: float = 0.2, stratify: str | None =
     The quantile is an aggregate per class, so a class with a third of the rows is never
     sorted in one task, and the split is the same on every run.
     """
-    keyed = df.withColumn("_key", split_key(df, key, seed))
+    if key:
+        keyed = df.withColumn("_key", split_key(key, seed))
+    else:
+        # every copy of a repeated row is drawn on its own
+        numbered = number_copies(df)
+        keyed = numbered.withColumn("_key", F.pmod(copy_hash(numbered, df.columns, seed), F.lit(2 ** 52)).cast("double")).drop("_copy")
     share = 1.0 - test_fraction
     if stratify is None:
         cut = quantile_row(keyed, ["_key"], (share,), opts)["_key"][0]

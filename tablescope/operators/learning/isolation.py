@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablescope.functions.exprs import col, outside, row_hash
+from tablescope.functions.exprs import col, outside
 from tablescope.functions.kinds import numeric_columns
 from tablescope.operators.learning import rules
 from tablescope.operators.learning.clusters import _coordinates, _scaled
@@ -22,6 +22,7 @@ from tablescope.operators.learning.common import (Analysis, complete_cases, fail
                                                   spread)
 from tablescope.options import Options
 from tablescope.plans.quantiles import quantile_row
+from tablescope.plans.runtime import copy_hash, number_copies, ship_package
 
 EULER = 0.5772156649015329
 NODES = "tree int, node int, feature int, threshold double, left int, right int, depth double"
@@ -45,15 +46,17 @@ def contamination(df: DataFrame, columns: Sequence[str], opts: Options = Options
 
 
 def tree_samples(df: DataFrame, columns: Sequence[str], n: int, opts: Options = Options()) -> DataFrame:
-    """``(tree, features...)``: for every tree at most ``isolation_rows`` distinct rows.
+    """``(tree, features...)``: for every tree at most ``isolation_rows`` rows.
 
-    A pool of trees * rows is drawn by row hash (a filter, then a top-n). Pools that are
+    A pool of trees * rows is drawn by the hash of a row and its copy number (a filter, then a top-n). Pools that are
     smaller, because the table is, are reused by all trees with their own order.
     """
     trees, size = opts.isolation_trees, opts.isolation_rows
     pool_rows = trees * size
     hashed = df.select(*[col(c).cast("double").alias(f"f{i}") for i, c in enumerate(columns)])
-    hashed = hashed.withColumn("_h", row_hash(hashed, opts.seed))
+    hashed = number_copies(hashed)
+    names = [f"f{i}" for i in range(len(columns))]
+    hashed = hashed.withColumn("_h", copy_hash(hashed, names, opts.seed)).drop("_copy")
     if n > 4 * pool_rows:
         # Keep about twice the pool before the exact top-n.
         keep = int(2 ** 64 * (2.0 * pool_rows / n)) - 2 ** 63
@@ -104,6 +107,7 @@ def _grow(seed: int, size: int):
 
 def fit_forest(df: DataFrame, columns: Sequence[str], n: int, opts: Options = Options()) -> DataFrame:
     """Node table of the forest."""
+    ship_package(df.sparkSession)
     grow = _grow(opts.seed, opts.isolation_rows)
     return tree_samples(df, columns, n, opts).groupBy("tree").applyInPandas(grow, NODES)
 
@@ -114,6 +118,7 @@ def score(df: DataFrame, columns: Sequence[str], nodes: DataFrame, sample: int,
 
     The forest has at most trees * 2 * rows nodes, so its arrays travel with the task.
     """
+    ship_package(df.sparkSession)
     table = nodes.toPandas()
     forest = []
     for _, t in table.groupby("tree", sort=True):
@@ -182,13 +187,13 @@ def anomaly_profile(flagged: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Mean, std, min, max of up to eight columns over the anomalous rows."""
     from tablescope.plans.stats import numeric_summary
 
-    return numeric_summary(flagged.where("is_anomaly"), list(columns)[:8]).drop("n")
+    return numeric_summary(flagged.where("is_anomaly"), list(columns)).drop("n")
 
 
 def contrast(flagged: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Means of up to six columns, anomalous against normal rows."""
     return flagged.groupBy("is_anomaly").agg(F.count(F.lit(1)).alias("n"),
-                                             *[F.avg(col(c)).alias(c) for c in list(columns)[:6]])
+                                             *[F.avg(col(c)).alias(c) for c in list(columns)])
 
 
 def column_anomalies(df: DataFrame, rate: float | None = None, opts: Options = Options(),

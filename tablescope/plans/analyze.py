@@ -69,12 +69,12 @@ def exploration(df: DataFrame, roles: Roles, opts: Options = Options(),
         add("histogram", True, lambda: explore.signal_histogram(df, roles.signal, value, 8, opts.histogram_bins))
         add("describe", True, lambda: explore.describe(df, [value], [roles.signal], opts))
     else:
-        add("histogram", numbers, lambda: explore.histogram(df, numbers[:12], opts.histogram_bins))
-        add("density", numbers, lambda: explore.density(df, numbers[:12], opts.kde_points, opts.histogram_bins))
-        add("describe", numbers, lambda: explore.describe(df, numbers[:30], (), opts))
-    add("boxes", numbers, lambda: explore.box_stats(df, numbers[:16], (), opts))
-    add("correlation", len(numbers) >= 3, lambda: explore.correlations(df, numbers[:25]))
-    add("categories", categories, lambda: explore.category_counts(df, categories[:8], opts.top_categories))
+        add("histogram", numbers, lambda: explore.histogram(df, numbers, opts.histogram_bins))
+        add("density", numbers, lambda: explore.density(df, numbers, opts.kde_points, opts.histogram_bins))
+        add("describe", numbers, lambda: explore.describe(df, numbers, (), opts))
+    add("boxes", numbers, lambda: explore.box_stats(df, numbers, (), opts))
+    add("correlation", len(numbers) >= 3, lambda: explore.correlations(df, numbers))
+    add("categories", categories, lambda: explore.category_counts(df, categories, opts.top_categories))
     if pool and value and roles.timestamp in df.columns:
         add("time_series", True, lambda: explore.signal_series(
             df, roles.signal, roles.timestamp, value, order, 6, opts))
@@ -117,7 +117,7 @@ def analyze(spark: SparkSession, source: str | DataFrame, opts: Options = Option
     tables = exploration(df, roles, opts, order, learn)
     tables["schema"] = summary_rows(spark, roles)
     base = [roles.value_num] if roles.value_num in df.columns else []
-    stats_of = [c for c in dict.fromkeys([*base, *roles.numbers(opts)[:5]]) if c in df.columns]
+    stats_of = [c for c in dict.fromkeys([*base, *roles.numbers(opts)]) if c in df.columns]
     report = Report(
         raw=raw, cleaned=df, roles=roles, quality=checked, tables=tables,
         insights=explore.insights(df, roles, opts),

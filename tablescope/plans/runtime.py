@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablescope.functions.exprs import col, row_hash
 from tablescope.options import Options
@@ -61,3 +64,43 @@ def semi_join(df: DataFrame, table: DataFrame, keys: list[str],
               opts: Options = Options(), bounded: bool = False) -> DataFrame:
     """Keep rows whose key appears in ``table`` (one row per key)."""
     return lookup_join(df, table.select(*[col(k) for k in keys]), keys, "left_semi", opts, bounded)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors once per session, so that tasks can import it there."""
+    if getattr(spark.sparkContext, "_tablescope_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp(prefix="run-")) / "tablescope_code.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for file in sorted(root.rglob("*.py")):
+            z.write(file, file.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(archive))
+    spark.sparkContext._tablescope_shipped = True
+
+
+#: Copies of one row that a task writes out in one go.
+COPY_BLOCK = 100_000
+
+
+def number_copies(df: DataFrame, name: str = "_copy") -> DataFrame:
+    """The same rows, with equal rows numbered from 1, so that a hash can tell them apart.
+
+    Equal rows are counted (combined before the shuffle) and written out again; a row with
+    very many copies is cut in blocks that are spread over the tasks.
+    """
+    odd = [f.name for f in df.schema if isinstance(f.dataType, (T.MapType, T.VariantType))]
+    keys = [F.to_json(F.struct(col(c))).alias(f"_k{i}") if c in odd else col(c) for i, c in enumerate(df.columns)]
+    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *[F.first(col(c)).alias(c) for c in odd])
+    counted = counted.select(*[col(c) for c in df.columns], "_n")
+    one = F.lit(1).cast("long")
+    few = counted.where(F.col("_n") <= COPY_BLOCK).withColumn(name, F.explode(F.sequence(one, F.col("_n"))))
+    blocks = (counted.where(F.col("_n") > COPY_BLOCK)
+              .withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / COPY_BLOCK)))).repartition("_b", "_n"))
+    many = blocks.withColumn(name, F.explode(F.sequence(F.col("_b") * COPY_BLOCK + 1, F.least((F.col("_b") + 1) * COPY_BLOCK, F.col("_n"))))).drop("_b")
+    return few.unionByName(many).drop("_n")
+
+
+def copy_hash(df: DataFrame, columns: list[str], seed: int, name: str = "_copy") -> Column:
+    """Reproducible 64-bit hash of a numbered row, different for each copy."""
+    return F.xxhash64(row_hash(df.select(*[col(c) for c in columns]), seed), F.col(name))

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import codecs
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablescope.functions.exprs import nan_to_null
+from tablescope.plans.runtime import ship_package
 
 # Suffixes that can be read, and encodings in the order they are tried.
 FORMATS = {".csv": "csv", ".tsv": "tsv", ".json": "json", ".ndjson": "ndjson", ".jsonl": "ndjson",
@@ -16,7 +16,6 @@ FORMATS = {".csv": "csv", ".tsv": "tsv", ".json": "json", ".ndjson": "ndjson", "
 ENCODINGS = ("utf-8", "cp949", "euc-kr", "latin1")
 # Java names of the encodings for the CSV reader.
 JAVA_CHARSETS = {"utf-8": "UTF-8", "cp949": "MS949", "euc-kr": "EUC-KR", "latin1": "ISO-8859-1"}
-SNIFF_CHARACTERS = 65_536
 
 
 def _path(spark: SparkSession, path: str):
@@ -37,48 +36,58 @@ def format_of(path: str) -> str:
     return FORMATS[suffix]
 
 
-def _first_file(spark: SparkSession, path: str):
-    jpath, fs = _path(spark, path)
-    status = fs.globStatus(jpath)
-    if not status:
-        raise FileNotFoundError(path)
-    current = status[0]
-    while current.isDirectory():
-        inner = [s for s in fs.listStatus(current.getPath())
-                 if not s.getPath().getName().startswith(("_", "."))]
-        if not inner:
-            return None, fs
-        current = sorted(inner, key=lambda s: s.getPath().getName())[0]
-    return current.getPath(), fs
-
-
 def detect_encoding(spark: SparkSession, path: str) -> str:
-    """First encoding that decodes the opening characters of the (first) file."""
-    jpath, fs = _first_file(spark, path)
-    if jpath is None:
-        return ENCODINGS[0]
-    stream = fs.open(jpath)
+    """The encoding of all bytes of all files: UTF-8, or the first one of the list that decodes them.
+
+    Lines are read as raw bytes and checked on the executors. Files of plain ASCII fit any
+    encoding; files that need different ones are an error.
+    """
+    lines = spark.read.option("recursiveFileLookup", True).text(path).select(F.input_file_name().alias("file"), "value")
+    valid = F.is_valid_utf8("value")
+    wide = F.octet_length("value") > F.char_length("value")
+    ship_package(spark)
+    others = [e for e in ENCODINGS if e != "utf-8"]
+
+    def decodable(batches):
+        for batch in batches:
+            for e in others:
+                batch[e] = [_decodes(bytes(b), e) for b in batch["raw"]]
+            yield batch[["file", *others]]
+
+    plain = lines.groupBy("file").agg(F.bool_or(valid & wide).alias("wide"), F.bool_or(~valid).alias("broken")).collect()
+    broken = [r["file"] for r in plain if r["broken"]]
+    found = {"utf-8" for r in plain if r["wide"] and not r["broken"]}
+    if broken:
+        schema = "file string, " + ", ".join(f"`{e}` boolean" for e in others)
+        bad = lines.where(~valid).select("file", F.col("value").cast("binary").alias("raw")).mapInPandas(decodable, schema)
+        for r in bad.groupBy("file").agg(*[F.bool_and(f"`{e}`").alias(e) for e in others]).collect():
+            found.add(next(e for e in others if r[e]))
+    if len(found) > 1:
+        raise ValueError(f"files under {path!r} need different encodings: {sorted(found)}")
+    return found.pop() if found else ENCODINGS[0]
+
+
+def _decodes(raw: bytes, encoding: str) -> bool:
     try:
-        head = bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(
-            spark._jvm.org.apache.commons.io.input.BoundedInputStream(stream, 4 * SNIFF_CHARACTERS)))
-    finally:
-        stream.close()
-    for name in ENCODINGS:
-        decoder = codecs.getincrementaldecoder(name)()
-        try:
-            # A character cut off by the read limit is not an error.
-            decoder.decode(head, final=len(head) < 4 * SNIFF_CHARACTERS)
-            return name
-        except UnicodeDecodeError:
-            continue
-    return ENCODINGS[0]
+        raw.decode(encoding)
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
+def is_json_lines(spark: SparkSession, path: str) -> bool:
+    """Whether every line that isn't blank holds a whole JSON value (one object per line, as written here)."""
+    lines = spark.read.option("recursiveFileLookup", True).text(path).where(F.trim("value") != "")
+    whole = F.col("value").rlike(r"^\s*[\[{].*[\]}]\s*$") & F.get_json_object("value", "$").isNotNull()
+    return lines.agg(F.coalesce(F.bool_and(whole), F.lit(True))).first()[0]
 
 
 def read_table(spark: SparkSession, path: str | list[str], fmt: str | None = None,
                encoding: str | None = None, schema=None, multiline: bool | None = None) -> DataFrame:
     """One lazy scan for every size; several paths are united by column name.
 
-    The format comes from the suffix, the text encoding from the first file. Float NaN
+    The format comes from the suffix, the text encoding from all bytes, and whether ``.json``
+    holds one object per line from all lines. Float NaN
     becomes null. Pass ``schema`` to skip type inference, which reads text data twice.
     """
     if isinstance(path, (list, tuple)):
@@ -103,7 +112,8 @@ def read_table(spark: SparkSession, path: str | list[str], fmt: str | None = Non
             reader = reader.option("inferSchema", True)
         df = reader.csv(path)
     elif fmt == "json":
-        df = reader.option("multiLine", True if multiline is None else multiline).json(path)
+        whole = not is_json_lines(spark, path) if multiline is None else multiline
+        df = reader.option("multiLine", whole).json(path)
     elif fmt == "ndjson":
         df = reader.json(path)
     elif fmt == "parquet":
