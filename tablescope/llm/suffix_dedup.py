@@ -14,8 +14,9 @@
    occurrences; it is maximal when its left neighbours differ. The smallest document of an
    interval keeps the run, every other occurrence is a repeat.
 5. An anchor with very many distinct neighbourhoods (the border of a passage that a third of
-   all documents hold) is not sorted in one task: its runs are keyed one by one, combined
-   before the shuffle and answered by a join on the run.
+   all documents hold) is not sorted in one task: its runs are keyed one by one and combined
+   before the shuffle; those that are maximal on a side (their neighbours differ there) are
+   joined back, and the first and last of them bound what is repeated of a neighbourhood.
 
 Defined results: null texts count as empty; repeats inside one document are kept; of equal
 texts the smallest doc_id stays; texts shorter than ``length`` never change; repeated rows
@@ -267,26 +268,34 @@ def repeated_spans(docs: DataFrame, length: int = 50) -> DataFrame:
         for batch in batches:
             for lo in range(0, batch.num_rows, 2000):
                 part = batch.slice(lo, 2000)
-                anchor, kind, low, place, run = [], [], [], [], []
+                out: dict[str, list] = {"anchor": [], "kind": [], "low": [], "place": [], "before": [], "after": [], "run": []}
                 for a, k, d, x in zip(*(part.column(c).to_pylist() for c in ("anchor", "kind", "low", "around")), strict=True):
-                    for i in range(len(x) - length + 1):
-                        anchor.append(a)
-                        kind.append(k)
-                        low.append(d)
-                        place.append(i)
-                        run.append(hashlib.blake2b(x[i: i + length], digest_size=16).digest())
-                yield pa.RecordBatch.from_pydict({"anchor": pa.array(anchor, pa.int64()), "kind": pa.array(kind, pa.int64()), "low": pa.array(low, pa.int64()),
-                                                  "place": pa.array(place, pa.int32()), "run": pa.array(run, pa.binary())})
-
-    hot_runs = saved(kinds.where("hot").select("anchor", "kind", "low", "around").mapInArrow(single_runs, "anchor long, kind long, low long, place int, run binary"))
-    least = hot_runs.groupBy("run").agg(F.min("low").alias("least"), F.count("*").alias("n")).where("n > 1").select("run", "least")
-    hot_answers = saved(hot_runs.join(least, "run").where("least < low").select("anchor", "kind", "place", "least"))
-
-    # the spans of each document: neighbourhoods that an earlier document has, and single runs that one has
+                    last = len(x) - length
+                    for i in range(last + 1):
+                        row = (a, k, d, i, x[i - 1] if i else -1, x[i + length] if i < last else -1,
+                               hashlib.blake2b(x[i: i + length], digest_size=16).digest())
+                        for column, value in zip(out.values(), row, strict=True):
+                            column.append(value)
+                kinds_ = {"place": pa.int32(), "before": pa.int16(), "after": pa.int16(), "run": pa.binary()}
+                yield pa.RecordBatch.from_pydict({c: pa.array(v, kinds_.get(c, pa.int64())) for c, v in out.items()})
+
+    # A run whose occurrences all continue with the same byte on both sides lies inside a longer repeat of the
+    # same occurrences. Runs of one neighbourhood share the anchor, so the first and the last repeated run bound
+    # what is repeated, and both are maximal on their side.
+    hot_runs = saved(kinds.where("hot").select("anchor", "kind", "low", "around").mapInArrow(
+        single_runs, "anchor long, kind long, low long, place int, before short, after short, run binary"))
+    maximal = (hot_runs.groupBy("run").agg(F.min("low").alias("least"), F.max("low").alias("most"), *(
+        f(c).alias(f"{c}{k}") for c in ("before", "after") for k, f in enumerate((F.min, F.max))))
+        .where("least < most and (before0 < before1 or after0 < after1 or before0 < 0 or after0 < 0)").select("run", "least"))
+    hot_answers = (hot_runs.select("anchor", "kind", "low", "place", "run").join(maximal, "run").where("least < low")
+                   .groupBy("anchor", "kind").agg(F.min("place").alias("first"), F.max("place").alias("last")))
+
+    # the spans of each document: neighbourhoods that an earlier document has, or what runs that one has cover
     def spans_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = ([], [], [])
-            for doc, place, size, low, lows in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "place", "size", "low", "lows")), strict=True):
+            columns = ("doc_id", "place", "size", "low", "lows", "first", "last")
+            for doc, place, size, low, lows, first, last in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
                 if size < length:
                     continue
                 if low < doc:
@@ -294,6 +303,8 @@ def repeated_spans(docs: DataFrame, length: int = 50) -> DataFrame:
                 elif lows:
                     where = np.flatnonzero(np.frombuffer(lows, np.int64) < doc) + place
                     found = _merge(where, where + length)
+                elif first is not None:
+                    found = [(place + first, place + last + length)]
                 else:
                     continue
                 for s, e in found:
@@ -302,12 +313,10 @@ def repeated_spans(docs: DataFrame, length: int = 50) -> DataFrame:
             if out[0]:
                 yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64()) for k, v in zip(("doc_id", "start", "end"), out, strict=True)})
 
-    known = saved(kinds.select("anchor", "kind", "low").join(answers, ["anchor", "kind"], "left"))
+    known = saved(kinds.select("anchor", "kind", "low").join(answers, ["anchor", "kind"], "left").join(hot_answers, ["anchor", "kind"], "left"))
     placed = near.select("anchor", F.xxhash64("anchor", "shift", "around").alias("kind"), "doc_id", "place", F.octet_length("around").alias("size"))
     spans = placed.join(known, ["anchor", "kind"]).mapInArrow(spans_of, "doc_id long, start long, end long")
-    single = (placed.join(hot_answers.withColumnRenamed("place", "i"), ["anchor", "kind"]).where("least < doc_id")
-              .select("doc_id", (F.col("place") + F.col("i")).alias("start"), (F.col("place") + F.col("i") + length).alias("end")))
-    merged = spans.union(single).groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("s"))
+    merged = spans.groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("s"))
     return (merged.select("doc_id", F.lit(False).alias("whole"), F.col("s.start").alias("starts"), F.col("s.end").alias("ends"))
             .union(whole.select("doc_id", F.lit(True), F.array().cast("array<long>"), F.array().cast("array<long>"))))
 

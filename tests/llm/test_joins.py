@@ -91,6 +91,19 @@ def test_repeated_bytes(spark, docs, texts):
     assert got == covered(texts)
 
 
+def test_repeats_at_frequent_anchors_by_single_runs(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "GROUP", 1)
+    rng = np.random.default_rng(5)
+    letters = lambda n, k=26: "".join(chr(97 + c) for c in rng.integers(0, k, n))
+    passage, other = letters(180), letters(90)
+    rows = {}
+    for k in range(120):
+        a, b = sorted(rng.integers(0, 181, 2))
+        rows[k] = letters(int(rng.integers(0, 40)), 3) + passage[a:b] + letters(int(rng.integers(0, 30)), 2) + (other if k % 3 else "") + "ab" * int(rng.integers(0, 50))
+    df = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    assert {r.doc_id: tuple(r)[1:] for r in suffix_dedup.removed_report(df).collect()} == covered(rows)
+
+
 def test_cut_texts_keep_characters_and_columns(spark, docs, texts):
     unique = docs.dropDuplicates(["doc_id"])
     out = suffix_dedup.without_repeats(unique)
