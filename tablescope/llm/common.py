@@ -40,7 +40,7 @@ def saved(df: DataFrame) -> DataFrame:
     asking for that here keeps the disk at one step's shuffles.
     """
     path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     gc.collect()
     df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
