@@ -230,7 +230,7 @@ def repeated_spans(docs: DataFrame, length: int = 50) -> DataFrame:
     near = saved(around.mapInArrow(neighbourhoods, "anchor long, hot boolean, around binary, shift int, doc_id long, place long"))
 
     # equal neighbourhoods: all but those of the smallest document are repeats as a whole
-    kinds = saved(near.groupBy("anchor", "shift", "around").agg(F.min("doc_id").alias("low"), F.max("hot").alias("hot"),
+    kinds = saved(near.groupBy("anchor", "shift", "around").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.max("hot").alias("hot"),
                                                                 F.xxhash64("anchor", "shift", "around").alias("kind")))
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,71 +251,64 @@ def repeated_spans(docs: DataFrame, length: int = 50) -> DataFrame:
                 width = int(sizes.max())
                 rows = np.frombuffer(b"".join(x.ljust(width, b"\0") for x in data), np.uint8).reshape(hi - lo, width)
                 low = lows[lo:hi]
-                best = np.repeat(low[:, None], width, axis=1)  # smallest document that has the run starting here
-                for occurrences, _, _ in suffix_intervals(rows, sizes, group[lo:hi], length):
+                later = np.zeros((hi - lo, width), bool)  # an earlier document has the run starting here
+                for occurrences, common, diverse in suffix_intervals(rows, sizes, group[lo:hi], length):
+                    # neither the first nor the last run of a repeat: a byte more on either side is common, too
+                    if not diverse and common > length:
+                        continue
                     line, place = occurrences // width, occurrences % width
-                    best[line, place] = np.minimum(best[line, place], low[line].min())
-                better = np.flatnonzero((best < low[:, None]).any(axis=1))
+                    docs_ = low[line]
+                    where = docs_ > docs_.min()
+                    later[line[where], place[where]] = True
+                better = np.flatnonzero(later.any(axis=1))
                 yield pa.RecordBatch.from_pydict({
                     "anchor": anchors_[lo:hi][better], "kind": kinds_[lo:hi][better],
-                    "lows": pa.array([best[k, : max(sizes[k] - length + 1, 0)].tobytes() for k in better], pa.binary())})
+                    "first": later[better].argmax(axis=1).astype(np.int32),
+                    "last": (width - 1 - later[better][:, ::-1].argmax(axis=1)).astype(np.int32)})
                 lo = hi
 
     answers = (kinds.where("not hot").repartition("anchor").sortWithinPartitions("anchor")
-               .select("anchor", "around", "low", "kind").mapInArrow(answer, "anchor long, kind long, lows binary"))
+               .select("anchor", "around", "low", "kind").mapInArrow(answer, "anchor long, kind long, first int, last int"))
 
     def single_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 2000):
                 part = batch.slice(lo, 2000)
-                out: dict[str, list] = {"anchor": [], "kind": [], "low": [], "place": [], "before": [], "after": [], "run": []}
-                for a, k, d, x in zip(*(part.column(c).to_pylist() for c in ("anchor", "kind", "low", "around")), strict=True):
-                    last = len(x) - length
-                    for i in range(last + 1):
-                        row = (a, k, d, i, x[i - 1] if i else -1, x[i + length] if i < last else -1,
-                               hashlib.blake2b(x[i: i + length], digest_size=16).digest())
-                        for column, value in zip(out.values(), row, strict=True):
-                            column.append(value)
-                kinds_ = {"place": pa.int32(), "before": pa.int16(), "after": pa.int16(), "run": pa.binary()}
-                yield pa.RecordBatch.from_pydict({c: pa.array(v, kinds_.get(c, pa.int64())) for c, v in out.items()})
+                buf, at = text_bytes(part.column("around"))
+                if len(buf) < length:
+                    continue
+                counts = np.maximum(np.diff(at) - length + 1, 0)
+                line = np.repeat(np.arange(len(counts)), counts)
+                place = np.arange(len(line)) - np.repeat(np.cumsum(counts) - counts, counts)
+                here = at[line] + place
+                end = here + length
+                before = np.where(place > 0, buf[np.maximum(here - 1, 0)].astype(np.int16), np.int16(-1))
+                after = np.where(end < at[line + 1], buf[np.minimum(end, len(buf) - 1)].astype(np.int16), np.int16(-1))
+                columns = {c: part.column(c).to_numpy()[line] for c in ("anchor", "kind", "low")}
+                yield pa.RecordBatch.from_pydict({
+                    **columns, "place": place.astype(np.int32), "before": before, "after": after,
+                    "run": byte_grams(buf, length)[here].view(np.int64), "run2": byte_grams(buf ^ np.uint8(0x5A), length)[here].view(np.int64)})
 
     # A run whose occurrences all continue with the same byte on both sides lies inside a longer repeat of the
     # same occurrences. Runs of one neighbourhood share the anchor, so the first and the last repeated run bound
     # what is repeated, and both are maximal on their side.
     hot_runs = saved(kinds.where("hot").select("anchor", "kind", "low", "around").mapInArrow(
-        single_runs, "anchor long, kind long, low long, place int, before short, after short, run binary"))
-    maximal = (hot_runs.groupBy("run").agg(F.min("low").alias("least"), F.max("low").alias("most"), *(
+        single_runs, "anchor long, kind long, low long, place int, before short, after short, run long, run2 long"))
+    maximal = (hot_runs.groupBy("run", "run2").agg(F.min("low").alias("least"), F.max("low").alias("most"), *(
         f(c).alias(f"{c}{k}") for c in ("before", "after") for k, f in enumerate((F.min, F.max))))
-        .where("least < most and (before0 < before1 or after0 < after1 or before0 < 0 or after0 < 0)").select("run", "least"))
-    hot_answers = (hot_runs.select("anchor", "kind", "low", "place", "run").join(maximal, "run").where("least < low")
+        .where("least < most and (before0 < before1 or after0 < after1 or before0 < 0 or after0 < 0)").select("run", "run2", "least"))
+    hot_answers = (hot_runs.select("anchor", "kind", "low", "place", "run", "run2").join(maximal, ["run", "run2"]).where("least < low")
                    .groupBy("anchor", "kind").agg(F.min("place").alias("first"), F.max("place").alias("last")))
 
     # the spans of each document: neighbourhoods that an earlier document has, or what runs that one has cover
-    def spans_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = ([], [], [])
-            columns = ("doc_id", "place", "size", "low", "lows", "first", "last")
-            for doc, place, size, low, lows, first, last in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
-                if size < length:
-                    continue
-                if low < doc:
-                    found = [(place, place + size)]
-                elif lows:
-                    where = np.flatnonzero(np.frombuffer(lows, np.int64) < doc) + place
-                    found = _merge(where, where + length)
-                elif first is not None:
-                    found = [(place + first, place + last + length)]
-                else:
-                    continue
-                for s, e in found:
-                    for o, x in zip(out, (doc, s, e), strict=True):
-                        o.append(x)
-            if out[0]:
-                yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64()) for k, v in zip(("doc_id", "start", "end"), out, strict=True)})
-
-    known = saved(kinds.select("anchor", "kind", "low").join(answers, ["anchor", "kind"], "left").join(hot_answers, ["anchor", "kind"], "left"))
+    # (they all hold the anchor, so they make one span)
+    known = saved(kinds.select("anchor", "kind", "low", "high")
+                  .join(answers.union(hot_answers.select("anchor", "kind", "first", "last")), ["anchor", "kind"], "left")
+                  .where("low < high or first is not null").drop("high"))
     placed = near.select("anchor", F.xxhash64("anchor", "shift", "around").alias("kind"), "doc_id", "place", F.octet_length("around").alias("size"))
-    spans = placed.join(known, ["anchor", "kind"]).mapInArrow(spans_of, "doc_id long, start long, end long")
+    spans = (placed.where(F.col("size") >= length).join(known, ["anchor", "kind"]).where("low < doc_id or first is not null")
+             .select("doc_id", F.expr("if(low < doc_id, place, place + first)").alias("start"),
+                     F.expr(f"if(low < doc_id, place + size, place + last + {length})").alias("end")))
     merged = spans.groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("s"))
     return (merged.select("doc_id", F.lit(False).alias("whole"), F.col("s.start").alias("starts"), F.col("s.end").alias("ends"))
             .union(whole.select("doc_id", F.lit(True), F.array().cast("array<long>"), F.array().cast("array<long>"))))
