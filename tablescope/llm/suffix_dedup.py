@@ -15,7 +15,7 @@
    interval keeps the run, every other occurrence is a repeat.
 5. An anchor with very many distinct neighbourhoods (the border of a passage that a third of
    all documents hold) is not sorted in one task: its runs are keyed one by one and combined
-   before the shuffle; those that are maximal on a side (their neighbours differ there) are
+   before the shuffle per byte before and after them; only the earliest of each such byte is
    joined back, and the first and last of them bound what is repeated of a neighbourhood.
 
 Defined results: null texts count as empty; repeats inside one document are kept; of equal
@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablescope.llm.arrays import byte_grams, pieces, sliding, text_bytes
@@ -289,15 +289,20 @@ def repeated_spans(docs: DataFrame, length: int = 50) -> DataFrame:
                     **columns, "place": place.astype(np.int32), "before": before, "after": after,
                     "run": byte_grams(buf, length)[here].view(np.int64), "run2": byte_grams(buf ^ np.uint8(0x5A), length)[here].view(np.int64)})
 
-    # A run whose occurrences all continue with the same byte on both sides lies inside a longer repeat of the
-    # same occurrences. Runs of one neighbourhood share the anchor, so the first and the last repeated run bound
-    # what is repeated, and both are maximal on their side.
+    # A run is a node of the prefix tree of its occurrences, the bytes beside it lead to the child nodes. It can be
+    # the first repeat of a neighbourhood only if no earlier document has it with the same byte before it (else the
+    # run one byte to the left is repeated, too), and the last only if none has it with the same byte after it. So
+    # besides runs at the border of a neighbourhood, those go on that are the earliest of a child node.
     hot_runs = saved(kinds.where("hot").select("anchor", "kind", "low", "around").mapInArrow(
         single_runs, "anchor long, kind long, low long, place int, before short, after short, run long, run2 long"))
-    maximal = (hot_runs.groupBy("run", "run2").agg(F.min("low").alias("least"), F.max("low").alias("most"), *(
-        f(c).alias(f"{c}{k}") for c in ("before", "after") for k, f in enumerate((F.min, F.max))))
-        .where("least < most and (before0 < before1 or after0 < after1 or before0 < 0 or after0 < 0)").select("run", "run2", "least"))
-    hot_answers = (hot_runs.select("anchor", "kind", "low", "place", "run", "run2").join(maximal, ["run", "run2"]).where("least < low")
+    node = Window.partitionBy("run", "run2")
+    children = (hot_runs.groupBy("run", "run2", "before", "after").agg(F.min("low").alias("child"), F.max("low").alias("most"))
+                .select("run", "run2", "before", "after", "child", F.min("child").over(node).alias("least"), F.max("most").over(node).alias("most"),
+                        *(F.min("child").over(node.partitionBy("run", "run2", c)).alias(f"{c}_least") for c in ("before", "after")))
+                .where("least < most and (before < 0 or after < 0 or (child > least and (child = before_least or child = after_least)))")
+                .select("run", "run2", "before", "after", "child", "least"))
+    hot_answers = (hot_runs.join(children, ["run", "run2", "before", "after"])
+                   .where("least < low and (before < 0 or after < 0 or low = child)")
                    .groupBy("anchor", "kind").agg(F.min("place").alias("first"), F.max("place").alias("last")))
 
     # the spans of each document: neighbourhoods that an earlier document has, or what runs that one has cover
