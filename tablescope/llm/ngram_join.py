@@ -7,9 +7,10 @@ Where paths can meet. Two linked sets of sizes a and b differ in at most
 (1 - t) / (1 + t) * (a + b) grams. The global order is cut into more ranges than that, so
 linked paths run through at least one identical, non-empty range. Each set emits one key per
 range (the digest of its grams there), for its size class and the next one, since linked
-sizes are in the same or in neighbouring classes. Only sets that share a key with another
-one go on. A frequent gram alone makes no key, so common lines and passages don't collect
-unrelated texts.
+sizes are in the same or in neighbouring classes. A frequent gram alone makes no key, so
+common lines and passages don't collect unrelated texts. From its own size a set knows how many
+of its ranges every linked set must have, too: all but the most grams in which they can
+differ. Its keys go on only if at least so many of them are shared with others.
 
 Trees. A block holds at most ``block`` sets. It is stored as a compressed trie over the
 ordered sets; each set walks down the trie, shares the overlap counted for a common path among
@@ -78,6 +79,15 @@ class Ranges:
         top = self.bounds[min(i + 2, len(self.bounds) - 1)] - 1
         return (100 - self.percent) * 2 * top // (100 + self.percent)
 
+    def needed(self, i: int, size: int, filled: int) -> int:
+        """Non-empty ranges that any linked set of class i or i + 1 shares with one of this size, by keys of class i.
+
+        If the set is in class i + 1, the partner is in class i: two of class i + 1 meet by the keys of that class.
+        """
+        top = self.bounds[min(i + 1 + (self.of(size) == i), len(self.bounds) - 1)] - 1
+        partner = min(top, size * 100 // self.percent)
+        return max(filled - (100 - self.percent) * (size + partner) // (100 + self.percent), 1)
+
     def count(self, i: int) -> tuple[int, int]:
         """(ranges, empty ranges a set may have): ranges = differences + 1 + empty ones."""
         d = self.differ(i)
@@ -86,9 +96,12 @@ class Ranges:
         return d + 1 + spare, spare
 
 
-def range_keys(grams_: np.ndarray, ranges: Ranges) -> np.ndarray:
-    """The keys of one ordered set for its own size class and the one below."""
-    out = []
+def range_keys(grams_: np.ndarray, ranges: Ranges) -> tuple[np.ndarray, list[int]]:
+    """The keys of one ordered set for its own size class and the one below, and how many of each must be shared.
+
+    The lowest bit of a key tells the two classes apart; the numbers are in the order of that bit.
+    """
+    out, needs = [], [1, 1]
     own = ranges.of(len(grams_))
     for i in (own - 1, own):
         if i < 0:
@@ -101,11 +114,12 @@ def range_keys(grams_: np.ndarray, ranges: Ranges) -> np.ndarray:
             digest = digest ^ (digest >> np.uint64(29))
             digest = digest * np.uint64(0xBF58476D1CE4E5B9) + part[begins].astype(np.uint64) * np.uint64(0x94D049BB133111EB)
             digest = (digest ^ (digest >> np.uint64(32))) * np.uint64(2 * i + 0x9E3779B97F4A7C15)
-        out.append(digest)
+        out.append(digest & ~np.uint64(1) | np.uint64(i & 1))
+        needs[i & 1] = ranges.needed(i, len(grams_), len(begins))
         if count - len(begins) > spare:
             # so many empty ranges that two sets might agree in empty ones only
             out.append(np.array([i], np.uint64))
-    return np.concatenate(out).astype(np.int64)
+    return np.concatenate(out).astype(np.int64), needs
 
 
 class Tree:
@@ -222,6 +236,11 @@ def _blocks(rows: DataFrame, percent: int) -> DataFrame:
     return rows.repartition("block").sortWithinPartitions("block").mapInArrow(run, "a long, b long")
 
 
+def _by_key(rows: DataFrame, shared: DataFrame) -> DataFrame:
+    """Join with a saved list of shared keys: broadcast only if its counted size allows it."""
+    return rows.join(F.broadcast(shared) if shared.count() <= BROADCAST_KEYS else shared, "key")
+
+
 def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80, block: int = 256) -> DataFrame:
     """One row per document: doc_id, n_shingles, class_id (equal sets), component_id (links of percent / 100 or more)."""
     spark = docs.sparkSession
@@ -233,14 +252,16 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80, block: int =
         for batch in batches:
             for part in pieces(batch):
                 ids = part.column("doc_id").to_pylist()
-                size, digest, keys = [0] * len(ids), [None] * len(ids), [None] * len(ids)
+                size, digest, keys, needs = [0] * len(ids), [None] * len(ids), [None] * len(ids), [None] * len(ids)
                 for row, s in gram_sets(part, n):
                     size[row], digest[row] = len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-                    keys[row] = range_keys(s, ranges).tobytes()
+                    found_, needs[row] = range_keys(s, ranges)
+                    keys[row] = found_.tobytes()
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "size": pa.array(size, pa.int64()),
-                                                  "node": pa.array(digest, pa.binary()), "keys": pa.array(keys, pa.binary())})
+                                                  "node": pa.array(digest, pa.binary()), "keys": pa.array(keys, pa.binary()),
+                                                  "needs": pa.array(needs, pa.list_(pa.int64()))})
 
-    found = saved(docs.mapInArrow(keys_of, "doc_id long, size long, node binary, keys binary"))
+    found = saved(docs.mapInArrow(keys_of, "doc_id long, size long, node binary, keys binary, needs array<long>"))
     classes = saved(found.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep")))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,10 +278,17 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80, block: int =
     shared = (keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("pivot"), F.sum(F.hash("rep").cast("long")).alias("s"),
                                        F.bit_xor(F.xxhash64("rep")).alias("x"), F.max("rep").alias("top")).where("n > 1"))
     # keys with the same members say the same: one of them stays, with their number as its weight
-    shared = saved(shared.groupBy("n", "pivot", "s", "x", "top").agg(F.min("key").alias("key"), F.count("*").alias("weight"))
-                   .select("key", "n", "pivot", "weight"))
-    small_enough = shared.count() <= BROADCAST_KEYS
-    members = saved(keyed.join(F.broadcast(shared) if small_enough else shared, "key").select("key", "n", "pivot", "weight", "rep"))
+    side = F.col("key").bitwiseAND(1).cast("int").alias("side")
+    shared = saved(shared.groupBy("n", "pivot", "s", "x", "top", side).agg(F.min("key").alias("key"), F.count("*").alias("weight"))
+                   .select("key", "weight"))
+    met = saved(_by_key(keyed, shared).select("key", side, "weight", "rep"))
+    # sets that share too few of their ranges for a link by the keys of a class have none there
+    needs = found.where("node is not null").select(F.col("doc_id").alias("rep"), "needs")
+    enough = (met.groupBy("rep", "side").agg(F.sum("weight").alias("w")).join(needs, "rep").where("w >= needs[side]")
+              .select("rep", "side").distinct())
+    met = saved(met.join(enough, ["rep", "side"]).select("key", "weight", "rep"))
+    shared = saved(met.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("pivot")).where("n > 1"))
+    members = saved(_by_key(met, shared).select("key", "n", "pivot", "weight", "rep"))
     active = saved(members.select(F.col("rep").alias("doc_id")).distinct())
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -41,6 +41,23 @@ def test_jaccard_components(spark, docs, texts, n, percent, block):
     assert got == linked(texts, n, percent)
 
 
+@pytest.mark.parametrize("percent", [80, 90])
+def test_linked_sets_share_as_many_keys_as_each_needs(percent):
+    ranges, rng = ngram_join.Ranges(percent), np.random.default_rng(percent)
+    for _ in range(400):
+        size = int(rng.integers(1, 400))
+        pool = rng.integers(0, 2**63, 3 * size, dtype=np.uint64) * np.uint64(2)
+        gone, new = rng.integers(0, max(size // 4, 1) + 1, 2)
+        a, b = np.unique(pool[:size]), np.unique(np.concatenate([pool[gone:size], pool[size: size + new]]))
+        both = len(np.intersect1d(a, b))
+        if not both or 100 * both < percent * (len(a) + len(b) - both):
+            continue
+        low = min(ranges.of(len(a)), ranges.of(len(b)))
+        (x, need_a), (y, need_b) = ngram_join.range_keys(a, ranges), ngram_join.range_keys(b, ranges)
+        shared = np.intersect1d(x, y)
+        assert np.count_nonzero((shared & 1) == (low & 1)) >= max(need_a[low & 1], need_b[low & 1]) >= 1
+
+
 def test_jaccard_large_family_in_blocks(spark):
     base = [f"w{i}" for i in range(150)]
     rows = {}
