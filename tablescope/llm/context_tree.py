@@ -7,13 +7,16 @@ its weighted probability is half of that estimate plus half of the product of it
 The weights that follow mix the estimates of all depths for every decision, and the product of
 eight decisions is the probability of a byte; its negative logarithm is the code length.
 
-Counts are gathered over all training texts, combined in the tasks and then by key. The trees
-are solved per nearest byte, so no task holds them all; only the root (255 decisions) is solved
-on the driver. For scoring, the probabilities become a table of seen (context, byte) pairs with
-an escape factor per context: bytes unseen in a context get the mass that the mixture leaves
-there, shared like in the next shorter context. What tasks hold is bounded by ``CONTEXTS`` per
-depth: contexts below the count that meets this bound are pooled into one further child of
-their parent. Counts of shallower contexts are always those of all texts.
+Counts are gathered over all texts, combined in the tasks and then by key; no context is left
+out. The contexts that share their nearest ``TOP`` bytes form subtrees, which tasks solve many
+at a time; the levels above them, whose size the alphabet bounds and not the input, are solved
+on the driver and handed to the tasks. There the probabilities become pairs of seen (context,
+byte) with an escape factor per context: bytes unseen in a context get the mass that the mixture
+leaves there, shared like in the next shorter context. Each subtree scores the context keys of
+all texts that belong to it, so the scores of keys are a Spark table.
+
+Texts find their scores there: the ``HELD_KEYS`` most frequent keys are held by tasks, all others
+are joined by key. What is held changes the work, never the result.
 
 The base score needs the count of every word. Counts of the ``COMMON`` most frequent words are
 held by tasks, those of all other words are joined by key, so no word is a hot key.
@@ -28,14 +31,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablescope.llm.arrays import LOWER, Words, pieces, text_bytes
 from tablescope.llm.common import clean_documents, runs, saved, ship
 
 DEPTH = 6
-CONTEXTS = 100_000
+#: Depth at which the trees are cut into subtrees for the tasks.
+TOP = 3
+#: Context keys (16 bytes each) that scoring tasks hold; the others are joined.
+HELD_KEYS = 1 << 20
+#: Context keys of a step of a solving task.
+STEP = 100_000
 COMMON = 1 << 17
 SPACE, END = 0x20, 0x0A
 #: Entries that a counting task holds before it hands them on.
@@ -106,37 +114,55 @@ def _table(keys: np.ndarray, n: np.ndarray, kind: int) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_pydict({"kind": np.full(len(part), kind, np.int32), "key": part, "n": n[lo: lo + 100_000].astype(np.int64)})
 
 
-def gather(docs: DataFrame) -> DataFrame:
-    """(kind, key, n): kind 0 counts tokens, kind 1 counts bytes in their full context."""
+def gather(docs: DataFrame, train: str = "true") -> DataFrame:
+    """(kind, key, n): kind 0 counts tokens and kind 1 bytes in their full context, both of training rows; kind 2 those bytes of the other rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters = Counter(), Counter()
+        counters = Counter(), Counter(), Counter()
         for batch in batches:
             for part in pieces(batch):
                 buf, at = text_bytes(part.column("text"))
                 words = Words(buf, at)
-                counters[0].add(words.hash.view(np.int64))
-                counters[0].parts.append((np.array([_END_TOKEN]), np.array([part.num_rows])))
-                counters[1].add(context_keys(*stream(buf, words, part.num_rows)))
+                learns = part.column("learns").to_numpy(zero_copy_only=False)
+                counters[0].add(words.hash.view(np.int64)[learns[words.text]])
+                counters[0].parts.append((np.array([_END_TOKEN])[: learns.sum()], np.array([learns.sum()])[: learns.sum()]))
+                data, begins = stream(buf, words, part.num_rows)
+                keys, inside = context_keys(data, begins), np.repeat(learns, np.diff(begins))
+                counters[1].add(keys[inside])
+                counters[2].add(keys[~inside])
                 for kind, c in enumerate(counters):
                     if (out := c.full()) is not None:
                         yield from _table(*out, kind)
         for kind, c in enumerate(counters):
             yield from _table(*c.merged(), kind)
 
-    return docs.select("text").mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    rows = docs.select("text", F.coalesce(F.expr(train).cast("boolean"), F.lit(False)).alias("learns"))
+    return rows.mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+
+
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    """Logarithm of the gamma function for x >= 1/2: Stirling's series ten steps further up."""
+    y = x + 10
+    series = (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - 1 / (1680 * y**7)
+    product = x.copy()
+    for k in range(1, 10):
+        product *= x + k
+    return series - np.log(product)
+
+
+_FEW = np.arange(4096)
+_HALVES, _WHOLES = _log_gamma(_FEW + 0.5), _log_gamma(_FEW + 1.0)
 
 
 def _log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Logarithm of the Krichevsky-Trofimov probability of a zeros and b ones."""
-    from math import lgamma
+    def g(x: np.ndarray, few: np.ndarray, more: float) -> np.ndarray:
+        out = few[np.minimum(x, len(few) - 1).astype(np.int64)]
+        large = x >= len(few)
+        out[large] = _log_gamma(x[large] + more)
+        return out
 
-    half = np.frompyfunc(lgamma, 1, 1)
-    g = lambda x: half(x).astype(float)
-    total, where = np.unique(np.concatenate([a + 0.5, b + 0.5, a + b + 1.0]), return_inverse=True)
-    value = g(total)[where]
-    n = len(a)
-    return value[:n] + value[n: 2 * n] - value[2 * n:] - 2 * lgamma(0.5)
+    return g(a, _HALVES, 0.5) + g(b, _HALVES, 0.5) - g(a + b, _WHOLES, 1.0) - np.log(np.pi)
 
 
 class Level:
@@ -200,107 +226,133 @@ class Level:
         return contexts, np.log10(np.maximum(free, 1e-12)) - np.log10(np.maximum(open_, 1e-12))
 
 
-def _levels(table: pa.Table) -> dict[int, Level]:
-    depth, context, symbol, n = (table.column(c).to_numpy() for c in ("depth", "context", "symbol", "n"))
-    return {d: Level(context[depth == d], symbol[depth == d], n[depth == d]) for d in range(1, DEPTH + 1)}
+def _shorter(level: Level) -> Level:
+    """The level above, from the counts of a whole one."""
+    pair, at = np.unique((level.contexts >> 8 << 8) | level.symbols, return_inverse=True)
+    return Level(pair >> 8, pair & 255, np.bincount(at, level.n, len(pair)).astype(np.int64))
+
+
+def _subtrees(keys: np.ndarray, n: np.ndarray) -> dict[int, Level]:
+    """Solved levels TOP to DEPTH of whole subtrees."""
+    levels = {DEPTH: Level(keys >> 8, keys & 255, n)}
+    for d in range(DEPTH, TOP - 1, -1):
+        levels[d].solve(levels.get(d + 1))
+        if d > TOP:
+            levels[d - 1] = _shorter(levels[d])
+    return levels
+
+
+def _handed_up(top: Level) -> Iterator[pa.RecordBatch]:
+    """Counts (kind 0) and log probabilities of decisions (kind 1) of subtrees, by the context above."""
+    for kind, key, value in ((0, (top.contexts >> 8 << 8) | top.symbols, top.n), (1, ((top.nodes >> 16) << 8) | (top.nodes & 255), top.total)):
+        key, at = np.unique(key, return_inverse=True)
+        yield pa.RecordBatch.from_pydict({"kind": np.full(len(key), kind, np.int32), "key": key, "value": np.bincount(at, value, len(key)).astype(float)})
+
+
+def _predicted(levels: dict[int, Level], shorter: Level | None, mixed: np.ndarray, left: np.ndarray) -> dict[str, np.ndarray]:
+    """Scoring tables of solved levels, sorted by key; ``mixed`` and ``left`` belong to the first level's decisions."""
+    out: dict[str, list] = {"keys": [], "logs": [], "contexts": [], "escapes": []}
+    first = min(levels)
+    for d in sorted(levels):
+        level, mark = levels[d], d << 56
+        if d > first:
+            mixed, left = mixed[level.parent], left[level.parent]
+        mixed, left = level.predict(mixed, left)
+        level.handed = mixed, left
+        contexts, escapes = level.escapes(shorter)
+        for name, part in zip(out, (mark | (level.contexts << 8) | level.symbols, np.log10(level.p), mark | contexts, escapes), strict=True):
+            out[name].append(part)
+        shorter = level
+    return {name: np.concatenate(parts) for name, parts in out.items()}
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Keys, their counts in training rows and in all rows, of whole subtrees."""
+    def ready(tables: list[pa.Table]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        kind, key, n = (pa.concat_tables(tables).column(c).to_numpy() for c in ("kind", "key", "n"))
+        keys, at = np.unique(key, return_inverse=True)
+        return keys, np.bincount(at, np.where(kind == 1, n, 0), len(keys)).astype(np.int64), np.bincount(at, n, len(keys)).astype(np.int64)
+
+    held, size = [], 0
+    for table, _ in runs(batches, "near"):
+        held.append(table)
+        size += table.num_rows
+        if size >= STEP:
+            yield ready(held)
+            held, size = [], 0
+    if held:
+        yield ready(held)
 
 
-def fit(counts: DataFrame) -> dict[str, np.ndarray]:
-    """Scoring tables: pair keys with log10 probabilities, context keys with log10 escape factors (sorted by key)."""
-    # counts of each depth come from the next deeper one
-    levels = [counts.where("kind = 1").select(F.shiftright("key", 8).alias("context"), F.col("key").bitwiseAND(255).alias("symbol"), "n")]
-    for _ in range(DEPTH):
-        levels.append(saved(levels[-1].groupBy(F.shiftright("context", 8).alias("context"), "symbol").agg(F.sum("n").alias("n"))))
-    rows = None
-    for up, level in enumerate(levels):
-        level = level.withColumn("all", F.sum("n").over(Window.partitionBy("context"))).withColumn("depth", F.lit(DEPTH - up))
-        rows = level if rows is None else rows.unionByName(level)
-    rows = saved(rows)
-    # the smallest count at which every depth has at most CONTEXTS contexts
-    sizes = rows.groupBy("depth", "context").agg(F.first("all").alias("all")).groupBy("depth", F.floor(F.log2("all") * 8).alias("b")).count().collect()
-    least = 0
-    for d in range(DEPTH + 1):
-        total = 0
-        for b, n in sorted(((r["b"], r["count"]) for r in sizes if r["depth"] == d), reverse=True):
-            total += n
-            if total > CONTEXTS:
-                least = max(least, b + 1)
-                break
-    kept = saved(rows.where(F.floor(F.log2("all") * 8) >= least).select("depth", "context", "symbol", "n")
-                 .withColumn("near", F.when(F.col("depth") == 0, F.lit(-1)).otherwise(
-                     F.expr("shiftright(context, 8 * (depth - 1))")).cast("long")))
-    trees = kept.where("near >= 0").repartition("near").sortWithinPartitions("near")
+def _by_subtree(counts: DataFrame) -> DataFrame:
+    near = F.shiftright("key", 8 * (DEPTH - TOP + 1)).alias("near")
+    return counts.where("kind > 0").select(near, "kind", "key", "n").repartition("near").sortWithinPartitions("near")
+
+
+def _shallow(counts: DataFrame) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
+    """Scoring tables of the levels above TOP, and what the subtrees need of them. The alphabet bounds their size."""
 
     def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _groups(batches):
-            levels = _levels(table)
-            for d in range(DEPTH, 0, -1):
-                levels[d].solve(levels.get(d + 1))
-            top = levels[1]
-            yield pa.RecordBatch.from_pydict({"node": top.nodes & 255, "total": top.total, "zeros": top.zeros, "ones": top.ones})
-
-    rootrows = kept.where("near < 0").toPandas()
-    if not len(rootrows):
-        none = np.zeros(0, np.int64)
-        return {"keys": none, "logs": np.zeros(0), "contexts": none, "escapes": np.zeros(0)}
-    root = Level(rootrows["context"].to_numpy(), rootrows["symbol"].to_numpy(), rootrows["n"].to_numpy())
-    tops = trees.mapInArrow(first_pass, "node long, total double, zeros double, ones double").groupBy("node").agg(
-        F.sum("total").alias("total"), F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones")).toPandas().sort_values("node")
+        for keys, n, _ in _chunks(batches):
+            if n.any():
+                yield from _handed_up(_subtrees(keys[n > 0], n[n > 0])[TOP])
+
+    found = _by_subtree(counts.where("kind = 1")).mapInArrow(first_pass, "kind int, key long, value double").groupBy("kind", "key").agg(F.sum("value").alias("value")).toArrow()
+    kind, key, value = (found.column(c).to_numpy() for c in ("kind", "key", "value"))
+    if not len(key):
+        none, zero = np.zeros(0, np.int64), np.zeros(0)
+        return {"keys": none, "logs": zero, "contexts": none, "escapes": zero}, {}
+    pairs = np.flatnonzero(kind == 0)
+    nodes = np.flatnonzero(kind == 1)
+    last = Level(key[pairs] >> 8, key[pairs] & 255, value[pairs].astype(np.int64))
     below = Level.__new__(Level)
-    below.nodes = tops["node"].to_numpy()
-    below.total, below.zeros, below.ones = (tops[c].to_numpy() for c in ("total", "zeros", "ones"))
-    root.solve(below)
-    handed = root.predict(np.zeros(len(root.nodes)), np.ones(len(root.nodes)))
-    root_nodes, root_escape = root.nodes, root.escapes(None)[1]
+    order = nodes[np.argsort(key[nodes])]
+    below.nodes, below.total = ((key[order] >> 8) << 16) | (key[order] & 255), value[order]
+    below.zeros, below.ones = last.zeros, last.ones
+    levels, level = {}, last
+    for d in range(TOP - 1, -1, -1):
+        level.solve(below)
+        levels[d] = below = level
+        level = _shorter(level)
+    tables = _predicted(levels, None, np.zeros(len(levels[0].nodes)), np.ones(len(levels[0].nodes)))
+    mixed, left = last.handed
+    return tables, {"nodes": last.nodes, "mixed": mixed, "left": left, "contexts": last.contexts, "symbols": last.symbols, "p": last.p}
+
+
+def _deep(keys: np.ndarray, n: np.ndarray, above: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Scoring tables of whole subtrees."""
+    levels = _subtrees(keys, n)
+    shorter = Level.__new__(Level)
+    shorter.contexts, shorter.symbols, shorter.p = above["contexts"], above["symbols"], above["p"]
+    nodes = levels[TOP].nodes
+    at = np.searchsorted(above["nodes"], ((nodes >> 16) << 8) | (nodes & 255))
+    return _predicted(levels, shorter, above["mixed"][at], above["left"][at])
+
+
+def scored_keys(counts: DataFrame) -> DataFrame:
+    """(key, times, log): every context key of all rows, how often it occurs, and the log10 probability of its last byte."""
+    shared = counts.sparkSession.sparkContext.broadcast(_shallow(counts))
 
     def second_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _groups(batches):
-            levels = _levels(table)
-            for d in range(DEPTH, 0, -1):
-                levels[d].solve(levels.get(d + 1))
-            at = np.searchsorted(root_nodes, levels[1].nodes & 255)
-            mixed, left = handed[0][at], handed[1][at]
-            for d in range(1, DEPTH + 1):
-                level = levels[d]
-                if not len(level.contexts):
-                    break
-                if d > 1:
-                    mixed, left = mixed[level.parent], left[level.parent]
-                mixed, left = level.predict(mixed, left)
-                shorter = levels[d - 1] if d > 1 else root
-                if d == 1:
-                    level_contexts, escape = _escape_to_root(level, root)
-                else:
-                    level_contexts, escape = level.escapes(shorter)
-                mark = d << 56
-                yield pa.RecordBatch.from_pydict({"kind": np.zeros(len(level.p), np.int32), "key": mark | (level.contexts << 8) | level.symbols, "log": np.log10(level.p).astype(np.float32)})
-                yield pa.RecordBatch.from_pydict({"kind": np.ones(len(escape), np.int32), "key": mark | level_contexts, "log": escape.astype(np.float32)})
-
-    # bounded by CONTEXTS; comes as Arrow columns
-    found = trees.mapInArrow(second_pass, "kind int, key long, log float").toArrow()
-    kind, key, log = (found.column(c).to_numpy() for c in ("kind", "key", "log"))
-    del found
-    order = np.argsort(key, kind="stable")
-    kind, key, log = kind[order], key[order], log[order]
-    pairs, escapes = kind == 0, kind == 1
-    return {"keys": np.concatenate([root.symbols, key[pairs]]), "logs": np.concatenate([np.log10(root.p).astype(np.float32), log[pairs]]),
-            "contexts": np.concatenate([[0], key[escapes]]), "escapes": np.concatenate([root_escape.astype(np.float32), log[escapes]])}
-
-
-def _escape_to_root(level: Level, root: Level) -> tuple[np.ndarray, np.ndarray]:
-    contexts, begins = np.unique(level.contexts, return_index=True)
-    free = 1 - np.add.reduceat(level.p, begins)
-    open_ = 1 - np.add.reduceat(root.p[np.searchsorted(root.symbols, level.symbols)], begins)
-    return contexts, np.log10(np.maximum(free, 1e-12)) - np.log10(np.maximum(open_, 1e-12))
-
-
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """One table per nearest byte."""
-    for table, _ in runs(batches, "near"):
-        near = table.column("near").to_numpy()
-        edges = np.flatnonzero(np.concatenate([[True], near[1:] != near[:-1], [True]]))
-        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            yield table.slice(lo, hi - lo)
+        shallow, above = shared.value
+        for keys, n, times in _chunks(batches):
+            model = shallow
+            if n.any():
+                deep = _deep(keys[n > 0], n[n > 0], above)
+                model = {name: np.concatenate([shallow[name], deep[name]]) for name in shallow}
+            yield pa.RecordBatch.from_pydict({"key": keys, "times": times, "log": log_probabilities(keys, model)})
+
+    return _by_subtree(counts).mapInArrow(second_pass, "key long, times long, log double")
+
+
+def fit(counts: DataFrame) -> dict[str, np.ndarray]:
+    """Scoring tables of a small input in memory: pair keys with log10 probabilities, context keys with log10 escape factors (sorted by key)."""
+    shallow, above = _shallow(counts)
+    found = counts.where("kind = 1").select("key", "n").toArrow().sort_by("key")
+    if not found.num_rows:
+        return shallow
+    deep = _deep(found.column("key").to_numpy(), found.column("n").to_numpy(), above)
+    return {name: np.concatenate([shallow[name], deep[name]]) for name in shallow}
 
 
 def log_probabilities(keys: np.ndarray, model: dict[str, np.ndarray]) -> np.ndarray:
@@ -331,14 +383,38 @@ def score(docs: DataFrame, train: str = "true") -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
     docs = clean_documents(docs)
-    counts = saved(gather(docs.where(train)))
+    counts = saved(gather(docs, train))
     tokens = counts.where("kind = 0")
     n, v = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     common = tokens.orderBy(F.col("n").desc(), "key").limit(COMMON).select("key", "n").toArrow().sort_by("key")
-    model = spark.sparkContext.broadcast({**fit(counts), "words": common.column("key").to_numpy(), "counts": common.column("n").to_numpy()})
-
-    def measure(batches: Iterator[pa.RecordBatch], rare: bool) -> Iterator[pa.RecordBatch]:
+    found = saved(scored_keys(counts))
+    # the smallest count at which at most HELD_KEYS keys are held
+    step = F.floor(F.log2("times") * 8)
+    least = total = 0
+    for b, k in found.groupBy(step.alias("b")).count().orderBy(F.col("b").desc()).collect():
+        total += k
+        if total > HELD_KEYS:
+            least = b + 1
+            break
+    held = found.where(step >= least).select("key", "log").toArrow().sort_by("key")
+    model = spark.sparkContext.broadcast({"keys": held.column("key").to_numpy(), "logs": held.column("log").to_numpy(),
+                                          "words": common.column("key").to_numpy(), "counts": common.column("n").to_numpy()})
+    del held
+
+    def looked_up(names: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(names):
+            return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+        at = np.minimum(np.searchsorted(names, wanted), len(names) - 1)
+        return at, names[at] == wanted
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
+
+        def rows(kind: int, key: np.ndarray, doc_id: np.ndarray, sign: np.ndarray, times: np.ndarray, **more: np.ndarray) -> pa.RecordBatch:
+            none = {"known": np.zeros(len(key), np.int64), "logs": np.zeros(len(key)), "score": np.zeros(len(key))}
+            return pa.RecordBatch.from_pydict({"kind": np.full(len(key), kind, np.int32), "key": key, "doc_id": doc_id, "sign": sign,
+                                               "times": times.astype(np.int64), **(none | more)})
+
         for batch in batches:
             for part in pieces(batch):
                 buf, at = text_bytes(part.column("text"))
@@ -347,35 +423,36 @@ def score(docs: DataFrame, train: str = "true") -> DataFrame:
                 ids = part.column("doc_id").to_numpy()
                 token = np.concatenate([words.hash.view(np.int64), np.full(texts, _END_TOKEN)])
                 text = np.concatenate([words.text, np.arange(texts)])
-                if len(m["words"]):
-                    k = np.minimum(np.searchsorted(m["words"], token), len(m["words"]) - 1)
-                    hit = m["words"][k] == token
-                else:
-                    k, hit = np.zeros(len(token), np.int64), np.zeros(len(token), bool)
                 sign = np.bincount(words.text, (words.hash >> np.uint64(34)).astype(float), texts).astype(np.int64)
-                if rare:
-                    order = np.lexsort((token[~hit], text[~hit]))
-                    t, w = text[~hit][order], token[~hit][order]
-                    first = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (w[1:] != w[:-1])])[: len(t)])
-                    yield pa.RecordBatch.from_pydict({"key": w[first], "doc_id": ids[t[first]], "sign": sign[t[first]],
-                                                      "times": np.diff(np.concatenate([first, [len(t)]])).astype(np.int64)})
-                    continue
-                c = np.where(hit, m["counts"][k] if len(m["counts"]) else 0, 0)
                 data, begins = stream(buf, words, texts)
                 keys, where = np.unique(context_keys(data, begins), return_inverse=True)
-                logs = log_probabilities(keys, m)[where]
-                yield pa.RecordBatch.from_pydict({
-                    "doc_id": ids, "sign": sign, "n_tokens": np.bincount(text, minlength=texts).astype(np.int64),
-                    "known": np.bincount(text, hit, texts).astype(np.int64), "logs": np.bincount(text, np.log10(c + 1.0), texts),
-                    "score": np.add.reduceat(logs, begins[:-1])})
-
-    scored = saved(docs.mapInArrow(lambda b: measure(b, False), "doc_id long, sign long, n_tokens long, known long, logs double, score double"))
-    rare = docs.mapInArrow(lambda b: measure(b, True), "key long, doc_id long, sign long, times long")
-    seen = (rare.join(tokens.select("key", "n"), "key").groupBy("doc_id", "sign")
-            .agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("more_logs")))
+                k, hit = looked_up(m["words"], token)
+                c = np.where(hit, m["counts"][k] if len(m["counts"]) else 0, 0)
+                q, has = looked_up(m["keys"], keys)
+                logs = np.where(has, m["logs"][q] if len(m["logs"]) else 0.0, 0.0)[where]
+                yield rows(-1, np.zeros(texts, np.int64), ids, sign, np.bincount(text, minlength=texts),
+                           known=np.bincount(text, hit, texts).astype(np.int64), logs=np.bincount(text, np.log10(c + 1.0), texts),
+                           score=np.add.reduceat(logs, begins[:-1]))
+                missing = ~has[where]
+                of = np.repeat(np.arange(texts), np.diff(begins))[missing]
+                for kind, t, w in ((0, text[~hit], token[~hit]), (1, of, keys[where[missing]])):
+                    order = np.lexsort((w, t))
+                    t, w = t[order], w[order]
+                    first = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (w[1:] != w[:-1])])[: len(t)])
+                    yield rows(kind, w[first], ids[t[first]], sign[t[first]], np.diff(np.concatenate([first, [len(t)]])))
+
+    measured = saved(docs.mapInArrow(measure, "kind int, key long, doc_id long, sign long, times long, known long, logs double, score double"))
+    scored = measured.where("kind < 0").select("doc_id", "sign", F.col("times").alias("n_tokens"), "known", "logs", "score")
+    values = tokens.select("kind", "key", F.log10(F.col("n") + 1.0).alias("value")).union(
+        found.where(step < least).select(F.lit(1), "key", F.col("log").alias("value")))
+    part = lambda kind, value: F.sum(F.when(F.col("kind") == kind, value))
+    seen = (measured.where("kind >= 0").select("kind", "key", "doc_id", "sign", "times").join(values, ["kind", "key"]).groupBy("doc_id", "sign")
+            .agg(part(0, F.col("times")).alias("more"), part(0, F.col("times") * F.col("value")).alias("more_logs"),
+                 part(1, F.col("times") * F.col("value")).alias("more_score")))
     equal = scored.groupBy("doc_id", "sign").agg(F.count("*").alias("rows"))
     more = seen.join(equal, ["doc_id", "sign"]).select("doc_id", "sign", (F.col("more") / F.col("rows")).cast("long").alias("more"),
-                                                       (F.col("more_logs") / F.col("rows")).alias("more_logs"))
+                                                       (F.col("more_logs") / F.col("rows")).alias("more_logs"), (F.col("more_score") / F.col("rows")).alias("more_score"))
     out = scored.join(more, ["doc_id", "sign"], "left")
     return out.select("doc_id", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-                      (F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) - F.col("n_tokens") * F.log10(F.lit(float(n + v + 1)))).alias("base_score"), "score")
+                      (F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) - F.col("n_tokens") * F.log10(F.lit(float(n + v + 1)))).alias("base_score"),
+                      (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"))
