@@ -1,10 +1,13 @@
 """Substring dedup by sliding sentence spans.
 
 A text is cut into sentences (each keeps its end mark and the white space after it, so the
-pieces make up the text). Every run of ``span`` consecutive sentences is hashed (two 64-bit
-hashes of its lower-cased words), and the first place of each hash is found over all documents:
-the smallest (doc_id, sentence number). A sentence is removed if a run that covers it has an
-earlier place. Runs of fewer than ``min_words`` words don't count, so short common phrases stay.
+pieces make up the text). A run has at least ``span`` consecutive sentences and as many more as
+it takes to hold ``min_words`` words: one grows forwards from each sentence, one backwards from
+each sentence. So every passage of so many sentences and words is covered by runs inside it,
+however short its sentences are; only texts and passages with fewer words have none, so short
+common phrases stay. Every run is hashed (two 64-bit hashes of its lower-cased words), and the
+first place of each hash is found over all documents: the smallest (doc_id, sentence number).
+A sentence is removed if a run that covers it has an earlier place.
 
 Frequent runs are combined before the shuffle; only runs seen twice or more are joined back, and
 that join is split by Spark where one run is frequent. Built-in functions only.
@@ -31,21 +34,34 @@ def sentences(text: str = "text"):
 
 
 def span_hashes(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, i, h1, h2) of every run of sentences i .. i + span - 1."""
+    """(doc_id, i, k, h1, h2) of every run of sentences i .. i + k - 1."""
     split = docs.select("doc_id", sentences().alias("s"))
     plain = split.select("doc_id", F.transform("s", lambda x: F.trim(F.regexp_replace(F.lower(x), "\\s+", " "))).alias("s"))
-    runs = plain.where(F.size("s") >= span).select("doc_id", "s", F.explode(F.sequence(F.lit(1), F.size("s") - span + 1)).alias("i"))
-    text = F.array_join(F.slice("s", F.col("i"), span), " ")
-    return (runs.select("doc_id", F.col("i").alias("i"), text.alias("t")).where(F.size(F.split("t", " ")) >= min_words)
-            .select("doc_id", "i", F.xxhash64("t").alias("h1"), F.xxhash64(F.lit(1), "t").alias("h2")))
+    # every sentence counts one word at least, so no run has more than `most` sentences
+    most = max(span, min_words)
+    words = plain.where(F.size("s") >= span).select("doc_id", "s", F.expr("transform(s, x -> size(split(x, ' ')))").alias("w"))
+    grown = f"""aggregate({{0}}, named_struct('k', 0, 'n', 0), (a, x) -> if(a.k >= {span} and a.n >= {min_words}, a, named_struct('k', a.k + 1, 'n', a.n + x)))"""
+    forwards = grown.format(f"slice(w, i, {most})")
+    backwards = grown.format(f"reverse(slice(w, greatest(i - {most - 1}, 1), least(i, {most})))")
+    whole = f"r.k >= {span} and r.n >= {min_words}"
+    # a run that grew backwards is new if it would do without its last sentence
+    new = f"{whole} and r.k > {span} and r.n - w[r.e - 1] >= {min_words}"
+    runs = words.select("doc_id", "s", F.expr(f"""concat(
+        transform(filter(transform(sequence(1, size(w)), i -> named_struct('i', i, 'g', {forwards})), f -> f.g.k >= {span} and f.g.n >= {min_words}),
+                  f -> named_struct('i', f.i, 'k', f.g.k)),
+        transform(filter(transform(transform(sequence(1, size(w)), i -> named_struct('e', i, 'g', {backwards})),
+                                   f -> named_struct('e', f.e, 'k', f.g.k, 'n', f.g.n)), r -> {new}),
+                  f -> named_struct('i', f.e - f.k + 1, 'k', f.k)))""").alias("r"))
+    texts = runs.select("doc_id", F.explode(F.expr("transform(r, q -> named_struct('i', q.i, 'k', q.k, 't', array_join(slice(s, q.i, q.k), ' ')))")).alias("r"))
+    return texts.select("doc_id", "r.i", "r.k", F.xxhash64("r.t").alias("h1"), F.xxhash64(F.lit(1), "r.t").alias("h2"))
 
 
 def repeated_sentences(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, gone): numbers (from 1) of the sentences to remove, for documents that have any."""
     hashes = saved(span_hashes(clean_documents(docs), span, min_words))
     first = hashes.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "i")).alias("low"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = hashes.join(first, ["h1", "h2"]).where("struct(doc_id, i) > low").select("doc_id", "i")
-    covered = later.select("doc_id", F.explode(F.sequence(F.col("i"), F.col("i") + span - 1)).alias("i"))
+    later = hashes.join(first, ["h1", "h2"]).where("struct(doc_id, i) > low").select("doc_id", "i", "k")
+    covered = later.select("doc_id", F.explode(F.sequence(F.col("i"), F.col("i") + F.col("k") - 1)).alias("i"))
     return saved(covered.groupBy("doc_id").agg(F.array_sort(F.collect_set("i")).alias("gone")))
 
 

@@ -3,12 +3,13 @@
 import collections
 import functools
 import math
+import re
 
 import numpy as np
 import pytest
 from fixtures_llm import text
 
-from tablescope.llm import context_tree
+from tablescope.llm import context_tree, sentence_spans
 
 
 def _bytes(t: str) -> list[tuple[bytes, int]]:
@@ -78,3 +79,36 @@ def test_context_tree_scores_equal_weighting(spark, monkeypatch, held):
     for i in (5, 7):
         keys = np.array([int.from_bytes(c + bytes([b]), "big") for c, b in _bytes(texts[i])], np.int64)
         assert got[i] == pytest.approx(context_tree.log_probabilities(keys, model).sum(), abs=1e-6)
+
+
+def test_sentence_runs_grow_to_the_least_words(spark):
+    marked = " ".join(f"W{i % 13}X{i}!!" for i in range(60))
+    lines = "\n".join(f"item {i}" for i in range(40))
+    texts = {1: marked, 2: marked, 3: "Before. " + marked + " After.", 4: lines, 5: "New start here.\n" + lines + "\nNew end",
+             6: "Yes. No.", 7: "Yes. No.", 8: "One two three four. Five six seven eight. Alone here.", 9: "One two three four. Five six seven eight. Other end.", 10: None,
+             11: "A b c d e f. G h. I j. K l.", 12: "Q. A b c d e f. G h. I j. K l. Z."}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+
+    def split(t):
+        return re.findall("[^.!?\n]+[.!?\n]*\\s*|[.!?\n]+\\s*", t or "")
+
+    first, runs = {}, []
+    for d, t in sorted(texts.items()):
+        s = [" ".join(x.lower().split()) for x in split(t)]
+        n = len(s)
+        whole = lambda i, j: j - i >= 2 and len(" ".join(s[i:j]).split(" ")) >= 8  # noqa: B023, E731
+        # every run that is whole, and neither of its two shorter ones or only one of them is
+        for i in range(n):
+            for j in range(i + 2, n + 1):
+                if whole(i, j) and not (whole(i, j - 1) and whole(i + 1, j)):
+                    runs.append((d, i, j, " ".join(s[i:j])))
+    for d, i, j, t in runs:
+        first[t] = min(first.get(t, (d, i)), (d, i))
+    want = {d: set() for d in texts}
+    for d, i, j, t in runs:
+        if first[t] < (d, i):
+            want[d] |= set(range(i + 1, j + 1))
+    got = {r.doc_id: r for r in sentence_spans.dedup_sentences(docs).collect()}
+    assert {d: set(r.gone) for d, r in got.items()} == want
+    assert got[2].kept_text == "" and got[3].kept_text == "Before. After." and got[5].kept_text == "New start here.\nNew end"
+    assert got[7].n_removed == 0 and got[9].kept_text == "Other end." and got[12].kept_text == "Q. Z."
