@@ -294,8 +294,9 @@ def _list(names):
        f"union all select 'anomaly', null, array_to_string({_list(_L)}, ',') from n "
        f"union all select 'causal', 'l_orderkey', array_to_string({_list(_L[1:5])}, ',') from n")
 def m20(spark, d):
+    from tablescope.options import Options
     df = table(spark, d, "lineitem")
-    return rules.proposals(df, rl.detect(df)).withColumn("inputs", F.array_join("inputs", ","))
+    return rules.proposals(df, rl.detect(df), Options(reference_inputs=True)).withColumn("inputs", F.array_join("inputs", ","))
 
 
 @query("M21_recommendations", f"with p as (select l_extendedprice y, {_PRED} as p from lineitem), m as (select "

@@ -145,7 +145,7 @@ _TEXT = f"case when value is not null and {num('value')} is null then value end"
        "order by \"timestamp\", event_id limit 500"))
 def l4(spark, d):
     df = clean.split_mixed(fixture(spark, d, "signal_pool"), "value")
-    out = explore.event_timeline(df, "timestamp", "signalname", "value_text", ["timestamp", "event_id"], top=1000)
+    out = explore.event_timeline(df, "timestamp", "signalname", "value_text", ["timestamp", "event_id"], first=500, top=1000)
     return out.select("event_id", "event")
 
 
@@ -197,6 +197,15 @@ def l7_scatter(spark, d):
     k as (select event from e group by 1 order by count(*) desc, event limit 10)
     select event_id, "timestamp", event, signal from e where event in (select event from k)"""))
 def l8(spark, d):
+    df = clean.split_mixed(fixture(spark, d, "signal_pool"), "value")
+    return explore.event_timeline(df, "timestamp", "signalname", "value_text", ["timestamp", "event_id"], first=500)
+
+
+@query("L8_event_timeline_whole", with_fixture("signal_pool", f""", e as (select event_id, "timestamp", signalname as signal, {_TEXT} as event
+    from t where {_TEXT} is not null),
+    k as (select event from e group by 1 order by count(*) desc, event limit 10)
+    select event_id, "timestamp", event, signal from e where event in (select event from k)"""))
+def l8_whole(spark, d):
     df = clean.split_mixed(fixture(spark, d, "signal_pool"), "value")
     return explore.event_timeline(df, "timestamp", "signalname", "value_text", ["timestamp", "event_id"])
 

@@ -355,13 +355,16 @@ def whole_series(df: DataFrame, ts: str, value: str, order: Sequence[str],
 
 
 def event_timeline(df: DataFrame, ts: str, signal: str, text: str, order: Sequence[str],
-                   first: int = 500, top: int = 10, opts: Options = Options()) -> DataFrame:
-    """``(order..., event, signal)``: the first events by time, most frequent kinds only."""
+                   first: int | None = None, top: int = 10, opts: Options = Options()) -> DataFrame:
+    """``(order..., event, signal)``: all events of the kinds that are most frequent in the whole table.
+
+    ``first`` is the reference's form: only so many events by ``order`` count at all.
+    """
     columns = dict.fromkeys([ts, *order])
     events = (df.where(col(text).isNotNull())
-                .select(*[col(c) for c in columns], col(text).alias("event"), col(signal).alias("signal"))
-                .orderBy(*[col(c) for c in order]).limit(first))
-    # At most ``first`` rows from here on.
+                .select(*[col(c) for c in columns], col(text).alias("event"), col(signal).alias("signal")))
+    if first is not None:
+        events = events.orderBy(*[col(c) for c in order]).limit(first)
     kinds_ = events.groupBy("event").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "event").limit(top)
     return events.join(F.broadcast(kinds_.select("event")), "event", "left_semi")
 

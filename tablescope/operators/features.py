@@ -32,7 +32,7 @@ def calendar_features(df: DataFrame, ts: str) -> DataFrame:
     return df.withColumns({n: e for n, e in added.items() if n not in df.columns})
 
 
-def row_statistics(df: DataFrame, columns: Sequence[str], limit: int = 15) -> DataFrame:
+def row_statistics(df: DataFrame, columns: Sequence[str], limit: int | None = None) -> DataFrame:
     """Mean, sample std, max, min and range across columns, skipping nulls; needs three."""
     columns = list(columns)
     if len(columns) < 3:
@@ -52,11 +52,11 @@ def row_statistics(df: DataFrame, columns: Sequence[str], limit: int = 15) -> Da
 
 
 def ratio_pairs(columns: Sequence[str]) -> list[tuple[str, str]]:
-    """Column pairs whose ratio means something by name, two by two per hint pair at most."""
+    """Column pairs whose ratio means something by name."""
     pairs = []
     for top, bottom in RATIO_HINTS:
-        left = [c for c in columns if top in c.lower()][:2]
-        right = [c for c in columns if bottom in c.lower()][:2]
+        left = [c for c in columns if top in c.lower()]
+        right = [c for c in columns if bottom in c.lower()]
         pairs += [(a, b) for a in left for b in right if a != b and (a, b) not in pairs]
     return pairs
 

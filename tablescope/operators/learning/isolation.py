@@ -36,8 +36,8 @@ def average_depth(n: float) -> float:
 
 
 def contamination(df: DataFrame, columns: Sequence[str], opts: Options = Options()) -> DataFrame:
-    """Mean share of 1.5-IQR outliers over the first five columns, between 0.01 and 0.3."""
-    used = list(columns)[:5]
+    """Mean share of 1.5-IQR outliers over all columns, between 0.01 and 0.3."""
+    used = list(columns)
     share = F.lit(0.0)
     for c, (q1, q3) in quantile_row(df, used, (0.25, 0.75), opts).items():
         reach = 1.5 * (q3 - q1)

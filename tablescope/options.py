@@ -63,7 +63,7 @@ class Options:
     # features
     enable_features: bool = True
     date_features: bool = True
-    row_stat_columns: int = 15
+    row_stat_columns: int | None = None  # first columns of the row statistics; None: all
     lags: tuple[int, ...] = (1, 2, 3, 7)
     rolling_rows: int = 7
     forecast_lags: tuple[int, ...] = (1, 2, 3, 7, 14)
@@ -84,7 +84,8 @@ class Options:
     trees: int = 100
     boosting_rounds: int = 100
     forest_depth: int = 10
-    max_features: int = 20
+    max_features: int | None = None  # first columns of a model; None: all
+    reference_inputs: bool = False    # proposals name the first few columns, like the reference
     kmeans_restarts: int = 3
     isolation_trees: int = 100
     isolation_rows: int = 256
