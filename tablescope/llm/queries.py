@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablescope.llm import (chat_format, context_tree, decontam, language_crf, mixing, ngram_join, quality_rules,
-                            sentence_spans, suffix_dedup, toxicity)
+from tablescope.llm import (chat_format, context_tree, decontam, histogram_sort, language_crf, mixing, ngram_join, prefix_trie,
+                            quality_rules, sentence_spans, suffix_dedup, toxicity)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,18 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.ordered_turns(_table(spark, sf_dir, "conversations"))
+    conv_ids, rebuilt = prefix_trie.share_heads(turns, block=20, heads=4)
+    found = prefix_trie.prefix_trie(prefix_trie.conversation_paths(rebuilt, conv_ids))
+    return found.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+def op13_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = histogram_sort.shards(_table(spark, sf_dir, "documents"), parts=24)
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -73,7 +85,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_ngram_jaccard_join, op2_chat_formatting, op3_quality_rules, op4_suffix_array_dedup, op5_mixing, op6_toxicity,
-    op7_context_tree_scoring, op8_language_crf, op9_sentence_spans, op10_decontamination, pipeline)}
+    op7_context_tree_scoring, op8_language_crf, op9_sentence_spans, op10_decontamination, op11_prefix_trie, op13_histogram_sort, pipeline)}
 
 #: Queries that SQL can express.
 ORACLES: dict[str, str] = {}
