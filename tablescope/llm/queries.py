@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablescope.llm import (chat_format, context_tree, decontam, histogram_sort, language_crf, mixing, ngram_join, prefix_trie,
-                            quality_rules, sentence_spans, suffix_dedup, toxicity)
+from tablescope.llm import (chat_format, context_tree, decontam, histogram_sort, language_crf, mixing, ngram_join, periodic_runs,
+                            prefix_trie, quality_rules, sentence_spans, suffix_dedup, toxicity)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,6 +72,28 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
 
 
+def _with_planted_periods(docs: DataFrame) -> DataFrame:
+    """doc_id and text; documents whose crc32(doc_id) ends in 0 repeat their words from place a on with period p, joined by spaces."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.regexp_extract_all(F.col("text"), F.lit("[^\\x20\\x09-\\x0D]+"), F.lit(0))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.floor(h / 10).alias("g"), (h % 10 == 0).alias("planted"))
+
+    def repeat(w):
+        n = F.size(w)
+        a = F.expr("cast(g as int)") % n
+        p = 1 + F.floor((n - a) / (3 + F.col("g") % 8)).cast("int")
+        times = F.ceil((n - a) / p).cast("int")
+        tail = F.slice(F.flatten(F.array_repeat(F.slice(w, a + 1, p), times)), F.lit(1), n - a)
+        return F.when(n > 0, F.array_join(F.concat(F.slice(w, F.lit(1), a), tail), " ")).otherwise(F.lit(""))
+
+    # the word list is bound once as a lambda's variable
+    return docs.select("doc_id", F.when(F.col("planted") & F.col("text").isNotNull(), F.transform(F.array(words), repeat)[0]).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digests(periodic_runs.periodic_runs(_with_planted_periods(_table(spark, sf_dir, "documents"))))
+
+
 def op13_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = histogram_sort.shards(_table(spark, sf_dir, "documents"), parts=24)
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -85,7 +107,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_ngram_jaccard_join, op2_chat_formatting, op3_quality_rules, op4_suffix_array_dedup, op5_mixing, op6_toxicity,
-    op7_context_tree_scoring, op8_language_crf, op9_sentence_spans, op10_decontamination, op11_prefix_trie, op13_histogram_sort, pipeline)}
+    op7_context_tree_scoring, op8_language_crf, op9_sentence_spans, op10_decontamination, op11_prefix_trie,
+    op12_periodic_runs, op13_histogram_sort, pipeline)}
 
 #: Queries that SQL can express.
 ORACLES: dict[str, str] = {}
