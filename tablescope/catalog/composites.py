@@ -1,12 +1,14 @@
 """Whole-table composites and streams."""
 
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablescope.catalog.aggregates import _DIRTY_SCORE
-from tablescope.catalog.base import R, fixture, query, rounded, scratch, table, with_fixture
+from tablescope.catalog.base import R, fixture, query, rounded, scratch, table, union, with_fixture
+from tablescope.catalog.learning import _E, _RULES
 from tablescope.operators import clean, encode, missing, outliers, quality
 from tablescope.operators.features import features
 from tablescope.plans import roles as rl
@@ -70,15 +72,40 @@ def c5_signals(spark, d):
     return counts(exploration(cleaned, roles, order=["timestamp", "event_id"]))
 
 
+def outcomes(spark, found) -> DataFrame:
+    """One row per analysis and metric: (kind, success, error, model, metric, value); a failed analysis is one row with its reason."""
+    schema = "kind string, success boolean, error string, model string, metric string, value double"
+    rows = spark.createDataFrame([(f.kind, False, f.error, None, None, None) for f in found if not f.success], schema)
+    for f in found:
+        if f.success:
+            rows = rows.unionByName(f.metrics.select(F.lit(f.kind).alias("kind"), F.lit(True).alias("success"), F.lit("").alias("error"),
+                                                     "model", "metric", "value"))
+    return rows
+
+
 @query("C6_run_analysis")
 def c6(spark, d):
+    """Every kind of analysis on one table; those that do not fit it say why."""
     df = table(spark, d, "customer")
     roles = rl.detect(df)
-    kinds = ("clustering", "association", "anomaly")
-    found = [run_analysis(df, roles, k, key=["c_custkey"] if k == "anomaly" else ()) for k in kinds]
-    if lost := [f"{k}: {f.error}" for k, f in zip(kinds, found, strict=True) if not f.success]:
-        raise RuntimeError(f"analyses failed: {lost}")
-    return reduce(DataFrame.unionByName, [f.metrics for f in found])
+    found = [run_analysis(df, roles, k, key=["c_custkey"] if k == "anomaly" else ()) for k in ("clustering", "association", "anomaly", "timeseries", "none")]
+    return outcomes(spark, found)
+
+
+_FACTS = {"itemsets": "(select count(*) from q)", "rules": "(select count(*) from found)", "max_lift": "(select max(lift) from found)",
+          "max_confidence": "(select max(confidence) from found)", "min_support": "(select ms from k)", "columns": "4"}
+
+
+# Line items with a column that goes with the quantity, so that there are rules.
+_WEIGHED = "t as (select *, l_quantity * 2 + l_tax as weight from lineitem), " + _E.replace("from lineitem", "from t").replace("l_extendedprice", "weight")
+
+
+@query("C6_run_analysis_association", f"with {_WEIGHED.format(limit='ms')}, found as ({_RULES}) " + union(
+    [f"select 'association' as kind, true as success, '' as error, '{name}' as metric, " + R(f"{sql}::double", 8) + " as value" for name, sql in _FACTS.items()]))
+def c6_association(spark, d):
+    df = table(spark, d, "lineitem").select("l_returnflag", "l_linestatus", "l_quantity", F.expr("l_quantity * 2 + l_tax").alias("weight"))
+    roles = replace(rl.detect(df), categorical=("l_returnflag", "l_linestatus"), numeric=("l_quantity", "weight"))
+    return rounded(outcomes(spark, [run_analysis(df, roles, "association")]).drop("model"), 8)
 
 
 @query("C7_fit_apply", with_fixture("segment_gaps", ", f as (select * from t where c_custkey % 2 = 0) "

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablescope.catalog.base import R, fixture, query, rounded, table, union, with_fixture
+from tablescope.operators import windows
 from tablescope.operators.learning import association as assoc
-from tablescope.operators.learning import clusters, forecast, isolation, rules, supervised
+from tablescope.operators.learning import clusters, forecast, isolation, rules, series_forecast, supervised
 from tablescope.operators.learning.common import (mark_split, metrics_table, moments,
                                                   regression_metrics, standardize, top_importances)
 from tablescope.operators.windows import forecast_feature_names
@@ -149,6 +150,32 @@ def m11(spark, d):
     return forecast.forecast(fixture(spark, d, "daily_sales"), "o_orderdate", "sales").metrics
 
 
+# A straight line per event type over its rows in time order, with its own level and slope.
+_LINES = ("l as (select event_type, row_number() over (partition by event_type order by ts, event_id) as nth from events), "
+          "p as (select event_type, count(*) as n, length(event_type) * 100.0::double as level, length(event_type) * 0.25::double as slope from l group by 1)")
+
+
+def _lines(spark, d):
+    numbered = windows.group_index(table(spark, d, "events").select("event_type", "ts", "event_id"), ["event_type"], ["ts", "event_id"], "nth")
+    size = F.length("event_type")
+    # daily stamps, three rows of a series share each stamp's hour with other series
+    return numbered.select("event_type", F.expr("cast(timestamp '2020-01-01 00:00:00' as timestamp) + make_dt_interval(nth)").alias("at"),
+                           (size * 100.0 + size * 0.25 * (F.col("nth") + 1)).alias("reading"))
+
+
+@query("M11_forecast_per_signal", f"with {_LINES} select event_type, cast(k as int) as step, " + R("level + slope * (n + k)", 3)
+       + " as prediction from p, range(1, 8) s(k)")
+def m11_per_signal(spark, d):
+    found = series_forecast.forecast_each(_lines(spark, d), "at", "reading", ["event_type"])
+    return rounded(found.tables["future"].drop("at"), 3)
+
+
+@query("M11_forecast_per_signal_fit", f"with {_LINES} select event_type, n - 14 as \"rows\", cast(floor((n - 14) * 0.8) as bigint) as train_rows, "
+       "n - 14 - cast(floor((n - 14) * 0.8) as bigint) as test_rows, 1.0::double as r2, 0.0::double as rmse, 0.0::double as mae from p")
+def m11_per_signal_fit(spark, d):
+    return rounded(series_forecast.forecast_each(_lines(spark, d), "at", "reading", ["event_type"]).metrics, 3)
+
+
 @query("M12_future_steps")
 def m12(spark, d):
     from pyspark.ml.regression import LinearRegression

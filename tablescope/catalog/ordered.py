@@ -128,6 +128,25 @@ def w8(spark, d):
     return windows.number_rows(table(spark, d, "events").select("event_id", "ts"), ORDER, BLOCKS).drop("ts")
 
 
+_DAY_ROWS = "select event_id, date_trunc('day', ts) as day, event_type, value from events"
+
+
+@query("W1_lags_tied_stamps", f"select event_id, {', '.join(f'lag(value, {k}) over w as value_lag{k}' for k in (1, 2, 3, 7))}, "
+       + R("avg(value) over (partition by event_type order by day, event_id rows between 6 preceding and current row)") + " as value_roll_mean_7 "
+       f"from ({_DAY_ROWS}) window w as (partition by event_type order by day, event_id)")
+def w1_tied(spark, d):
+    """The order names the day only; the row decides among its many rows."""
+    df = table(spark, d, "events").select("event_id", F.date_trunc("day", "ts").alias("day"), "event_type", "value")
+    out = windows.lag_features(df, "value", ["day"], ["event_type"], BLOCKS)
+    return rounded(out.drop("day", "event_type", "value", "value_roll_std_7"))
+
+
+@query("W8_row_numbers_tied_stamps", f"select event_id, row_number() over (order by event_type, event_id) as _rn from ({_DAY_ROWS})")
+def w8_tied(spark, d):
+    df = table(spark, d, "events").select("event_id", "event_type", "value")
+    return windows.number_rows(df, ["event_type"], BLOCKS).drop("event_type", "value")
+
+
 @query("L1_time_order", "select o_orderkey, o_orderdate from orders order by o_orderdate, o_orderkey")
 def l1(spark, d):
     return table(spark, d, "orders").select("o_orderkey", "o_orderdate").orderBy("o_orderdate", "o_orderkey")

@@ -69,14 +69,16 @@ def frequent_itemsets(df: DataFrame, columns: Sequence[str], min_support: float)
     return counted.select("items", F.size("items").alias("size"), "n", (F.col("n") / total).alias("support"))
 
 
-def adaptive_itemsets(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, float]:
-    """Itemsets at the highest tried support that gives at least five, and that support.
+def adaptive_itemsets(df: DataFrame, columns: Sequence[str], until_pairs: bool = False) -> tuple[DataFrame, float]:
+    """Itemsets at the highest tried support that gives at least five (``until_pairs``: and a pair), and that support.
 
     One count at the lowest support serves all of them.
     """
     sets = materialize(frequent_itemsets(df, columns, SUPPORTS[-1]))
-    found = sets.agg(*[F.count_if(F.col("support") >= s).alias(f"s{i}") for i, s in enumerate(SUPPORTS)]).first()
-    i = next((i for i in range(len(SUPPORTS)) if found[f"s{i}"] >= ENOUGH), len(SUPPORTS) - 1)
+    found = sets.agg(*[F.count_if(F.col("support") >= s).alias(f"s{i}") for i, s in enumerate(SUPPORTS)],
+                     *[F.count_if((F.col("support") >= s) & (F.col("size") > 1)).alias(f"p{i}") for i, s in enumerate(SUPPORTS)]).first()
+    fits = lambda i: found[f"s{i}"] >= ENOUGH and (found[f"p{i}"] > 0 or not until_pairs)
+    i = next((i for i in range(len(SUPPORTS)) if fits(i)), len(SUPPORTS) - 1)
     return sets.where(F.col("support") >= SUPPORTS[i]), SUPPORTS[i]
 
 
@@ -109,8 +111,12 @@ def top_itemsets(sets: DataFrame, k: int = 20) -> DataFrame:
 
 
 def association(df: DataFrame, categorical: Sequence[str], numeric: Sequence[str],
-                opts: Options = Options()) -> Analysis:
-    """Frequent itemsets and rules over up to eight categorical and eight binned columns."""
+                opts: Options = Options(), until_pairs: bool = False) -> Analysis:
+    """Frequent itemsets and rules over all categorical and binned columns.
+
+    ``until_pairs`` lowers the support further until some pair is frequent. Without it few, even
+    columns can fill the least number of itemsets with single items, and no rule exists: a failed result.
+    """
     spark = df.sparkSession
     numeric = [c for c in numeric if c not in categorical]
     binned = terciles(df, numeric, opts)
@@ -120,7 +126,7 @@ def association(df: DataFrame, categorical: Sequence[str], numeric: Sequence[str
     n = binned.dropna(subset=used).count()
     if n < 20:
         return failed("association", f"too few rows: {n}")
-    sets, support = adaptive_itemsets(binned, used)
+    sets, support = adaptive_itemsets(binned, used, until_pairs)
     found = sets.count()
     if not found:
         return failed("association", "no frequent itemsets")

@@ -14,7 +14,7 @@ from tablescope.operators.learning import rules
 from tablescope.operators.learning.common import (Analysis, assemble, failed, importance_table,
                                                   metrics_table, model_importances, regression_metrics,
                                                   spread)
-from tablescope.operators.windows import chronological_split, forecast_feature_names, forecast_features
+from tablescope.operators.windows import chronological_split, forecast_feature_names, forecast_features, total_order
 from tablescope.options import Options
 from tablescope.plans.runtime import materialize
 
@@ -67,7 +67,8 @@ def history(df: DataFrame, ts: str, target: str, order: Sequence[str], by: Seque
             opts: Options = Options()) -> DataFrame:
     """One row per series: the last values (oldest first), last time and last time step."""
     depth = max(*opts.forecast_lags, *opts.forecast_windows)
-    w = Window.partitionBy(*[col(b) for b in by] or [F.lit(0)]).orderBy(*[col(c).desc() for c in order])
+    # the reverse of the order that the features were made in, ties included
+    w = Window.partitionBy(*[col(b) for b in by] or [F.lit(0)]).orderBy(*[k.desc() for k in total_order(df, [*by, *order])[len(by):]])
     # The constant row-number filter is cut down per task before the shuffle.
     recent = df.withColumn("_back", F.row_number().over(w)).where(F.col("_back") <= depth)
     entries = F.array_sort(F.collect_list(F.struct((-F.col("_back")).alias("p"), col(target).cast("double").alias("v"),

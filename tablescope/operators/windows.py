@@ -2,8 +2,9 @@
 
 Rows are numbered exactly in a range-partitioned order, cut into blocks of equal
 size, and each block gets copies of the last rows of the block before it (a halo).
-Windows then run per block, so neither a long series nor one hot series is ever
-sorted by a single task. Small tables use one block.
+Windows then run per block, so neither a long series, one hot series nor one hot time stamp is ever
+sorted by a single task. Small tables use one block. Order keys need not be unique: ties are
+broken by the row itself, so reruns agree.
 """
 
 from __future__ import annotations
@@ -12,33 +13,89 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tablescope.functions.exprs import col
+from tablescope.functions.exprs import col, row_hash
 from tablescope.options import Options
-from tablescope.plans.runtime import lookup_join, materialize
+from tablescope.plans.runtime import lookup_join, materialize, number_copies
 
 RN, BLOCK, OWN = "_rn", "_blk", "_own"
+#: Columns besides the order keys that decide ties before row hashes do.
+TIE_COLUMNS = 3
+TIE_TYPES = (T.IntegralType, T.FractionalType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType)
+
+
+def total_order(df: DataFrame, order: Sequence[str]) -> list[Column]:
+    """Keys that put the rows in one definite order, whatever order they were read in.
+
+    Rows with equal ``order`` keys go by the first TIE_COLUMNS other columns of number, date or
+    truth type, then by two hashes of the row. Rows that agree in all of these are equal, so it does not
+    matter which comes first.
+    """
+    chosen = set(order)
+    ties = [f.name for f in df.schema if f.name not in chosen and isinstance(f.dataType, TIE_TYPES)][:TIE_COLUMNS]
+    return [*[col(c) for c in [*order, *ties]], row_hash(df, 11), row_hash(df, 12)]
+
+
+def _in_order(df: DataFrame, parts: int, keys: Sequence[Column]) -> DataFrame:
+    """Rows dealt to ``parts`` ranges of ``keys``, with range number ``_part`` and place in it ``_at`` (from 0).
+
+    One exchange: the place in the sorted range is counted while the rows stream by. Range bounds come
+    from a sample, so the result is written down once.
+    """
+    sorted_ = df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+    ids = sorted_.withColumn("_id", F.monotonically_increasing_id())
+    place = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    return materialize(ids.withColumn("_part", F.shiftright("_id", 33)).withColumn("_at", place).drop("_id"))
+
+
+def range_cells(df: DataFrame, order: Sequence[str], opts: Options = Options()) -> DataFrame:
+    """Rows in cells that follow each other in the total order: ``_part``, ``_sub`` and place ``_at`` in the cell.
+
+    Two levels. The first deals the rows to ranges of the order keys and the tie breakers, so that a
+    key that a third of the rows share is spread over many ranges. The ranges are counted; those of more than twice
+    ``block_rows`` (the sample was unlucky, one row is repeated very often, or ``range_partitions`` were too few)
+    are dealt out again among themselves, with equal rows told apart by a copy number. No cell depends on a single key.
+    """
+    names = df.columns
+    rows = df.count()
+    parts = min(-(-rows // opts.block_rows), opts.range_partitions)
+    first = _in_order(df, parts, total_order(df, order))
+    heavy = first.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 2 * opts.block_rows)
+    # at most range_partitions rows
+    crowded = {r["_part"]: r["_n"] for r in heavy.collect()}
+    if not crowded:
+        return first.withColumn("_sub", F.lit(0).cast("bigint"))
+    again = number_copies(first.where(F.col("_part").isin(list(crowded))).drop("_at"), "_copy")
+    inner = again.select(*[col(c) for c in names])
+    keys = [F.col("_part"), *total_order(inner, order), F.col("_copy")]
+    pieces = min(-(-sum(crowded.values()) // opts.block_rows), opts.range_partitions)
+    second = _in_order(again.withColumnRenamed("_part", "_cell"), pieces, [F.col("_cell"), *keys[1:]])
+    second = second.withColumnRenamed("_part", "_sub").withColumnRenamed("_cell", "_part")
+    # a piece may reach over two crowded cells: number it within each
+    low = second.groupBy("_part", "_sub").agg(F.min("_at").alias("_low"))
+    second = second.join(F.broadcast(low), ["_part", "_sub"]).withColumn("_at", F.col("_at") - F.col("_low"))
+    light = first.where(~F.col("_part").isin(list(crowded))).withColumn("_sub", F.lit(0).cast("bigint"))
+    wanted = [*[col(c) for c in names], "_part", "_sub", "_at"]
+    return light.select(*wanted).unionByName(second.select(*wanted))
 
 
 def number_rows(df: DataFrame, order: Sequence[str], opts: Options = Options(),
                 name: str = RN) -> DataFrame:
-    """Exact 1-based global row number in the order of ``order`` (unique keys)."""
-    keys = [col(c) for c in order]
+    """Exact 1-based global row number in the order of ``order``; ties as in ``total_order``."""
     n = df.count()
     if n <= opts.block_rows:
+        keys = total_order(df, order)
         return df.withColumn(name, F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*keys))
                              .cast("bigint"))
-    parts = min(-(-n // opts.block_rows), opts.range_partitions)
-    # Range bounds come from a sample, so the partition ids are written down once.
-    ranged = materialize(df.repartitionByRange(parts, *keys).withColumn("_part", F.spark_partition_id()))
-    sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
-    # One row per partition, at most range_partitions.
-    ahead = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_part", F.coalesce(F.sum("_size").over(ahead), F.lit(0)).alias("_start"))
-    local = F.row_number().over(Window.partitionBy("_part").orderBy(*keys))
-    return (ranged.join(F.broadcast(starts), "_part")
-                  .withColumn(name, F.col("_start") + local)
-                  .drop("_part", "_start"))
+    cells = range_cells(df, order, opts)
+    sizes = cells.groupBy("_part", "_sub").agg(F.count(F.lit(1)).alias("_size"))
+    # One row per cell, at most twice range_partitions and the crowded ones.
+    ahead = Window.partitionBy(F.lit(0)).orderBy("_part", "_sub").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_part", "_sub", F.coalesce(F.sum("_size").over(ahead), F.lit(0)).alias("_start"))
+    return (cells.join(F.broadcast(starts), ["_part", "_sub"])
+                 .withColumn(name, (F.col("_start") + F.col("_at") + 1).cast("bigint"))
+                 .drop("_part", "_sub", "_start", "_at"))
 
 
 def blocked(df: DataFrame, order: Sequence[str], by: Sequence[str] = (), halo: int = 0,

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tablescope.operators import clean as cleaning
 from tablescope.operators import explore, quality
 from tablescope.operators.features import features
-from tablescope.operators.learning import association, clusters, forecast, isolation, supervised
+from tablescope.operators.learning import association, clusters, forecast, isolation, series_forecast, supervised
 from tablescope.operators.learning.common import Analysis, failed
 from tablescope.operators.learning.rules import proposals
 from tablescope.options import TARGET_NAMES_ANALYSIS, TARGET_NAMES_EDA, Options
@@ -147,6 +147,9 @@ def run_analysis(df: DataFrame, roles: Roles, kind: str, target: str | None = No
             return isolation.anomaly(df, numbers, key, opts)
         if kind in ("timeseries", "forecast"):
             ts = roles.timestamp
+            if roles.shape == "signal_pool" and roles.signal in df.columns:
+                return series_forecast.forecast_each(df, ts, target or (numbers[0] if numbers else None), [roles.signal],
+                                                     [ts, *key] if ts else None, opts=opts)
             return forecast.forecast(df, ts, target or (numbers[0] if numbers else None),
                                      [ts, *key] if ts else None, opts=opts)
         if kind == "association":

@@ -8,7 +8,7 @@ import __spark_entry__ as entry
 
 # Model comparisons with full boosting take minutes; their parts are tested in test_learning.
 SLOW = {"M1_regression", "M2_residuals", "M3_classification", "M5_clustering", "M5_cluster_curve", "M7_quick_clusters",
-        "M11_forecast", "M17_forest_importance", "C5_exploration", "C6_run_analysis"}
+        "M11_forecast", "M17_forest_importance", "C5_exploration"}
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
 
 

@@ -213,3 +213,68 @@ def test_analyze_signal_pool(spark):
     assert report.roles.shape == "signal_pool" and report.roles.value_num == "value_num"
     assert {"time_series", "timeline", "describe", "histogram"} <= set(report.tables)
     assert {"sig_mean", "value_num_lag1", "timestamp_is_weekend"} <= set(report.cleaned.columns)
+
+
+# ------------------------------------------------------------- forecast per series
+def many_series(spark):
+    """Lines, a wave, a constant, a short series, tied stamps and gaps."""
+    rows = [("line", i, 3.0 + 2.0 * i) for i in range(60)] + [("down", i, 1e6 - 0.5 * i) for i in range(90)] + [("flat", i, 7.0) for i in range(50)]
+    rows += [("wave", i, float(np.sin(i / 3.0)) + i * 0.01) for i in range(200)] + [("short", i, float(i)) for i in range(25)]
+    rows += [("line", 5, None), (None, 1, 1.0), ("tied", 3, 1.0), ("tied", 3, 2.0)]
+    return spark.createDataFrame(rows, "signal string, day int, value double").withColumn("at", F.expr("timestamp '2024-01-01' + make_dt_interval(day)"))
+
+
+def test_forecast_per_series(spark):
+    from tablescope.operators.learning.series_forecast import forecast_each
+
+    df = many_series(spark)
+    small = replace(Options(), block_rows=40, broadcast_rows=1)
+    for opts in (Options(), small):
+        found = forecast_each(df, "at", "value", ["signal"], steps=5, opts=opts)
+        future = {(r["signal"], r["step"]): r["prediction"] for r in found.tables["future"].collect()}
+        assert {s for s, _ in future} == {"line", "down", "flat", "wave"}
+        for k in range(1, 6):
+            assert future["line", k] == pytest.approx(3.0 + 2.0 * (59 + k), rel=1e-6)
+            assert future["down", k] == pytest.approx(1e6 - 0.5 * (89 + k), rel=1e-9)
+            assert future["flat", k] == pytest.approx(7.0)
+            assert abs(future["wave", k] - (np.sin((199 + k) / 3.0) + (199 + k) * 0.01)) < 0.1
+        assert {r["signal"]: r["rows"] for r in found.tables["skipped"].collect()} == {"short": 25, "tied": 2}
+        metrics = {r["signal"]: r for r in found.metrics.collect()}
+        assert metrics["line"]["rows"] == 46 and metrics["line"]["train_rows"] == 36 and metrics["wave"]["r2"] > 0.99
+
+
+def test_series_weights_are_least_squares(spark):
+    """Against numpy on the same features."""
+    from tablescope.operators.learning.series_forecast import forecast_each
+    from tablescope.operators.windows import forecast_feature_names, forecast_features
+
+    rng = np.random.default_rng(5)
+    rows = [(s, i, float(x)) for s in ("a", "b") for i, x in enumerate(rng.normal(size=150).cumsum())]
+    df = spark.createDataFrame(rows, "signal string, day int, value double").withColumn("at", F.expr("timestamp '2024-01-01' + make_dt_interval(day)"))
+    scored = {(r["signal"], r["at"]): r["predicted"] for r in forecast_each(df, "at", "value", ["signal"]).predictions.collect()}
+    names = forecast_feature_names()
+    for s in ("a", "b"):
+        made = forecast_features(df.where(F.col("signal") == s), "at", "value").toPandas().sort_values("at")
+        x, y = np.c_[made[names].to_numpy(float), np.ones(len(made))], made["value"].to_numpy()
+        cut = int(len(made) * 0.8)
+        w = np.linalg.lstsq(x[:cut], y[:cut], rcond=None)[0]
+        for at, p in zip(made["at"][cut:], x[cut:] @ w):
+            assert scored[s, at.to_pydatetime()] == pytest.approx(p, abs=1e-4)
+
+
+def test_forecast_each_says_why(spark):
+    from tablescope.operators.learning.series_forecast import forecast_each
+
+    df = many_series(spark)
+    for args in (("day", "value", ["signal"]), ("at", "none", ["signal"]), ("at", "value", [])):
+        assert not forecast_each(df, *args).success
+    assert not forecast_each(df.where("signal = 'short'"), "at", "value", ["signal"]).success
+    assert not forecast_each(df.limit(0), "at", "value", ["signal"]).success
+
+
+def test_association_goes_on_until_pairs(spark):
+    rows = [(i % 3, i % 7 % 3, i % 11 % 3) for i in range(300)]
+    df = spark.createDataFrame([(f"a{a}", f"b{b}", f"c{c}") for a, b, c in rows], "a string, b string, c string")
+    plain = association.association(df, ["a", "b", "c"], [])
+    assert not plain.success and "no rules" in plain.error
+    assert association.association(df, ["a", "b", "c"], [], until_pairs=True).success

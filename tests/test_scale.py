@@ -122,3 +122,39 @@ def test_quota_is_cut_before_the_shuffle(spark, events):
     from tablescope.operators.quota import admitted
 
     assert "WindowGroupLimit" in plan_of(admitted(events, "event_type", "ts", ["ts", "event_id"]))
+
+
+# ------------------------------------------------------------------ tied keys
+def tied(spark):
+    """A time stamp with a third of the rows, one row repeated very often, gaps and a null stamp."""
+    rows = [(None if i % 97 == 0 else 50 if i % 3 == 0 else i * 7919 % 400, float(i % 53), f"n{i % 5}") for i in range(1200)]
+    rows += [(200, 1.0, "copy")] * 500
+    return spark.createDataFrame(rows, "ts int, v double, name string")
+
+
+def test_no_range_is_crowded(spark):
+    df = tied(spark)
+    cells = windows.range_cells(df, ["ts"], SMALL)
+    sizes = [r["n"] for r in cells.groupBy("_part", "_sub").agg(F.count("*").alias("n")).collect()]
+    mean = sum(sizes) / -(-sum(sizes) // SMALL.block_rows)
+    assert sum(sizes) == df.count() and max(sizes) <= 2 * mean
+
+
+def test_tied_rows_are_numbered_alike(spark):
+    df = tied(spark)
+    key = lambda r: tuple((x is not None, x) for x in r)
+    want = [r for r in sorted((tuple(r) for r in df.collect()), key=key)]
+    for opts in (Options(), SMALL):
+        for shuffled in (df, df.repartition(7, "name"), df.orderBy(F.desc("v")).coalesce(2)):
+            got = windows.number_rows(shuffled, ["ts"], opts).orderBy("_rn").collect()
+            assert [r["_rn"] for r in got] == list(range(1, len(want) + 1))
+            # the first columns decide, the hash only among equal (ts, v)
+            assert [tuple(r)[:2] for r in got] == [w[:2] for w in want]
+
+
+def test_equal_lags_on_two_shuffles(spark):
+    df = tied(spark)
+    lags = lambda d, o: sorted(map(str, windows.lag_features(d, "v", ["ts"], ["name"], o).collect()))
+    a = lags(df, Options())
+    for opts in (Options(), SMALL, replace(SMALL, range_partitions=3)):
+        assert lags(df.repartition(5, "v"), opts) == a
