@@ -3,9 +3,9 @@
 Spark's ``percentile`` keeps every distinct value of a group in one buffer. That is
 used while the largest group is small enough. For a large ungrouped table a sketch gives
 bounds around every wanted rank; an exact count checks them and only the few values in
-between are sorted. Where that does not settle a column, and for large groups, bounds are
-narrowed step by step: each pass counts rows per cell of the current bracket (a combined,
-tiny aggregate) and keeps the cells that hold the wanted ranks.
+between are sorted. Where that does not settle a column, and for large groups, ranks are found by
+radix selection: each pass counts rows by the next bits of an order-preserving image of the
+values (a combined, tiny aggregate) and keeps the cells that hold the wanted ranks.
 """
 
 from __future__ import annotations
@@ -23,10 +23,10 @@ from tablescope.options import Options
 from tablescope.plans.runtime import lookup_join, materialize
 from tablescope.plans.stats import long_aggregate
 
-CELLS = 4096
 ACCURACY = 10_000        # rank error of the sketch is one part in this many
 TARGETS_PER_PASS = 40
-_EDGE = 8e307
+CELL_ROWS = 10_000       # rows of a cell that are sorted instead of counted again
+SHIFTS = (52, 40, 28, 16, 4, 0)  # bits of a value's image left out by each pass of the selection
 
 
 def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
@@ -36,7 +36,7 @@ def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
     groups = df.groupBy(*[col(b) for b in by]).agg(F.count(F.lit(1)).alias("_n"))
     largest = groups.agg(F.max("_n")).first()[0] or 0
     if by and largest > opts.exact_rows:
-        return _narrowed(df, columns, probs, by, opts)
+        return _selected(df, columns, probs, by, opts)
     if not by and largest > opts.buffer_rows:
         return _bracketed(df, columns, probs, opts)
     # Several columns share a pass only while their buffers stay small together.
@@ -104,7 +104,7 @@ def _bracketed(df, columns, probs, opts):
     left = sorted({t["c"] for t in targets if (t["c"], t["p"]) not in value}, key=columns.index)
     done = [(c, p, v) for (c, p), v in value.items() if c not in left]
     out = df.sparkSession.createDataFrame(done, "column string, p double, value double")
-    return out.unionByName(_narrowed(df, left, probs, [], opts)) if left else out
+    return out.unionByName(_selected(df, left, probs, [], opts)) if left else out
 
 
 def _order_statistics(df, near, opts):
@@ -133,7 +133,34 @@ def _order_statistics(df, near, opts):
     return {r["i"]: (r["low"], r["high"]) for r in picked.collect()}
 
 
-def _narrowed(df, columns, probs, by, opts):
+def with_image(df, x: str, name: str):
+    """Add the double ``x`` as a long in the same order: its IEEE bits, negated for negative values; NaN comes last.
+
+    The binary exponent is estimated by a logarithm and then corrected by exact scaling with powers of
+    two. Each step is a column of its own, so that it is computed once.
+    """
+    size, two = F.abs(F.col(x)), lambda e: F.pow(F.lit(2.0), F.col(e))
+    out = df.withColumn("_e0", F.greatest(F.least(F.floor(F.log2(size)), F.lit(1023)), F.lit(-1022)).cast("double"))
+    out = out.withColumn("_e1", size / two("_e0"))
+    out = out.withColumn("_e2", F.when(F.col("_e1") >= 2.0, F.col("_e0") + 1).when((F.col("_e1") < 1.0) & (F.col("_e0") > -1022), F.col("_e0") - 1).otherwise(F.col("_e0")))
+    out = out.withColumn("_e3", size / two("_e2"))
+    bits = (F.when(size == F.lit(float("inf")), F.lit(2047 << 52))
+            .when(size < F.lit(2.0 ** -1022), (size * F.lit(2.0 ** 537) * F.lit(2.0 ** 537)).cast("long"))
+            .otherwise((F.col("_e2").cast("long") + 1023) * F.lit(1 << 52) + ((F.col("_e3") - 1.0) * F.lit(2.0 ** 52)).cast("long")))
+    out = out.withColumn("_e4", bits)
+    signed = F.when(F.isnan(F.col(x)), F.lit(2 ** 63 - 1)).when(F.col(x) < 0, -F.col("_e4")).otherwise(F.col("_e4"))
+    # never null, so that Spark derives no null test that would repeat all of these steps
+    return out.withColumn(name, F.coalesce(signed, F.lit(0).cast("long"))).drop("_e0", "_e1", "_e2", "_e3", "_e4")
+
+
+def _selected(df, columns, probs, by, opts):
+    """Radix selection: each wanted rank follows the cell of leading bits that holds it.
+
+    A pass counts rows by the next bits of the values' images, for all groups, columns and ranks together, and
+    only for cells that still hold a rank. The two ranks of one quantile are followed apart, so every pass
+    shrinks what is open however far apart they lie, and after the last bits nothing is. A cell with at most
+    ``CELL_ROWS`` rows or one value needs no further pass.
+    """
     keys = [f"_k{i}" for i in range(len(by))]
     # Null keys travel as a struct, which compares equal to itself in a join.
     flat = df.select(*[F.struct(col(b)).alias(k) for b, k in zip(by, keys)],
@@ -141,79 +168,71 @@ def _narrowed(df, columns, probs, by, opts):
     flat = (flat.unpivot([F.col(k) for k in keys], [F.col(f"_c{i}") for i in range(len(columns))],
                          "_col", "_x")
                 .where("_x IS NOT NULL"))
+    flat = with_image(flat, "_x", "_u")
     keys = [*keys, "_col"]
-
-    ranks = F.explode(F.array(*[F.lit(float(p)) for p in probs]))
-    spot = (F.col("_n") - 1) * F.col("_p")
-    bracket = (flat.groupBy(*keys)
-                   .agg(F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_a"), F.max("_x").alias("_b"))
-                   .select(*keys, "_n", "_a", "_b", ranks.alias("_p"))
-                   .select(*keys, "_p", (spot - F.floor(spot)).alias("_f"),
-                           F.floor(spot).alias("_lo"), F.ceil(spot).alias("_hi"),
-                           "_a", "_b", F.lit(0).cast("bigint").alias("_below"),
-                           F.col("_n").alias("_inside")))
-    bracket = materialize(bracket)
-
-    while True:
-        open_ = bracket.where((F.col("_inside") > opts.exact_rows) & (F.col("_a") < F.col("_b")))
-        before = open_.agg(F.sum("_inside")).first()[0]
-        if before is None:
-            break
-        shut = bracket.where(~((F.col("_inside") > opts.exact_rows) & (F.col("_a") < F.col("_b"))))
-        narrowed = _narrow(flat, open_, keys, opts)
-        bracket = materialize(shut.unionByName(narrowed))
-        after = narrowed.agg(F.sum("_inside")).first()[0]
-        if after >= before:
-            break
-
-    settled = bracket.where(F.col("_a") == F.col("_b")).withColumn("value", F.col("_a"))
-    rest = bracket.where(F.col("_a") != F.col("_b"))
-    picked = _pick(flat, rest, keys, opts)
-    out = settled.select(*keys, "_p", "value").unionByName(picked)
+    state = None
+    for before, shift in zip((None, *SHIFTS), SHIFTS):
+        cell = F.shiftright("_u", shift)
+        if state is None:
+            hist = flat.groupBy(*keys, F.lit(0).cast("bigint").alias("_cell"), cell.alias("_next"))
+        else:
+            open_ = state.where(_is_open(opts))
+            if not open_.take(1):
+                break
+            cells = open_.groupBy(*keys).agg(F.collect_set("_cell").alias("_cells"))
+            inside = lookup_join(flat, cells, keys, "inner", opts).where(F.array_contains("_cells", F.shiftright("_u", before)))
+            hist = inside.groupBy(*keys, F.shiftright("_u", before).alias("_cell"), cell.alias("_next"))
+        # at most 2 ** (bits of a pass) rows per cell
+        hist = hist.agg(F.count(F.lit(1)).alias("_m"), F.min("_x").alias("_a"), F.max("_x").alias("_b"))
+        if state is None:
+            hist = materialize(hist)
+            spot = (F.col("_n") - 1) * F.col("_p")
+            ranks = F.explode(F.array(*[F.lit(float(p)) for p in probs]))
+            wanted = (hist.groupBy(*keys).agg(F.sum("_m").alias("_n")).select(*keys, "_n", ranks.alias("_p"))
+                      .select(*keys, "_p", (spot - F.floor(spot)).alias("_f"), F.explode(F.array(
+                          F.struct(F.lit(0).alias("_side"), F.floor(spot).alias("_rank")), F.struct(F.lit(1).alias("_side"), F.ceil(spot).alias("_rank")))).alias("_w"))
+                      .select(*keys, "_p", "_f", "_w.*", F.lit(0).cast("bigint").alias("_cell"), F.lit(0).cast("bigint").alias("_below")))
+            shut = None
+        else:
+            wanted, shut = open_, state.where(~_is_open(opts))
+        run = Window.partitionBy(*keys, "_cell").orderBy("_next").rowsBetween(Window.unboundedPreceding, -1)
+        hist = hist.withColumn("_start", F.coalesce(F.sum("_m").over(run), F.lit(0)))
+        lists = wanted.groupBy(*keys, "_cell").agg(F.first("_below").alias("_below"), F.collect_list(F.struct("_p", "_f", "_side", "_rank")).alias("_w"))
+        start = F.col("_below") + F.col("_start")
+        held = F.filter("_w", lambda w: (w["_rank"] >= start) & (w["_rank"] < start + F.col("_m")))
+        found = (hist.join(lists, [*keys, "_cell"]).select(*keys, F.explode(held).alias("_w"), F.col("_next").alias("_cell"), start.alias("_below"),
+                                                           F.col("_m").alias("_inside"), "_a", "_b")
+                 .select(*keys, "_w.*", "_cell", "_below", "_inside", "_a", "_b"))
+        state = materialize(found if shut is None else shut.unionByName(found))
+    value = F.when(F.col("_a") == F.col("_b"), F.col("_a"))
+    settled = state.where("_a = _b OR isnan(_a)").withColumn("value", F.coalesce(value, F.col("_a"))).select(*keys, "_p", "_f", "_side", "value")
+    rest = state.where("NOT (_a = _b OR isnan(_a))")
+    sides = settled.unionByName(_pick(flat, rest, keys, opts)) if rest.take(1) else settled
+    low, high = F.max(F.when(F.col("_side") == 0, F.col("value"))), F.max(F.when(F.col("_side") == 1, F.col("value")))
+    out = sides.groupBy(*keys, "_p", "_f").agg(low.alias("_l"), high.alias("_h"))
+    value = F.when((F.col("_f") == 0) | (F.col("_l") == F.col("_h")), F.col("_l")).otherwise(F.col("_l") * (1 - F.col("_f")) + F.col("_h") * F.col("_f"))
     names = F.element_at(F.array(*[F.lit(c) for c in columns]),
                          F.substring("_col", 3, 10).cast("int") + 1)
     return out.select(*[F.col(k).getField(b).alias(b) for k, b in zip(keys, by)],
-                      names.alias("column"), F.col("_p").alias("p"), "value")
-
-
-def _inside(flat, bracket, keys, opts):
-    """Rows that lie in the bracket of their key, once per wanted rank."""
-    grouped = bracket.groupBy(*keys).agg(
-        F.collect_list(F.struct(*[c for c in bracket.columns if c not in keys])).alias("_t"),
-        F.min("_a").alias("_from"), F.max("_b").alias("_to"))
-    joined = lookup_join(flat, grouped, keys, "inner", opts)
-    joined = joined.where((F.col("_x") >= F.col("_from")) & (F.col("_x") <= F.col("_to")))
-    hit = F.filter("_t", lambda t: (F.col("_x") >= t["_a"]) & (F.col("_x") <= t["_b"]))
-    return joined.select(*keys, "_x", F.explode(hit).alias("_t")).select(*keys, "_x", "_t.*")
-
-
-def _narrow(flat, open_, keys, opts):
-    squeeze = lambda c: F.greatest(F.lit(-_EDGE), F.least(F.lit(_EDGE), c)) / 4
-    x, a, b = squeeze(F.col("_x")), squeeze(F.col("_a")), squeeze(F.col("_b"))
-    cell = F.least(F.floor(F.coalesce(F.try_divide(x - a, b - a), F.lit(0.0)) * CELLS), F.lit(CELLS - 1))
-    carried = ["_p", "_f", "_lo", "_hi", "_below"]
-    cells = (_inside(flat, open_, keys, opts)
-             .groupBy(*keys, *carried, cell.alias("_cell"))
-             .agg(F.count(F.lit(1)).alias("_m"), F.min("_x").alias("_u"), F.max("_x").alias("_v")))
-    # At most CELLS rows per key and rank from here on.
-    run = Window.partitionBy(*keys, "_p").orderBy("_cell")
-    cells = (cells.withColumn("_upto", F.col("_below") + F.sum("_m").over(run))
-                  .withColumn("_start", F.col("_upto") - F.col("_m")))
-    wanted = cells.where((F.col("_upto") > F.col("_lo")) & (F.col("_start") <= F.col("_hi")))
-    return (wanted.groupBy(*keys, "_p", "_f", "_lo", "_hi")
-                  .agg(F.min("_u").alias("_a"), F.max("_v").alias("_b"),
-                       F.min("_start").alias("_below"), F.sum("_m").alias("_inside")))
+                      names.alias("column"), F.col("_p").alias("p"), value.alias("value"))
+
+
+def _is_open(opts):
+    return (F.col("_inside") > min(opts.exact_rows, CELL_ROWS)) & (F.col("_a") < F.col("_b"))
 
 
 def _pick(flat, rest, keys, opts):
-    """Read the two neighbouring order statistics out of a small bracket."""
-    carried = ["_p", "_f", "_lo", "_hi", "_below"]
-    counts = (_inside(flat, rest, keys, opts).groupBy(*keys, *carried, "_x")
-              .agg(F.count(F.lit(1)).alias("_m")))
-    run = Window.partitionBy(*keys, "_p").orderBy("_x")
+    """Values at the ranks of cells with few rows: (keys..., _p, _f, _side, value)."""
+    cells = rest.groupBy(*keys, "_a", "_b", "_below").agg(F.collect_list(F.struct("_p", "_f", "_side", "_rank")).alias("_w"))
+    lists = cells.groupBy(*keys).agg(F.collect_list(F.struct("_a", "_b", "_below")).alias("_cells"), F.min("_a").alias("_from"), F.max("_b").alias("_to"))
+    rows = lookup_join(flat, lists, keys, "inner", opts).where((F.col("_x") >= F.col("_from")) & (F.col("_x") <= F.col("_to")))
+    # cells of one column do not overlap
+    at = F.filter("_cells", lambda c: (F.col("_x") >= c["_a"]) & (F.col("_x") <= c["_b"]))
+    rows = rows.select(*keys, "_x", F.get(at, F.lit(0)).alias("_cell")).where("_cell IS NOT NULL").select(*keys, "_x", "_cell.*")
+    counts = rows.groupBy(*keys, "_a", "_b", "_below", "_x").agg(F.count(F.lit(1)).alias("_m"))
+    run = Window.partitionBy(*keys, "_a", "_b", "_below").orderBy("_x")
     counts = (counts.withColumn("_upto", F.col("_below") + F.sum("_m").over(run))
                     .withColumn("_start", F.col("_upto") - F.col("_m")))
-    holds = lambda rank: (F.col("_start") <= F.col(rank)) & (F.col(rank) < F.col("_upto"))
-    low, high = F.max(F.when(holds("_lo"), F.col("_x"))), F.max(F.when(holds("_hi"), F.col("_x")))
-    return (counts.groupBy(*keys, "_p", "_f").agg(low.alias("_l"), high.alias("_h"))
-                  .select(*keys, "_p", (F.col("_l") * (1 - F.col("_f")) + F.col("_h") * F.col("_f")).alias("value")))
+    held = F.filter("_w", lambda w: (w["_rank"] >= F.col("_start")) & (w["_rank"] < F.col("_upto")))
+    return (counts.join(cells, [*keys, "_a", "_b", "_below"]).select(*keys, F.col("_x").alias("value"), F.explode(held).alias("_w"))
+                  .select(*keys, "_w._p", "_w._f", "_w._side", "value"))

@@ -158,3 +158,43 @@ def test_equal_lags_on_two_shuffles(spark):
     a = lags(df, Options())
     for opts in (Options(), SMALL, replace(SMALL, range_partitions=3)):
         assert lags(df.repartition(5, "v"), opts) == a
+
+
+# ------------------------------------------------------------ radix selection
+def test_images_keep_the_order_of_doubles(spark):
+    import random
+    import struct
+
+    from tablescope.plans.quantiles import with_image
+
+    rng = random.Random(4)
+    xs = [0.0, -0.0, 1.0, 2.0 ** -1074, 2.0 ** -1022, 1.7976931348623157e308, float("inf"), 0.1, 0.9999999999999999, 1.9999999999999998, 2.0 ** 52 + 1]
+    xs += [x for x in (struct.unpack("d", struct.pack("Q", rng.getrandbits(64)))[0] for _ in range(500)) if x == x]
+    xs += [-x for x in xs]
+    got = {r["x"]: r["u"] for r in with_image(spark.createDataFrame([(x,) for x in xs], "x double"), "x", "u").collect()}
+    bits = lambda x: struct.unpack("q", struct.pack("d", abs(x)))[0] * (-1 if x < 0 else 1)
+    assert all(got[x] == bits(x) for x in xs)
+
+
+@pytest.mark.parametrize("by", [[], ["g"]])
+def test_ranks_far_apart_are_followed_apart(spark, by, monkeypatch):
+    """Two clusters with the median between them, powers over the whole range, and one value with most of the rows."""
+    from tablescope.plans import quantiles as q
+
+    rows = [("two", float(i % 250) + (1e9 if i % 2 else 0.0)) for i in range(1000)] + [("powers", 2.0 ** (i - 500)) for i in range(1000)]
+    rows += [("one", 5.0)] * 900 + [("one", float(i)) for i in range(100)] + [("minus", -float(i)) for i in range(400)] + [(None, float(i)) for i in range(99)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    sorted_cells = []
+    pick = q._pick
+
+    def watched(flat, rest, keys, opts):
+        sorted_cells.extend(r["_inside"] for r in rest.collect())
+        return pick(flat, rest, keys, opts)
+
+    monkeypatch.setattr(q, "_pick", watched)
+    probs = (0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0)
+    key = lambda rows: {(*[r[b] for b in by], r["p"]): r["value"] for r in rows}
+    a = key(quantiles(df, ["v"], probs, by).collect())
+    b = key(q._selected(df, ["v"], probs, by, SMALL).collect())
+    assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], rel=1e-12) for k in a)
+    assert max(sorted_cells, default=0) <= SMALL.exact_rows
