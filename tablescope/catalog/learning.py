@@ -5,7 +5,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablescope.catalog.base import R, fixture, query, rounded, table, union, with_fixture
+from tablescope.catalog.base import R, fixture, query, rounded, scratch, table, union, with_fixture
 from tablescope.operators import windows
 from tablescope.operators.learning import association as assoc
 from tablescope.operators.learning import clusters, forecast, isolation, rules, series_forecast, supervised
@@ -13,6 +13,7 @@ from tablescope.operators.learning.common import (mark_split, metrics_table, mom
                                                   regression_metrics, standardize, top_importances)
 from tablescope.operators.windows import forecast_feature_names
 from tablescope.plans import roles as rl
+from tablescope.sources import models
 
 WIDE = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber", "l_partkey", "l_suppkey"]
 KEY = ["l_orderkey", "l_linenumber", "l_partkey"]
@@ -271,6 +272,36 @@ def m14(spark, d):
     return clusters.explained_variance(wide(spark, d), WIDE)
 
 
+_PAIR = ["l_quantity", "l_extendedprice"]
+_ANGLE = ("z as (select l_orderkey, l_linenumber, (l_quantity - (select avg(l_quantity) from lineitem)) / (select stddev_pop(l_quantity) from lineitem) as a, "
+          "(l_extendedprice - (select avg(l_extendedprice) from lineitem)) / (select stddev_pop(l_extendedprice) from lineitem) as b from lineitem), "
+          "c as (select corr(l_quantity, l_extendedprice) as r from lineitem)")
+
+
+# The matrix of two columns has eigenvalues 1 + r and 1 - r, and vectors at 45 degrees.
+@query("M14_explained_variance_pair", f"with {_ANGLE} select 1 as component, " + R("50 * (1 + abs(r))") + " as explained_pct, " + R("50 * (1 + abs(r))")
+       + " as cumulative_pct from c union all select 2, " + R("50 * (1 - abs(r))") + ", 100.0::double from c")
+def m14_pair(spark, d):
+    return rounded(clusters.explained_variance(wide(spark, d), _PAIR))
+
+
+@query("M15_loadings_pair", f"with {_ANGLE}, w as (select case when r >= 0 then 1 else -1 end as s from c) select * from (select 'l_quantity' as feature, 1 as component, "
+       + R("sqrt(0.5)") + " as loading, 1 as rank union all select 'l_extendedprice', 1, " + R("s * sqrt(0.5)") + ", 2 from w union all "
+       "select 'l_quantity', 2, " + R("sqrt(0.5)") + ", 1 union all select 'l_extendedprice', 2, " + R("-s * sqrt(0.5)") + ", 2 from w)")
+def m15_pair(spark, d):
+    return rounded(clusters.loadings(wide(spark, d), _PAIR))
+
+
+@query("M16_coordinates_pair", f"with {_ANGLE}, w as (select case when r >= 0 then 1 else -1 end as s from c) select l_orderkey, l_linenumber, "
+       + R("sqrt(0.5) * (a + s * b)", 5) + " as pc1, " + R("sqrt(0.5) * (a - s * b)", 5) + " as pc2 from z, w")
+def m16_pair(spark, d):
+    fitted = clusters.decompose(wide(spark, d), _PAIR)
+    path = scratch(spark, "components")
+    models.save_params(fitted.as_params(spark), path)
+    again = clusters.Components.from_params(models.load_params(spark, path))
+    return rounded(again.place(wide(spark, d)).select("l_orderkey", "l_linenumber", "pc1", "pc2"), 5)
+
+
 @query("M15_loadings")
 def m15(spark, d):
     return clusters.loadings(wide(spark, d), WIDE)

@@ -13,6 +13,7 @@ from tablescope.functions.kinds import kinds, numeric_columns
 from tablescope.operators.quality import duplicate_counts, high_missing
 from tablescope.operators.windows import moving_average
 from tablescope.options import Options
+from tablescope.plans.gram import pair_correlations
 from tablescope.plans.quantiles import quantile_row, quantiles
 from tablescope.plans.roles import Roles
 from tablescope.plans.runtime import copy_hash, lookup_join, number_copies, semi_join
@@ -74,21 +75,30 @@ def signal_inventory(df: DataFrame, signal: str, value_num: str) -> DataFrame:
 def correlations(df: DataFrame, columns: Sequence[str], full: bool = True) -> DataFrame:
     """Pearson ``(a, b, r)``, each pair over the rows where both are present.
 
-    Pairs are aggregates of one scan, in passes narrow enough to stay in generated code.
+    A few pairs are aggregates of one scan in generated code. More come from matrices of sums (``plans/gram``): two
+    scans, whatever the number of columns.
     """
+    columns = list(columns)
     pairs = list(combinations(columns, 2))
+    if len(pairs) > PAIR_PASS:
+        found = pair_correlations(df, columns)
+        turned = found.select("i", "j", "r")
+        if full:
+            turned = turned.unionByName(found.where("i < j").select(F.col("j").alias("i"), F.col("i").alias("j"), "r"))
+        else:
+            turned = turned.where("i < j")
+        names = F.array(*[F.lit(c) for c in columns])
+        return turned.select(F.get(names, F.col("i").cast("int")).alias("a"), F.get(names, F.col("j").cast("int")).alias("b"), "r")
     out = None
-    for start in range(0, len(pairs), PAIR_PASS):
-        part = pairs[start:start + PAIR_PASS]
+    if pairs:
         wide = df.agg(*[F.corr(col(a).cast("double"), col(b).cast("double")).alias(f"r{i}")
-                        for i, (a, b) in enumerate(part)])
-        cells = [(a, b, i) for i, (a, b) in enumerate(part)]
+                        for i, (a, b) in enumerate(pairs)])
+        cells = [(a, b, i) for i, (a, b) in enumerate(pairs)]
         if full:
-            cells += [(b, a, i) for i, (a, b) in enumerate(part)]
+            cells += [(b, a, i) for i, (a, b) in enumerate(pairs)]
         rows = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{i}").alias("r"))
                          for a, b, i in cells])
-        piece = wide.select(F.explode(rows).alias("x")).select("x.*")
-        out = piece if out is None else out.unionByName(piece)
+        out = wide.select(F.explode(rows).alias("x")).select("x.*")
     if full:
         one = lambda c: F.when(F.stddev_samp(c) > 0, 1.0)
         diagonal = long_aggregate(df, columns, {"r": one}).select(

@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
+from functools import reduce
+from operator import add
 
+import numpy as np
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA
@@ -14,8 +18,9 @@ from pyspark.sql import functions as F
 from tablescope.functions.exprs import col
 from tablescope.operators.learning import rules
 from tablescope.operators.learning.common import (Analysis, assemble, complete_cases, failed,
-                                                  fill_medians, metrics_table, spread, standardize)
+                                                  fill_medians, metrics_table, moments, spread, standardize)
 from tablescope.options import Options
+from tablescope.plans.gram import pair_correlations
 
 Z = "__z"
 
@@ -124,39 +129,88 @@ def _signs(model) -> list[float]:
     return [1.0 if m[abs(m[:, j]).argmax(), j] > 0 else -1.0 for j in range(m.shape[1])]
 
 
-def _pca(df, columns, k, opts):
+@dataclass(frozen=True)
+class Components:
+    """One decomposition of standardised columns: everything that the component tables and views need."""
+
+    columns: tuple[str, ...]
+    means: tuple[float, ...]
+    scales: tuple[float, ...]
+    shares: tuple[float, ...]                 # of all components, largest first
+    weights: tuple[tuple[float, ...], ...]    # one row per column, one entry per component
+
+    def as_params(self, spark) -> DataFrame:
+        """A small table for ``save_params``; ``Components.from_params`` reads it back."""
+        rows = [(i, c, self.means[i], self.scales[i], self.shares[i], list(self.weights[i])) for i, c in enumerate(self.columns)]
+        return spark.createDataFrame(rows, "place int, column string, mean double, scale double, share double, weights array<double>")
+
+    @staticmethod
+    def from_params(params: DataFrame) -> Components:
+        rows = sorted(params.collect(), key=lambda r: r["place"])
+        return Components(tuple(r["column"] for r in rows), tuple(r["mean"] for r in rows), tuple(r["scale"] for r in rows),
+                          tuple(r["share"] for r in rows), tuple(tuple(r["weights"]) for r in rows))
+
+    def place(self, df: DataFrame, k: int = 2) -> DataFrame:
+        """Add ``pc1`` ... ``pck``: plain arithmetic on the columns, no model pass."""
+        z = [(col(c).cast("double") - m) / (s or 1.0) for c, m, s in zip(self.columns, self.means, self.scales)]
+        out = {}
+        for j in range(k):
+            terms = [c * self.weights[i][j] for i, c in enumerate(z)] if j < len(self.columns) else []
+            out[f"pc{j + 1}"] = reduce(add, terms) if terms else F.lit(0.0)
+        return df.withColumns(out)
+
+
+def decompose(df: DataFrame, columns: Sequence[str], opts: Options = Options(), fill: bool = True) -> Components:
+    """Components of standardised columns from the matrix of correlations: two scans for any width.
+
+    Gaps take the median (``fill``), or their rows are left out. Only the matrix, one entry per pair of columns, reaches
+    the driver. The largest weight of a component is positive; of equal ones the first column's.
+    """
     columns = list(columns)[:opts.max_features]
-    data = _scaled(fill_medians(df.select(*[col(c) for c in columns]), columns, opts), columns)
-    return columns, PCA(k=min(len(columns), k), inputCol="features", outputCol="_pc").fit(data)
+    data = df.select(*[col(c) for c in columns])
+    data = fill_medians(data, columns, opts) if fill else data.dropna(subset=columns)
+    fitted = moments(data, columns)
+    r = np.zeros((len(columns), len(columns)))
+    for x in pair_correlations(data, columns).where("r IS NOT NULL").collect():
+        r[x["i"], x["j"]] = r[x["j"], x["i"]] = x["r"]
+    values, vectors = np.linalg.eigh(r)
+    values, vectors = np.maximum(values[::-1], 0.0), vectors[:, ::-1]
+    top = np.abs(vectors).max(axis=0)
+    lead = (np.abs(vectors) >= top - 1e-9).argmax(axis=0)
+    vectors = vectors * np.where(vectors[lead, np.arange(len(columns))] < 0, -1.0, 1.0)
+    total = values.sum() or 1.0
+    return Components(tuple(columns), tuple(float(fitted[c][0] or 0.0) for c in columns), tuple(float(fitted[c][1]) for c in columns),
+                      tuple((values / total).tolist()), tuple(tuple(row) for row in vectors.tolist()))
 
 
 def explained_variance(df: DataFrame, columns: Sequence[str], components: int = 10,
-                       opts: Options = Options()) -> DataFrame:
+                       opts: Options = Options(), fitted: Components | None = None) -> DataFrame:
     """``(component, explained_pct, cumulative_pct)`` of standardised columns."""
-    _, model = _pca(df, columns, components, opts)
+    fitted = fitted or decompose(df, columns, opts)
     rows, total = [], 0.0
-    for i, share in enumerate(model.explainedVariance.toArray(), 1):
-        total += float(share) * 100
-        rows.append((i, float(share) * 100, total))
+    for i, share in enumerate(fitted.shares[:components], 1):
+        total += share * 100
+        rows.append((i, share * 100, total))
     return df.sparkSession.createDataFrame(
         rows, "component int, explained_pct double, cumulative_pct double")
 
 
 def loadings(df: DataFrame, columns: Sequence[str], components: int = 6,
-             opts: Options = Options()) -> DataFrame:
+             opts: Options = Options(), fitted: Components | None = None) -> DataFrame:
     """``(feature, component, loading, rank)``; the largest weight of a component is positive."""
-    names, model = _pca(df, columns, components, opts)
-    m, signs = model.pc.toArray(), _signs(model)
-    rows = []
-    for j in range(m.shape[1]):
-        order = sorted(range(len(names)), key=lambda i: -abs(m[i, j]))
-        rows += [(names[i], j + 1, float(m[i, j] * signs[j]), rank) for rank, i in enumerate(order, 1)]
+    fitted = fitted or decompose(df, columns, opts)
+    names, rows = fitted.columns, []
+    for j in range(min(components, len(names))):
+        order = sorted(range(len(names)), key=lambda i: -round(abs(fitted.weights[i][j]), 9))
+        rows += [(names[i], j + 1, fitted.weights[i][j], rank) for rank, i in enumerate(order, 1)]
     return df.sparkSession.createDataFrame(
         rows, "feature string, component int, loading double, rank int")
 
 
 def principal_coordinates(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = (),
-                          opts: Options = Options()) -> DataFrame:
+                          opts: Options = Options(), fitted: Components | None = None) -> DataFrame:
     """Two-dimensional view of complete rows."""
     columns = list(columns)[:opts.max_features]
-    return _coordinates(_scaled(complete_cases(df, [*columns, *keep]), columns), list(keep))
+    rows = complete_cases(df, [*columns, *keep])
+    fitted = fitted or decompose(rows, columns, opts, fill=False)
+    return fitted.place(rows).select(*[col(c) for c in keep], "pc1", "pc2")

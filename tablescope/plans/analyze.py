@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -85,8 +86,10 @@ def exploration(df: DataFrame, roles: Roles, opts: Options = Options(),
     target = find_target(df, roles, TARGET_NAMES_EDA, 5)
     add("target", target, lambda: explore.target_distribution(df, target))
     if learn:
-        add("explained_variance", len(numbers) >= 3, lambda: clusters.explained_variance(df, numbers, 10, opts))
-        add("loadings", len(numbers) >= 3, lambda: clusters.loadings(df, numbers, 6, opts))
+        # one decomposition serves both tables
+        fitted = cache(lambda: clusters.decompose(df, numbers, opts))
+        add("explained_variance", len(numbers) >= 3, lambda: clusters.explained_variance(df, numbers, 10, opts, fitted()))
+        add("loadings", len(numbers) >= 3, lambda: clusters.loadings(df, numbers, 6, opts, fitted()))
         add("importance", target, lambda: supervised.forest_importance(df, numbers, target, opts))
         add("clusters", roles.shape == "wide_table" and len(numbers) >= 2 and len(df.take(20)) == 20,
             lambda: clusters.quick_clusters(df, numbers, opts))

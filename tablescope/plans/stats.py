@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tablescope.functions.exprs import col, digest, parse_number, sample_kurtosis, sample_skew
 from tablescope.functions.kinds import kinds
+from tablescope.plans.runtime import lookup_join
 
 Metric = Callable[[Column], Column]
 
@@ -64,7 +65,46 @@ SHAPE_METRICS: dict[str, Metric] = {
 def numeric_summary(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (),
                     shape: bool = False) -> DataFrame:
     metrics = {**NUMERIC_METRICS, **SHAPE_METRICS} if shape else NUMERIC_METRICS
-    return long_aggregate(df, columns, metrics, by, 5 if shape else 1)
+    weight = 5 if shape else 1
+    if columns and len(columns) * len(metrics) * weight > FIELDS_PER_PASS:
+        found = power_sums(df, columns, by)
+        return found if shape else found.drop("skew", "kurt")
+    return long_aggregate(df, columns, metrics, by, weight)
+
+
+def power_sums(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """``(by..., column, n, mean, std, min, max, skew, kurt)`` in two scans, whatever the number of columns.
+
+    The first gives a pilot mean per column and group, the second sums of powers of the distance to it. Such sums add
+    up, so they are combined before the shuffle, and a group or column of any size costs one row per task. Columns
+    travel as rows of (column, value), which keeps generated code short for any width.
+    """
+    columns, by = list(columns), list(by)
+    keys = [f"_k{i}" for i in range(len(by))]
+    flat = df.select(*[F.struct(col(b)).alias(k) for b, k in zip(by, keys)], *[col(c).cast("double").alias(f"_c{i}") for i, c in enumerate(columns)])
+    flat = flat.unpivot([F.col(k) for k in keys], [F.col(f"_c{i}") for i in range(len(columns))], "_col", "_x")
+    keys = [*keys, "_col"]
+    pilot = flat.groupBy(*keys).agg(F.avg("_x").alias("_p"))
+    d = F.col("_x") - F.col("_p")
+    s = lookup_join(flat, pilot, keys, "inner").groupBy(*keys).agg(
+        F.count("_x").alias("n"), F.first("_p", ignorenulls=True).alias("_p"), F.min("_x").alias("min"), F.max("_x").alias("max"),
+        F.sum(d).alias("_s1"), F.sum(d * d).alias("_s2"), F.sum(d * d * d).alias("_s3"), F.sum(d * d * d * d).alias("_s4"))
+    if not by:
+        # a table without rows still has its columns
+        every = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(f"_c{i}") for i in range(len(columns))])).alias("_col"))
+        s = every.join(s, "_col", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("bigint")))
+    n, mean = F.col("n").cast("double"), F.try_divide(F.col("_s1"), F.col("n"))
+    same = F.col("min") == F.col("max")
+    s = s.withColumns({"_m": mean, "_m2": F.when(same, 0.0).otherwise(F.greatest(F.col("_s2") - F.col("_s1") * mean, F.lit(0.0))),
+                       "_m3": F.col("_s3") - 3 * mean * F.col("_s2") + 2 * mean * mean * F.col("_s1"),
+                       "_m4": F.col("_s4") - 4 * mean * F.col("_s3") + 6 * mean * mean * F.col("_s2") - 3 * mean * mean * mean * F.col("_s1")})
+    g1 = F.coalesce(F.try_divide(F.sqrt(n) * F.col("_m3"), F.pow(F.col("_m2"), 1.5)), F.lit(0.0))
+    g2 = F.try_divide(n * F.col("_m4"), F.col("_m2") * F.col("_m2")) - 3
+    skew = F.when(n >= 3, g1 * F.sqrt(n * (n - 1)) / F.when(n > 2, n - 2))
+    kurt = F.when(n >= 4, F.coalesce((n - 1) / F.when(n > 3, (n - 2) * (n - 3)) * ((n + 1) * g2 + 6), F.lit(0.0)))
+    names = F.element_at(F.array(*[F.lit(c) for c in columns]), F.substring("_col", 3, 10).cast("int") + 1)
+    return s.select(*[F.col(k).getField(b).alias(b) for k, b in zip(keys, by)], names.alias("column"), "n", (F.col("_p") + F.col("_m")).alias("mean"),
+                    F.when(n > 1, F.sqrt(F.col("_m2") / (n - 1))).alias("std"), "min", "max", skew.alias("skew"), kurt.alias("kurt"))
 
 
 def missing_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

@@ -278,3 +278,19 @@ def test_association_goes_on_until_pairs(spark):
     plain = association.association(df, ["a", "b", "c"], [])
     assert not plain.success and "no rules" in plain.error
     assert association.association(df, ["a", "b", "c"], [], until_pairs=True).success
+
+
+def test_one_decomposition_serves_all_views(spark, lineitem, tmp_path):
+    names = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_partkey"]
+    fitted = clusters.decompose(lineitem, names)
+    values, vectors = np.linalg.eigh(np.corrcoef(lineitem.select(*names).toPandas().to_numpy(float).T))
+    shares, vectors = tuple(values[::-1] / values.sum()), vectors[:, ::-1]
+    assert fitted.shares == pytest.approx(shares, abs=1e-9)
+    assert np.abs(np.array(fitted.weights)) == pytest.approx(np.abs(vectors), abs=1e-6)
+    fitted.as_params(spark).write.parquet(str(tmp_path / "c"))
+    again = clusters.Components.from_params(spark.read.parquet(str(tmp_path / "c")))
+    assert again == fitted
+    assert [r["explained_pct"] for r in clusters.explained_variance(lineitem, names, 3, fitted=again).collect()] == pytest.approx([100 * x for x in shares[:3]])
+    best = [r for r in clusters.loadings(lineitem, names, 5, fitted=again).collect() if r["rank"] == 1]
+    assert len(best) == 5 and all(r["loading"] > 0 for r in best)
+    assert clusters.principal_coordinates(lineitem, names, ["l_orderkey"], fitted=again).count() == lineitem.count()

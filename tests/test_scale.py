@@ -198,3 +198,65 @@ def test_ranks_far_apart_are_followed_apart(spark, by, monkeypatch):
     b = key(q._selected(df, ["v"], probs, by, SMALL).collect())
     assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], rel=1e-12) for k in a)
     assert max(sorted_cells, default=0) <= SMALL.exact_rows
+
+
+# ------------------------------------------------------- wide tables, few scans
+def wide_table(spark, columns):
+    """Columns with gaps at different rows, one constant, one empty, large offsets, and a column that goes with another."""
+    import math
+
+    rows = []
+    for i in range(400):
+        row = [i % 4 if i % 9 else None]
+        for j in range(columns):
+            x = 1e7 * (j % 3) + math.sin(i * (j + 1) * 0.37) * (j + 1) + (i * j % 17)
+            row.append(None if (i + j) % 11 == 0 or j == 5 else 3.0 if j == 4 else x)
+        row[8] = None if row[7] is None else -2.0 * row[7] + 1
+        rows.append(tuple(row))
+    return spark.createDataFrame(rows, "g int, " + ", ".join(f"c{j} double" for j in range(columns)))
+
+
+def test_correlations_of_a_wide_table(spark, tmp_path):
+    from tablescope.operators import explore
+    from tablescope.plans import gram
+
+    names = [f"c{j}" for j in range(70)]  # more than one block
+    path = str(tmp_path / "wide")
+    wide_table(spark, 70).repartition(5).write.parquet(path)
+    df = spark.read.parquet(path)
+    want = df.select(*names).toPandas().astype(float).corr(min_periods=2)
+    for full in (True, False):
+        got = {(r["a"], r["b"]): r["r"] for r in explore.correlations(df, names, full).collect()}
+        assert len(got) == (70 * 70 if full else 70 * 69 // 2)
+        for (a, b), r in got.items():
+            w = want.loc[a, b]
+            none = w != w or "c4" in (a, b) or "c5" in (a, b)
+            assert (r is None) if none else r == pytest.approx(w, abs=1e-6), (a, b)
+    # one scan for the pilot (already done), one for all sums
+    assert plan_of(gram.pair_correlations(df, names)).count("FileScan parquet") == 1
+
+
+def test_column_groups_of_a_very_wide_table(spark, monkeypatch):
+    from tablescope.plans import gram
+
+    df, names = wide_table(spark, 12), [f"c{j}" for j in range(12)]
+    key = lambda: {(r["i"], r["j"]): (r["n"], r["r"] and round(r["r"], 9)) for r in gram.pair_correlations(df, names).collect()}
+    whole = key()
+    monkeypatch.setattr(gram, "WIDTH", 5)
+    assert key() == whole and len(whole) == 78
+
+
+@pytest.mark.parametrize("by", [[], ["g"]])
+def test_moments_of_a_wide_table(spark, by):
+    from tablescope.plans.stats import NUMERIC_METRICS, SHAPE_METRICS, long_aggregate, power_sums
+
+    df, names = wide_table(spark, 30), [f"c{j}" for j in range(30)]
+    key = lambda rows: {(*[r[b] for b in by], r["column"]): r for r in rows.collect()}
+    a, b = key(long_aggregate(df, names, {**NUMERIC_METRICS, **SHAPE_METRICS}, by, 5)), key(power_sums(df, names, by))
+    assert a.keys() == b.keys() and list(power_sums(df, names, by).columns) == [*by, "column", "n", "mean", "std", "min", "max", "skew", "kurt"]
+    for k, x in a.items():
+        for f in ("n", "mean", "std", "min", "max", "skew", "kurt"):
+            assert b[k][f] == (None if x[f] is None else pytest.approx(x[f], rel=1e-6, abs=1e-6)), (k, f)
+    assert all(r["n"] == 0 for r in power_sums(df.limit(0), names).collect()) and power_sums(df.limit(0), names).count() == 30
+    # the pilot is done by then: what is left reads the table once
+    assert plan_of(power_sums(df, names, by)).count("Expand") == 1
