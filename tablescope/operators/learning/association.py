@@ -12,7 +12,7 @@ from tablescope.operators.learning import rules as advice
 from tablescope.operators.learning.common import Analysis, failed, metrics_table
 from tablescope.options import Options
 from tablescope.plans.quantiles import quantile_row
-from tablescope.plans.runtime import materialize
+from tablescope.plans.runtime import lookup_join, materialize
 
 # Supports tried in turn until enough itemsets are found.
 SUPPORTS = (0.3, 0.2, 0.1, 0.05)
@@ -96,7 +96,7 @@ def association_rules(sets: DataFrame, min_lift: float = 1.0) -> DataFrame:
     part = sets.select("items", F.col("support").alias("s"))
     left = part.select(F.col("items").alias("antecedent"), F.col("s").alias("sa"))
     right = part.select(F.col("items").alias("consequent"), F.col("s").alias("sc"))
-    joined = split.join(F.broadcast(left), "antecedent").join(F.broadcast(right), "consequent")
+    joined = lookup_join(lookup_join(split, left, ["antecedent"], "inner"), right, ["consequent"], "inner")
     confidence = F.col("support") / F.col("sa")
     return (joined.select("antecedent", "consequent", "support", confidence.alias("confidence"),
                           (confidence / F.col("sc")).alias("lift")).where(F.col("lift") >= min_lift))

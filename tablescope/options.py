@@ -98,4 +98,5 @@ class Options:
     range_partitions: int = 20_000   # most partitions of one range sort (bounds are sampled on the driver)
     broadcast_rows: int = 1_000_000  # largest lookup table that is broadcast
     onehot_limit: int = 1_000        # widest one-hot expansion of one column
-    salts: int = 16                  # copies of a lookup table in a salted join
+    broadcast_bytes: int = 64 << 20  # most bytes of a lookup table that is broadcast
+    hot_rows: int = 1_000_000        # rows of one key from which it is spread over copies in a lookup

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import zipfile
+from functools import reduce
+from operator import or_
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +16,13 @@ from tablescope.functions.exprs import col, row_hash
 from tablescope.options import Options
 
 
+#: Most keys that are treated as hot; a part of the rows that is smaller than one in so many is not.
+HOT_KEYS = 50_000
+#: Parts that rows with a null key are dealt to.
+NULL_SALTS = 10_000
+FIXED_TYPES = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, from ``spark.checkpoint.dir``.
 
@@ -41,22 +50,52 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def table_bytes(table: DataFrame) -> tuple[int, int]:
+    """(rows, bytes) of a computed table; texts by their exact lengths, other values by the size of their type."""
+    long = [f.name for f in table.schema if not isinstance(f.dataType, FIXED_TYPES)]
+    nested = {f.name for f in table.schema if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))}
+    text = lambda c: F.to_json(F.struct(col(c))) if c in nested else col(c).cast("string")
+    sizes = [F.coalesce(F.sum(F.octet_length(text(c))), F.lit(0)) for c in long] or [F.lit(0)]
+    found = table.agg(F.count(F.lit(1)).alias("n"), *[x.alias(f"s{i}") for i, x in enumerate(sizes)]).first()
+    return found["n"], sum(found[1:]) + found["n"] * 16 * len(table.columns)
+
+
+def hot_keys(df: DataFrame, keys: list[str], opts: Options = Options()) -> DataFrame:
+    """(keys..., _copies) of the keys with more than ``hot_rows`` rows; at most HOT_KEYS keys, whatever the table.
+
+    Keys are counted, combined before the shuffle. Keys with a null match nothing and are not listed.
+    """
+    counts = materialize(df.select(*[col(k) for k in keys]).dropna().groupBy(*[col(k) for k in keys]).agg(F.count(F.lit(1)).alias("_n")))
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    # no more than HOT_KEYS keys can each hold one part in HOT_KEYS of all rows
+    least = max(opts.hot_rows, total // HOT_KEYS)
+    return counts.where(F.col("_n") > least).withColumn("_copies", F.ceil(F.col("_n") / least).cast("int")).drop("_n")
+
+
 def lookup_join(df: DataFrame, table: DataFrame, keys: list[str], how: str = "left",
                 opts: Options = Options(), bounded: bool = False) -> DataFrame:
     """Join rows to a one-row-per-key table.
 
-    The table is computed once and its size checked; when small it is broadcast, so a
-    hot key costs nothing. A larger one is copied per salt and the rows are spread over
-    the salts by their own hash, so a key that holds a third of the rows still lands in
-    many tasks. ``bounded`` says the size has a fixed limit and needs no check.
+    The table is computed once and measured; when few and short rows it is broadcast, so a
+    hot key costs nothing. Otherwise keys are counted: a key with very many rows is copied as often as its count
+    asks for, and its rows are spread over the copies by their own hash; all other keys are joined as they are.
+    Rows whose key is null are spread as well. ``bounded`` says the size has a fixed limit and needs no check.
     """
     if bounded:
         return df.join(F.broadcast(table), keys, how)
     table = materialize(table)
-    if table.count() <= opts.broadcast_rows:
+    rows, size = table_bytes(table)
+    if rows <= opts.broadcast_rows and size <= opts.broadcast_bytes:
         return df.join(F.broadcast(table), keys, how)
-    salted = df.withColumn("_salt", F.pmod(row_hash(df, 7), F.lit(opts.salts)).cast("int"))
-    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(opts.salts - 1))))
+    hot = materialize(hot_keys(df, keys, opts))
+    nothing = reduce(or_, [col(k).isNull() for k in keys])
+    if hot.take(1):
+        salted = df.join(F.broadcast(hot), keys, "left").withColumn("_copies", F.coalesce("_copies", F.lit(1)))
+        copies = table.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_copies", F.lit(1)) - 1))).drop("_copies")
+    else:
+        salted, copies = df.withColumn("_copies", F.lit(1)), table.withColumn("_salt", F.lit(0))
+    draw = row_hash(df, 7)
+    salted = salted.withColumn("_salt", F.when(nothing, F.pmod(draw, F.lit(NULL_SALTS))).otherwise(F.pmod(draw, F.col("_copies"))).cast("int")).drop("_copies")
     return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
 
 

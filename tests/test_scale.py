@@ -260,3 +260,40 @@ def test_moments_of_a_wide_table(spark, by):
     assert all(r["n"] == 0 for r in power_sums(df.limit(0), names).collect()) and power_sums(df.limit(0), names).count() == 30
     # the pilot is done by then: what is left reads the table once
     assert plan_of(power_sums(df, names, by)).count("Expand") == 1
+
+
+# ------------------------------------------------------------------- lookups
+def test_only_hot_keys_are_copied(spark):
+    from tablescope.plans.runtime import hot_keys
+
+    rows = [("hot" if i % 3 == 0 else None if i % 3 == 1 and i % 2 else f"k{i % 40}", i) for i in range(1200)]
+    df = spark.createDataFrame(rows, "k string, i int")
+    table = spark.createDataFrame([(f"k{i}", i) for i in range(0, 60, 2)] + [("hot", -1)], "k string, x int")
+    opts = replace(SMALL, hot_rows=100)
+    assert [(r["k"], r["_copies"]) for r in hot_keys(df, ["k"], opts).collect()] == [("hot", 4)]
+    for how in ("left", "inner", "left_semi", "left_anti"):
+        out = lookup_join(df, table, ["k"], how, opts)
+        same(out, df.join(table, ["k"], how))
+    out = lookup_join(df, table, ["k"], "left", opts)
+    assert "hashpartitioning(k" in plan_of(out) and "_salt" in plan_of(out)
+    # without a hot key nothing is copied
+    calm = lookup_join(df.where("k <> 'hot'"), table, ["k"], "left", opts)
+    assert "Generate" not in plan_of(calm)
+    same(calm, df.where("k <> 'hot'").join(table, ["k"], "left"))
+
+
+def test_long_keys_are_not_broadcast(spark):
+    from tablescope.plans.runtime import table_bytes
+
+    table = spark.createDataFrame([("x" * 3000 + str(i), i) for i in range(50)], "k string, x int")
+    df = spark.createDataFrame([("x" * 3000 + str(i % 70), i) for i in range(300)], "k string, i int")
+    assert table_bytes(table)[1] > 150_000
+    opts = replace(Options(), broadcast_bytes=100_000)
+    out = lookup_join(df, table, ["k"], "left", opts)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "BroadcastHashJoin" not in plan_of(lookup_join(df, table, ["k"], "left", opts))
+        same(out, df.join(table, ["k"], "left"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan_of(lookup_join(df, table, ["k"], "left", Options()))
