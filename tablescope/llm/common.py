@@ -3,34 +3,23 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablescope.operators.windows import number_rows
 from tablescope.plans.runtime import shared_dir
+from tablescope.plans.runtime import ship_package as ship  # noqa: F401
 
 #: An id list of at most this many rows (16 bytes each) may be broadcast.
 BROADCAST_IDS = 2_000_000
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per session, so that tasks can import it there."""
-    if getattr(spark.sparkContext, "_tablescope_shipped", False):
-        return
-    root = Path(__file__).resolve().parents[1]
-    archive = Path(tempfile.mkdtemp(prefix="run-")) / "tablescope_code.zip"
-    with zipfile.ZipFile(archive, "w") as z:
-        for file in sorted(root.rglob("*.py")):
-            z.write(file, file.relative_to(root.parent))
-    spark.sparkContext.addPyFile(str(archive))
-    spark.sparkContext._tablescope_shipped = True
+#: Folders of saved steps, by open scope.
+_SCOPES: list[list[str]] = []
 
 
 def saved(df: DataFrame) -> DataFrame:
@@ -40,12 +29,64 @@ def saved(df: DataFrame) -> DataFrame:
     asking for that here keeps the disk at one step's shuffles.
     """
     path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     gc.collect()
     df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tidy(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Give an operator a scope for its saved steps: its result is written, then all inner steps are deleted.
+
+    For operators whose result is small beside their steps. The result belongs to the scope around it, if there is one.
+    """
+
+    @wraps(operator)
+    def run(docs: DataFrame, *args, **options) -> DataFrame:
+        spark, inner = docs.sparkSession, []
+        _SCOPES.append(inner)
+        try:
+            out = operator(docs, *args, **options)
+            _SCOPES.pop()
+            result = saved(out)
+        except BaseException:
+            if _SCOPES and _SCOPES[-1] is inner:
+                _SCOPES.pop()
+            raise
+        finally:
+            for path in inner:
+                target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+                target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        return result
+
+    return run
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that the table does not have yet."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = f"_{name}"
+    return name
+
+
+def told_apart(docs: DataFrame) -> tuple[DataFrame, str] | None:
+    """None if every doc_id has one text. Else (docs, name): doc_id is a number of its own for each (doc_id, text), in
+    the order of doc_id, then of the text's digest; the column called ``name`` keeps the doc_id.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    marks = docs.select("doc_id", F.xxhash64(text).alias("h")).groupBy("doc_id").agg(F.min("h").alias("low"), F.max("h").alias("high"))
+    if not marks.where("low <> high").take(1):
+        return None
+    kept, digest = free_name(docs, "_doc_id"), free_name(docs, "_digest")
+    marked = docs.withColumnRenamed("doc_id", kept).withColumn(digest, F.md5(text))
+    pairs = saved(marked.select(F.col(kept).alias("a"), F.col(digest).alias("b")).distinct())
+    numbers = saved(number_rows(pairs, ["a", "b"], name="doc_id"))
+    on = marked[kept].eqNullSafe(numbers["a"]) & (marked[digest] == numbers["b"])
+    return marked.join(numbers, on).select("doc_id", kept, *[F.col(f"`{c}`") for c in docs.columns if c != "doc_id"]), kept
+
+
 def by_ids(df: DataFrame, ids: DataFrame, how: str, key: str = "doc_id", limit: int = BROADCAST_IDS) -> DataFrame:
     """Semi or anti join with a saved id table: broadcast only if its counted size allows it."""
     ids = ids.select(key)

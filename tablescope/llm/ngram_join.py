@@ -25,7 +25,8 @@ treatment: their sets are cut in blocks, and every pair of blocks is joined, exc
 inside one component. No pair list of a group is ever made, and no candidate is dropped.
 
 Defined results: null and empty texts have no set and are alone; equal sets are one class, so
-repeated texts cost one member; ties go to the smallest id; extra columns are ignored.
+repeated texts cost one member; ties go to the smallest id; rows with one doc_id and different texts are
+documents of their own; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablescope.llm.arrays import Words, grams, pieces, text_bytes
-from tablescope.llm.common import by_ids, clean_documents, components, runs, saved, ship
+from tablescope.llm.common import by_ids, clean_documents, components, runs, saved, ship, tidy, told_apart
 
 
 #: Shared keys that may be broadcast (about 40 bytes each).
@@ -242,7 +243,23 @@ def _by_key(rows: DataFrame, shared: DataFrame) -> DataFrame:
 
 
 def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80, block: int = 256) -> DataFrame:
-    """One row per document: doc_id, n_shingles, class_id (equal sets), component_id (links of percent / 100 or more)."""
+    """One row per document: doc_id, n_shingles, class_id (equal sets), component_id (links of percent / 100 or more).
+
+    Rows with one doc_id and different texts are documents of their own.
+    """
+    if (apart := told_apart(docs)) is None:
+        return _classes(docs, n, percent, block)
+    docs, kept = apart
+    found = _classes(docs, n, percent, block)
+    ids = saved(docs.select("doc_id", F.col(kept).alias("was")).distinct())
+    back = lambda name: ids.select(F.col("doc_id").alias(name), F.col("was").alias(f"{name}_was"))
+    for name in ("doc_id", "class_id", "component_id"):
+        found = found.join(back(name), name)
+    return found.select(F.col("doc_id_was").alias("doc_id"), "n_shingles", F.col("class_id_was").alias("class_id"), F.col("component_id_was").alias("component_id"))
+
+
+@tidy
+def _classes(docs: DataFrame, n: int, percent: int, block: int) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
     docs = clean_documents(docs)
@@ -333,7 +350,8 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80, block: int =
     mixed = F.lit("mixed")
     counts = large.groupBy("key", "known").agg(F.count("*").alias("c"))
     counts = saved(counts.withColumn("owner", F.when(F.col("c") > block, F.col("known").cast("string")).otherwise(mixed)))
-    per = counts.groupBy("key", "owner").agg(F.ceil(F.sum("c") * 2 / block).alias("blocks"))
+    # whole blocks, two to a tree: a set is copied once for each other block of its key
+    per = counts.groupBy("key", "owner").agg(F.ceil(F.sum("c") / block).alias("blocks"))
     at = large.join(counts, ["key", "known"]).join(per, ["key", "owner"]).withColumn("k", F.pmod(F.xxhash64("rep"), F.col("blocks")))
     block_list = per.select("key", "owner", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("k"))
     other = block_list.toDF("key", "owner2", "j")
@@ -352,7 +370,13 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80, block: int =
 
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The documents without all but the smallest id of each group; every column is kept."""
-    groups = jaccard_classes(docs, n, percent)
+    """The documents without all but the smallest id of each group; every column is kept.
+
+    Equal rows with the smallest id all stay. Of rows with one doc_id and different texts each is judged by its own text.
+    """
+    names = docs.columns
+    rows, kept = told_apart(docs) or (docs, "doc_id")
+    groups = _classes(rows, n, percent, 256)
     gone = saved(groups.where("doc_id <> component_id").select("doc_id").distinct())
-    return by_ids(docs, gone, "left_anti").select(*docs.columns)
+    stay = by_ids(rows, gone, "left_anti")
+    return (stay if kept == "doc_id" else stay.drop("doc_id").withColumnRenamed(kept, "doc_id")).select(*[F.col(f"`{c}`") for c in names])
