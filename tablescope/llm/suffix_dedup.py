@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablescope.llm.arrays import byte_grams, pieces, sliding, text_bytes
-from tablescope.llm.common import by_ids, clean_documents, runs, saved, ship
+from tablescope.llm.common import by_ids, clean_documents, free_name, runs, saved, ship, tidy, told_apart
 
 GRAM = 20
 #: Where a document meets an anchor, with a short print of the bytes before and after it.
@@ -132,6 +132,7 @@ def _merge(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(s[new].tolist(), e[np.concatenate([new[1:] - 1, [len(s) - 1]])].tolist(), strict=True))
 
 
+@tidy
 def repeated_spans(docs: DataFrame, length: int = 50) -> DataFrame:
     """One row per document with a repeat: doc_id, whole (equals an earlier text), starts and ends (bytes)."""
     spark = docs.sparkSession
@@ -321,7 +322,7 @@ def repeated_spans(docs: DataFrame, length: int = 50) -> DataFrame:
 
 def cut(docs: DataFrame, length: int, columns: str, make) -> DataFrame:
     """Map (doc_id, bytes, removed spans) of every document to a row by ``make`` (a list of column values)."""
-    spans = saved(repeated_spans(docs, length))
+    spans = repeated_spans(docs, length)
     docs = clean_documents(docs)
     kinds = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
     schema = pa.schema([(name, kinds[kind]) for name, kind in (c.split() for c in columns.split(", "))])
@@ -367,16 +368,32 @@ def text_row(doc: int, data: bytes, removed: list[tuple[int, int]]) -> tuple:
 
 
 def removed_report(docs: DataFrame, length: int = 50) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    return cut(docs, length, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", digest_row)
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256.
+
+    Rows with one doc_id and different texts are documents of their own, in the order of their texts' digests.
+    """
+    rows, kept = told_apart(docs) or (docs, None)
+    out = cut(rows, length, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", digest_row)
+    if kept is None:
+        return out
+    ids = saved(rows.select("doc_id", F.col(kept).cast("long").alias("was")).distinct())
+    return out.join(ids, "doc_id").drop("doc_id").withColumnRenamed("was", "doc_id").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def without_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
-    """The documents with later occurrences of repeats cut from their texts; ids must be unique."""
-    new = cut(docs, length, "doc_id long, new_text string, changed boolean", text_row).where("changed").select("doc_id", "new_text")
-    new = saved(new)
-    same = by_ids(docs, new, "left_anti").select(*docs.columns)
-    changed = by_ids(docs.drop("text"), new, "left_semi").join(new, "doc_id").withColumnRenamed("new_text", "text")
-    if "n_chars" in docs.columns:
+    """The documents with later occurrences of repeats cut from their texts; all other columns are kept.
+
+    Equal rows stay as many as they are; rows with one doc_id and different texts as in ``removed_report``. A column
+    ``n_chars`` is counted anew.
+    """
+    names = docs.columns
+    rows, kept = told_apart(docs) or (docs, None)
+    text = free_name(rows, "new_text")
+    new = cut(rows, length, "doc_id long, new_text string, changed boolean", text_row).where("changed").select("doc_id", F.col("new_text").alias(text))
+    new = saved(new.dropDuplicates(["doc_id"]))
+    same = by_ids(rows, new, "left_anti")
+    changed = by_ids(rows.drop("text"), new, "left_semi").join(new, "doc_id").withColumnRenamed(text, "text")
+    if "n_chars" in names:
         changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return same.unionByName(changed.select(*docs.columns))
+    out = same.select(*[F.col(f"`{c}`") for c in rows.columns]).unionByName(changed.select(*[F.col(f"`{c}`") for c in rows.columns]))
+    return (out if kept is None else out.drop("doc_id").withColumnRenamed(kept, "doc_id")).select(*[F.col(f"`{c}`") for c in names])
