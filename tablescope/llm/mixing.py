@@ -25,7 +25,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablescope.llm.common import saved
+from tablescope.llm.common import by_ids, free_name, saved, tidy
+from tablescope.operators.windows import group_index
 
 WEIGHTS = (5, 2, 1)
 BUDGET_PERCENT = 150
@@ -74,8 +75,10 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent
     return per.select("source", "source_size", "target")
 
 
+@tidy
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int = BUDGET_PERCENT, epochs: int = EPOCHS, seed: int = SEED) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, taken, first_finish (virtual time, null if not taken)."""
+    """One row per document: doc_id, source, size, copy (number among rows equal in these), source_size, target, taken,
+    first_finish (virtual time, null if not taken)."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
                        word_count(F.col("text")).alias("size"))
     # equal rows get a number, so that each is one document
@@ -101,13 +104,35 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int = BUDG
     same = ((F.col("b.doc_id").eqNullSafe(F.col("k.doc_id"))) & (F.col("b.copy") == F.col("k.copy")) & (F.col("b.size") == F.col("k.size"))
             & F.col("b.source").eqNullSafe(F.col("k.source")))
     return (b.join(k, same, "left").join(g, F.col("b.source").eqNullSafe(F.col("g.s")))
-            .select("b.doc_id", "b.source", "b.size", "g.source_size", "g.target",
+            .select("b.doc_id", "b.source", "b.size", "b.copy", "g.source_size", "g.target",
                     F.coalesce("k.taken", F.lit(0)).cast("long").alias("taken"), "k.first_finish"))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: the documents taken, in order of finish time, with ``size``, ``taken`` and ``epochs`` (copies in the mix)."""
-    plan = mix(docs, **options).where("taken > 0").select("doc_id", "size", "taken", "first_finish").dropDuplicates(["doc_id"])
-    names = [c for c in docs.columns if c not in ("size", "taken", "epochs", "first_finish")]
-    out = docs.select(*names).join(plan, "doc_id").withColumn("epochs", F.expr("cast(taken div size as int)"))
-    return out.repartitionByRange("first_finish", "doc_id").sortWithinPartitions("first_finish", "doc_id").select(*names, "size", "taken", "epochs")
+    """The mix itself: the documents taken, in order of finish time, with ``size``, ``taken`` and ``epochs`` (copies in the mix).
+
+    Rows with one doc_id are separate documents; those that also share source and size are numbered by their content.
+    Columns of the input that are called like the new ones come out as ``<name>_in``.
+    """
+    for name in ("size", "taken", "epochs"):
+        if name in docs.columns:
+            docs = docs.withColumnRenamed(name, f"{name}_in")
+    names = docs.columns
+    plan = mix(docs, **options)
+    # nulls are equal here, so the key is two hashes of 64 bits
+    key = lambda seed, size: F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), F.col("source").cast("string"), size)
+    k, k2, c = (free_name(docs, n) for n in ("_mix_key", "_mix_key2", "_mix_copy"))
+    wanted = plan.select(key(1, F.col("size")).alias(k), key(2, F.col("size")).alias(k2), F.col("copy").alias(c), "size", "taken", F.col("first_finish").alias("_finish"))
+    size = word_count(F.col("text"))
+    rows = docs.withColumn(k, key(1, size)).withColumn(k2, key(2, size))
+    several = saved(wanted.where(F.col(c) > 1).select(k).distinct())
+    wanted = wanted.where("taken > 0")
+    if several.take(1):
+        few = by_ids(rows, several, "left_anti", k).withColumn(c, F.lit(1).cast("long"))
+        many = group_index(by_ids(rows, several, "left_semi", k), [k], ["doc_id"], c)
+        rows = few.unionByName(many.withColumn(c, F.col(c).cast("long") + 1))
+    else:
+        rows = rows.withColumn(c, F.lit(1).cast("long"))
+    out = rows.join(wanted, [k, k2, c]).withColumn("epochs", F.expr("cast(taken div size as int)"))
+    return (out.repartitionByRange("_finish", "doc_id").sortWithinPartitions("_finish", "doc_id")
+            .select(*[F.col(f"`{n}`") for n in names], "size", "taken", "epochs"))
