@@ -1,7 +1,7 @@
 """Chat formatting: typed content parts, flattened in order into one marked text with a loss mask.
 
 A turn's content is a list of parts (kind, text, ref, tokens). A visitor (one expression per
-kind, in ``VISITORS``) turns each part into text: text parts are escaped, image, audio and
+kind, in ``VISITORS``) turns each part into text: neighbouring text parts are escaped as one text, image, audio and
 document parts become numbered placeholders, whose reference and expanded token count are
 recorded beside the text.
 
@@ -65,8 +65,14 @@ def flatten_parts(turns: DataFrame) -> DataFrame:
     is_file = lambda p: F.coalesce(p["kind"].isin(*VISITORS), F.lit(False))
 
     def visit(p: Column, i: Column) -> Column:
+        """A placeholder, or the whole run of text parts that begins here: a control string may lie across parts."""
         number = F.size(F.filter(F.slice(parts, 1, i), is_file)) + 1
-        out = F.when(~is_file(p), escape(F.coalesce(p["text"], F.lit(""))))
+        text = lambda q: F.coalesce(q["text"], F.lit(""))
+        goes_on = (i > 0) & ~is_file(F.get(parts, i - 1))
+        behind = F.slice(parts, i + 1, F.size(parts))
+        next_file = F.array_position(F.transform(behind, is_file), F.lit(True)).cast("int")
+        run = F.slice(behind, F.lit(1), F.when(next_file > 0, next_file - 1).otherwise(F.size(behind)))
+        out = F.when(~is_file(p), F.when(goes_on, F.lit("")).otherwise(escape(F.array_join(F.transform(run, text), ""))))
         for kind, visitor in VISITORS.items():
             out = out.when(p["kind"] == kind, visitor(p, number))
         return out
