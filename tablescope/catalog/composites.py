@@ -164,6 +164,33 @@ def r1_alerts(spark, d):
     return _naive(out.select("event_type", "window_start"))
 
 
+_PAST = (f"h as ({_HOUR.replace(R('avg(value)'), 'avg(value)').replace(R('stddev_samp(value)', 5), 'stddev_samp(value)')}), "
+         "e as (select event_type, date_trunc('hour', ts) as window_start, value from events), "
+         "p as (select h.event_type, h.window_start, count(e.value) as past_n, avg(e.value) as past_mean, stddev_samp(e.value) as past_std, "
+         "any_value(h.min) as low, any_value(h.max) as high from h left join e on e.event_type = h.event_type and e.window_start < h.window_start group by 1, 2), "
+         "a as (select * from p where past_n >= 30 and (high - past_mean > 2.5 * past_std or past_mean - low > 2.5 * past_std))")
+_ALERTS = f"select event_type, window_start, past_n, {R('past_mean', 5)} as past_mean, {R('past_std', 4)} as past_std from a"
+
+
+def _alerts(found):
+    return rounded(_naive(found.select("event_type", "window_start", "past_n", "past_mean", "past_std")), past_mean=5, past_std=4)
+
+
+@query("R1_history_alerts", f"with {_PAST} {_ALERTS}")
+def r1_history(spark, d):
+    return _alerts(live.history_alerts(live.window_stats(table(spark, d, "events"), "event_type", "ts", "value"), "event_type"))
+
+
+@query("R1_history_alerts_stream", f"with {_PAST} {_ALERTS} where window_start + interval 1 hour <= (select max(ts) - interval 10 minute from events)")
+def r1_history_stream(spark, d):
+    folder = scratch(spark, "alerts")
+    stats = live.window_stats(_stream(spark, d), "event_type", "ts", "value")
+    live.run_to_folder(stats, f"{folder}/stats", f"{folder}/stats_state").awaitTermination()
+    closed = spark.readStream.schema(stats.schema).parquet(f"{folder}/stats")
+    live.run_to_folder(live.history_alerts(closed, "event_type"), f"{folder}/data", f"{folder}/state").awaitTermination()
+    return _alerts(spark.read.parquet(f"{folder}/data"))
+
+
 _DAY = ("select user_id as key, cast(ts as date) as usage_date, count(*) as requests, least(count(*), 5) as allowed, "
         "greatest(5 - count(*), 0) as remaining from events group by 1, 2")
 

@@ -6,10 +6,11 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablescope.functions.exprs import col
+from tablescope.functions.exprs import col, row_hash
 from tablescope.options import Options
 from tablescope.plans.quantiles import quantile_row, quantiles
 from tablescope.plans.runtime import copy_hash, lookup_join, number_copies
@@ -17,6 +18,8 @@ from tablescope.plans.stats import long_aggregate
 
 
 SMALL_ROWS = 5_000_000
+#: Rows of one task of an iterative fit on a larger table.
+ROWS_PER_PART = 500_000
 
 
 @dataclass(frozen=True)
@@ -48,14 +51,15 @@ def complete_cases(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def spread(df: DataFrame, rows: int) -> DataFrame:
-    """Use all cores for iterative fits on small tables, which often are a single split.
+    """Rows dealt to tasks by their own hash, in hash order, for iterative fits.
 
-    Large tables keep their own splits; moving them would cost a shuffle for nothing.
+    The number of parts follows from the rows alone. So random starts, sums and fitted models are the same
+    whatever the number of cores, files or earlier shuffles.
     """
-    if rows > SMALL_ROWS:
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(max(1, min(cores, rows // 5_000)))
+    parts = max(1, min(rows // 5_000, 8)) if rows <= SMALL_ROWS else -(-rows // ROWS_PER_PART)
+    plain = [f.name for f in df.schema if not isinstance(f.dataType, VectorUDT)]
+    draw = df.withColumn("_draw", row_hash(df.select(*[col(c) for c in plain]), 17))
+    return draw.repartition(parts, "_draw").sortWithinPartitions("_draw").drop("_draw")
 
 
 def doubles(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablescope.functions.exprs import col
@@ -34,6 +35,60 @@ def sigma_alerts(stats: DataFrame, sigma: float = 2.5) -> DataFrame:
     return stats.where(high | low)
 
 
+HISTORY = "window_start timestamp, n long, mean double, std double, min double, max double, past_n long, past_mean double, past_std double"
+
+
+def with_history(stats: DataFrame, signal: str) -> DataFrame:
+    """Add ``past_n``, ``past_mean``, ``past_std``: the moments of all values of the signal before the window.
+
+    On a stream each signal keeps three numbers (count, mean, sum of squared distances), to which every
+    closed window is merged in time order; the watermark closes windows in that order, and the state survives restarts.
+    Spark takes this step on a stream of closed windows, such as the folder that ``run_to_folder`` wrote
+    them to, not straight behind the aggregate. A batch sums the same over the windows before. No value is kept, however long the history.
+    """
+    kind = stats.schema[signal].dataType.simpleString()
+    if stats.isStreaming:
+        def merge(key, frames, state):
+            n, mean, square = state.get if state.exists else (0, 0.0, 0.0)
+            rows = pd.concat(list(frames)).sort_values("window_start")
+            past = []
+            for m, c, s in zip(rows["n"], rows["mean"], rows["std"]):
+                past.append((n, mean if n else None, (square / (n - 1)) ** 0.5 if n > 1 else None))
+                if m:
+                    d, total = c - mean, n + m
+                    square += (0.0 if m < 2 else s * s * (m - 1)) + d * d * n * m / total
+                    mean, n = mean + d * m / total, total
+            state.update((int(n), float(mean), float(square)))
+            out = rows[["window_start", "n", "mean", "std", "min", "max"]].copy()
+            out.insert(0, signal, key[0])
+            for name, column in zip(("past_n", "past_mean", "past_std"), zip(*past)):
+                out[name] = column
+            yield out
+
+        return stats.drop("window_end").groupBy(col(signal)).applyInPandasWithState(
+            merge, f"`{signal}` {kind}, {HISTORY}", "n long, mean double, square double", "append", "NoTimeout")
+    before = Window.partitionBy(col(signal)).orderBy("window_start").rowsBetween(Window.unboundedPreceding, -1)
+    n = F.coalesce(F.sum("n").over(before), F.lit(0))
+    total = F.sum(F.col("n") * F.col("mean")).over(before)
+    # distances from the signal's overall mean, so that squares do not cancel
+    centre = F.sum(F.col("n") * F.col("mean")).over(Window.partitionBy(col(signal))) / F.sum("n").over(Window.partitionBy(col(signal)))
+    ready = stats.drop("window_end").withColumn("_c", centre)
+    inner = F.when(F.col("n") > 1, F.col("std") * F.col("std") * (F.col("n") - 1)).otherwise(0.0)
+    far = F.col("mean") - F.col("_c")
+    squares = F.sum(F.when(F.col("n") > 0, inner + F.col("n") * far * far)).over(before)
+    shift = F.try_divide(total, n) - F.col("_c")
+    ready = ready.withColumns({"past_n": n, "past_mean": F.try_divide(total, n), "_q": squares - n * shift * shift})
+    return ready.withColumn("past_std", F.when(F.col("past_n") > 1, F.sqrt(F.greatest(F.col("_q"), F.lit(0.0)) / (F.col("past_n") - 1)))).drop("_c", "_q")
+
+
+def history_alerts(stats: DataFrame, signal: str, sigma: float = 2.5, least: int = 30) -> DataFrame:
+    """Windows with a value beyond sigma standard deviations of the signal's earlier values, once there are ``least`` of them."""
+    known = with_history(stats, signal).where(F.col("past_n") >= least)
+    high = F.col("max") - F.col("past_mean") > sigma * F.col("past_std")
+    low = F.col("past_mean") - F.col("min") > sigma * F.col("past_std")
+    return known.where(high | low)
+
+
 def daily_quota(events: DataFrame, key: str, ts: str, limit: int = 5, late: str = "1 hour") -> DataFrame:
     """``(key, usage_date, requests, allowed, remaining)`` per key and day."""
     timed = events.withColumn("_t", col(ts).cast("timestamp"))

@@ -294,3 +294,64 @@ def test_one_decomposition_serves_all_views(spark, lineitem, tmp_path):
     best = [r for r in clusters.loadings(lineitem, names, 5, fitted=again).collect() if r["rank"] == 1]
     assert len(best) == 5 and all(r["loading"] > 0 for r in best)
     assert clusters.principal_coordinates(lineitem, names, ["l_orderkey"], fitted=again).count() == lineitem.count()
+
+
+# -------------------------------------------------------------- alerts on streams
+def test_alert_history_survives_restarts_and_late_rows(spark, tmp_path):
+    from tablescope.streaming import live
+
+    rng = np.random.default_rng(8)
+    rows = [(s, f"2024-01-{1 + i // 24:02d} {i % 24:02d}:{m:02d}:00", float(rng.normal()) + (40.0 if i == 70 and m == 5 and s == "a" else 0.0))
+            for i in range(96) for m in (5, 25, 45) for s in ("a", "b", None)]
+    df = spark.createDataFrame(rows, "signal string, ts string, value double").withColumn("ts", F.to_timestamp("ts"))
+    folder, schema = str(tmp_path), df.schema
+    key = lambda out: sorted((str(r["signal"]), str(r["window_start"]), r["past_n"], round(r["past_mean"] or 0, 9), round(r["past_std"] or 0, 9)) for r in out.collect())
+    parts = [df.where("ts < '2024-01-02 12:00:00'"), df.where("ts >= '2024-01-02 12:00:00' and ts < '2024-01-04'"), df.where("ts >= '2024-01-04'")]
+    for i, part in enumerate(parts):
+        part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        if i == 2:  # a row behind the watermark is dropped
+            spark.createDataFrame([("a", None, 1e9)], "signal string, ts timestamp, value double").withColumn("ts", F.expr("timestamp '2024-01-01 00:30:00'")) \
+                .write.mode("append").parquet(f"{folder}/in")
+        stats = live.window_stats(spark.readStream.schema(schema).parquet(f"{folder}/in"), "signal", "ts", "value")
+        live.run_to_folder(stats, f"{folder}/stats", f"{folder}/s1").awaitTermination()
+        closed = spark.readStream.schema(stats.schema).parquet(f"{folder}/stats")
+        live.run_to_folder(live.with_history(closed, "signal"), f"{folder}/out", f"{folder}/s2").awaitTermination()
+    got = spark.read.parquet(f"{folder}/out")
+    want = live.with_history(live.window_stats(df, "signal", "ts", "value"), "signal")
+    last = got.agg(F.max("window_start")).first()[0]
+    assert key(got) == key(want.where(F.col("window_start") <= F.lit(last))) and got.count() > 250
+    alerts = live.history_alerts(live.window_stats(df, "signal", "ts", "value"), "signal", 6.0)
+    assert [(r["signal"], str(r["window_start"])) for r in alerts.collect()] == [("a", "2024-01-03 22:00:00")]
+
+
+# ------------------------------------------------------------------ repeatable fits
+def test_fits_do_not_depend_on_the_layout(spark, lineitem):
+    names = ["l_quantity", "l_extendedprice", "l_discount"]
+    df = lineitem.select(*names)
+    centres = lambda d: np.array(clusters.clustering(d, names).model.clusterCenters())
+    a, b = centres(df.repartition(3)), centres(df.orderBy("l_discount").coalesce(1))
+    assert a.shape == b.shape and np.allclose(a, b)
+
+
+def test_planted_groups_are_found(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, float(5 * (i % 3)) + float(x), float(-7 * (i % 3)) + float(y)) for i, (x, y) in enumerate(rng.normal(scale=0.1, size=(300, 2)))]
+    df = spark.createDataFrame(rows, "i int, x double, y double")
+    found = clusters.clustering(df, ["x", "y"], ["i"])
+    assert found.model.summary.k == 3
+    groups = {}
+    for r in found.predictions.collect():
+        groups.setdefault(r["cluster"], set()).add(r["i"] % 3)
+    assert sorted(map(len, groups.values())) == [1, 1, 1]
+
+
+def test_binned_density_is_near_the_exact_one(spark):
+    from tablescope.operators import explore
+
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(float(x), float(x) ** 3) for x in rng.normal(size=3000)] + [(None, 1e4)], "v double, w double")
+    exact, binned = (sorted(map(tuple, explore.density(df, ["v", "w"], exact_values=k).collect())) for k in (10**6, 10))
+    assert [x[:2] for x in exact] == [x[:2] for x in binned] and len(exact) == 400
+    for column in ("v", "w"):
+        a, b = (np.array([x[3] for x in rows if x[0] == column]) for rows in (exact, binned))
+        assert np.abs(a - b).max() < 1e-5 * a.max()
