@@ -87,6 +87,7 @@ def clustering(df: DataFrame, columns: Sequence[str], key: Sequence[str] = (),
         "davies_bouldin": davies_bouldin(labelled, model.clusterCenters())}}
     name = next(iter(results))
     table = metrics_table(spark, results)
+    data.unpersist()  # what is returned is computed again from the same rows when it is read
     return Analysis("clustering", model_name=name, feature_columns=tuple(columns), metrics=table,
                     predictions=labelled.drop("features"),
                     recommendations=rules.clustering(table, name), model=model,

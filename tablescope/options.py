@@ -97,6 +97,7 @@ class Options:
     block_rows: int = 1_000_000      # rows per ordered-window block
     range_partitions: int = 20_000   # most partitions of one range sort (bounds are sampled on the driver)
     broadcast_rows: int = 1_000_000  # largest lookup table that is broadcast
+    max_classes: int = 1_000         # most classes of a target; counted before any list of them is made
     onehot_limit: int = 1_000        # widest one-hot expansion of one column
     broadcast_bytes: int = 64 << 20  # most bytes of a lookup table that is broadcast
     hot_rows: int = 1_000_000        # rows of one key from which it is spread over copies in a lookup

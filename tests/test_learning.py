@@ -355,3 +355,16 @@ def test_binned_density_is_near_the_exact_one(spark):
     for column in ("v", "w"):
         a, b = (np.array([x[3] for x in rows if x[0] == column]) for rows in (exact, binned))
         assert np.abs(a - b).max() < 1e-5 * a.max()
+
+
+def test_too_many_classes_fail_before_a_list_is_made(spark):
+    df = spark.range(10_000).select(F.col("id").cast("double").alias("x"), (F.col("id") % 7).cast("double").alias("y"), F.concat(F.lit("class"), "id").alias("target"))
+    found = supervised.classification(df, ["x", "y"], "target")
+    assert not found.success and "more than 1000 classes" in found.error
+    with pytest.raises(ValueError, match="classes"):
+        supervised.forest_importance(df, ["x", "y"], "target")
+
+
+def test_class_numbers_go_by_the_alphabet(spark):
+    df = spark.createDataFrame([("b",), ("a",), ("c",), ("a",), (None,)], "k string")
+    assert list(supervised.class_indexer(df, "k", 3).labels) == ["a", "b", "c"]
