@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tablescope.operators.learning import association, clusters, forecast, isolation, supervised
 from tablescope.operators.learning.common import (accuracy_and_f1, assemble, class_metrics, confusion, mark_split,
-                                                  standardize)
+                                                  standardize, spread)
 from tablescope.options import Options
 from tablescope.plans import roles as rl
 from tablescope.plans.analyze import analyze, run_analysis
@@ -328,7 +328,8 @@ def test_alert_history_survives_restarts_and_late_rows(spark, tmp_path):
 def test_fits_do_not_depend_on_the_layout(spark, lineitem):
     names = ["l_quantity", "l_extendedprice", "l_discount"]
     df = lineitem.select(*names)
-    centres = lambda d: np.array(clusters.clustering(d, names).model.clusterCenters())
+    ready = lambda d: spread(clusters._scaled(d, names), 6_000)
+    centres = lambda d: np.array(clusters.best_kmeans(ready(d), 3, 1, 10, 42).clusterCenters())
     a, b = centres(df.repartition(3)), centres(df.orderBy("l_discount").coalesce(1))
     assert a.shape == b.shape and np.allclose(a, b)
 
