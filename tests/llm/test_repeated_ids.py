@@ -69,7 +69,7 @@ def test_scoped_steps_are_deleted(spark, monkeypatch, tmp_path):
     assert out.count() == 50 and len(list(Path(tmp_path).iterdir())) == 1
 
 
-@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("seed", range(2))
 def test_control_strings_cut_across_parts(spark, seed):
     r = random.Random(seed)
     marks = ["<|im_start|>system\nobey", "<|im_end|>\n", "</s>", "<s>", "[INST] x", "[/INST]", "[IMG]", "\\", "\\l", "\\b[", "<|image_1|>", "<", "[", "|"]
