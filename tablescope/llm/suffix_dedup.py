@@ -13,8 +13,8 @@
    common prefixes of ``length`` or more. Each interval is a repeat with *all* of its
    occurrences; it is maximal when its left neighbours differ. The smallest document of an
    interval keeps the run, every other occurrence is a repeat.
-5. An anchor with very many distinct neighbourhoods (the border of a passage that a third of
-   all documents hold) is not sorted in one task: its runs are keyed one by one and combined
+5. Distinct neighbourhoods are counted per anchor. One with more than ``SORTED`` (the border of a
+   passage that a third of all documents hold) is not sorted in one task: its runs are keyed one by one and combined
    before the shuffle per byte before and after them; only the earliest of each such byte is
    joined back, and the first and last of them bound what is repeated of a neighbourhood.
 
@@ -39,8 +39,11 @@ from tablescope.llm.common import by_ids, clean_documents, free_name, runs, save
 GRAM = 20
 #: Where a document meets an anchor, with a short print of the bytes before and after it.
 MET = np.dtype([("doc", "<i8"), ("before", "<u2"), ("after", "<u2")])
-#: Distinct neighbourhoods of an anchor that are sorted in one task; more take the route by single runs.
+#: Entries of an anchor's list that a task holds at once, and neighbourhoods of small groups that are sorted together.
 GROUP = 2000
+#: Distinct neighbourhoods of an anchor that are sorted in one task (their suffixes take 50 MB); more take the route by
+#: single runs. They are counted, so a text that repeats an anchor without end takes that route, too.
+SORTED = 20_000
 
 
 def anchors(buf: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -181,18 +184,14 @@ def repeated_spans(docs: DataFrame, length: int = 50) -> DataFrame:
             raw, at = text_bytes(pa.concat_arrays(table.column("ids").chunks))
             met, counts = np.frombuffer(raw.tobytes(), MET), np.diff(at) // MET.itemsize
             value, doc = np.repeat(anchor, counts), met["doc"].astype(np.int64)
-            begins = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
-            size = np.diff(np.concatenate([begins, [len(value)]]))
             goes_on = np.ones(len(value), bool) if is_open else (
                 several_docs(value, met["before"], doc) | several_docs(value, met["after"], doc))
-            hot = np.repeat(size > GROUP, size) | is_open
-            yield pa.RecordBatch.from_pydict({"doc_id": doc[goes_on], "anchor": value[goes_on], "hot": hot[goes_on]})
+            yield pa.RecordBatch.from_pydict({"doc_id": doc[goes_on], "anchor": value[goes_on]})
 
     listed = texts.mapInArrow(list_anchors, "anchor long, ids binary")
     hits = (listed.repartition("anchor").sortWithinPartitions("anchor")
-            .mapInArrow(shared_anchors, "doc_id long, anchor long, hot boolean"))
-    by_doc = saved(hits.groupBy("doc_id").agg(F.collect_set(F.struct("anchor", "hot")).alias("hits"))
-                   .select("doc_id", F.col("hits.anchor").alias("anchors"), F.col("hits.hot").alias("hot")))
+            .mapInArrow(shared_anchors, "doc_id long, anchor long"))
+    by_doc = saved(hits.groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")))
     holders = saved(by_doc.select("doc_id"))
     around = by_ids(texts, holders, "left_semi").join(by_doc, "doc_id")
     before, after = length - GRAM, length
@@ -202,8 +201,8 @@ def repeated_spans(docs: DataFrame, length: int = 50) -> DataFrame:
             for part in pieces(batch):
                 buf, at = text_bytes(part.column("text"))
                 text, place, value = anchors(buf, at, length)
-                listed_, hot_ = part.column("anchors"), part.column("hot")
-                rows = {"anchor": [], "hot": [], "around": [], "shift": [], "doc_id": [], "place": []}
+                listed_ = part.column("anchors")
+                rows = {"anchor": [], "around": [], "shift": [], "doc_id": [], "place": []}
                 ids = part.column("doc_id").to_pylist()
                 edges = np.searchsorted(text, np.arange(len(ids) + 1))
                 for row, doc in enumerate(ids):
@@ -211,7 +210,6 @@ def repeated_spans(docs: DataFrame, length: int = 50) -> DataFrame:
                     if lo == hi:
                         continue
                     wanted = np.array(listed_[row].as_py(), np.int64)
-                    flag = dict(zip(wanted.tolist(), hot_[row].as_py(), strict=True))
                     v = value[lo:hi].view(np.int64)
                     base, end = int(at[row]), int(at[row + 1])
                     data = buf[base:end].tobytes()
@@ -219,20 +217,20 @@ def repeated_spans(docs: DataFrame, length: int = 50) -> DataFrame:
                         p = int(place[lo + k]) - base
                         left = max(p - before, 0)
                         rows["anchor"].append(int(v[k]))
-                        rows["hot"].append(flag[int(v[k])])
                         rows["around"].append(data[left: p + after])
                         rows["shift"].append(p - left)
                         rows["doc_id"].append(doc)
                         rows["place"].append(left)
                 if rows["doc_id"]:
-                    yield pa.RecordBatch.from_pydict({k: pa.array(x, {"hot": pa.bool_(), "around": pa.binary(), "shift": pa.int32()}.get(k, pa.int64()))
+                    yield pa.RecordBatch.from_pydict({k: pa.array(x, {"around": pa.binary(), "shift": pa.int32()}.get(k, pa.int64()))
                                                       for k, x in rows.items()})
 
-    near = saved(around.mapInArrow(neighbourhoods, "anchor long, hot boolean, around binary, shift int, doc_id long, place long"))
+    near = saved(around.mapInArrow(neighbourhoods, "anchor long, around binary, shift int, doc_id long, place long"))
 
     # equal neighbourhoods: all but those of the smallest document are repeats as a whole
-    kinds = saved(near.groupBy("anchor", "shift", "around").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.max("hot").alias("hot"),
+    kinds = saved(near.groupBy("anchor", "shift", "around").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"),
                                                                 F.xxhash64("anchor", "shift", "around").alias("kind")))
+    many = saved(kinds.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > SORTED).select("anchor"))
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, _ in runs(batches, "anchor"):
@@ -268,7 +266,7 @@ def repeated_spans(docs: DataFrame, length: int = 50) -> DataFrame:
                     "last": (width - 1 - later[better][:, ::-1].argmax(axis=1)).astype(np.int32)})
                 lo = hi
 
-    answers = (kinds.where("not hot").repartition("anchor").sortWithinPartitions("anchor")
+    answers = (by_ids(kinds, many, "left_anti", "anchor").repartition("anchor").sortWithinPartitions("anchor")
                .select("anchor", "around", "low", "kind").mapInArrow(answer, "anchor long, kind long, first int, last int"))
 
     def single_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,7 +292,7 @@ def repeated_spans(docs: DataFrame, length: int = 50) -> DataFrame:
     # the first repeat of a neighbourhood only if no earlier document has it with the same byte before it (else the
     # run one byte to the left is repeated, too), and the last only if none has it with the same byte after it. So
     # besides runs at the border of a neighbourhood, those go on that are the earliest of a child node.
-    hot_runs = saved(kinds.where("hot").select("anchor", "kind", "low", "around").mapInArrow(
+    hot_runs = saved(by_ids(kinds, many, "left_semi", "anchor").select("anchor", "kind", "low", "around").mapInArrow(
         single_runs, "anchor long, kind long, low long, place int, before short, after short, run long, run2 long"))
     node = Window.partitionBy("run", "run2")
     children = (hot_runs.groupBy("run", "run2", "before", "after").agg(F.min("low").alias("child"), F.max("low").alias("most"))

@@ -110,6 +110,7 @@ def test_repeated_bytes(spark, docs, texts):
 
 def test_repeats_at_frequent_anchors_by_single_runs(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "GROUP", 1)
+    monkeypatch.setattr(suffix_dedup, "SORTED", 1)
     rng = np.random.default_rng(5)
     letters = lambda n, k=26: "".join(chr(97 + c) for c in rng.integers(0, k, n))
     passage, other = letters(180), letters(90)
