@@ -47,7 +47,7 @@ STEP = 100_000
 COMMON = 1 << 17
 SPACE, END = 0x20, 0x0A
 #: Entries that a counting task holds before it hands them on.
-HELD = 2_000_000
+HELD = 4_000_000
 _END_TOKEN = np.array([0x1F2E3D4C5B6A7988], np.uint64).view(np.int64)[0]
 
 
@@ -410,10 +410,14 @@ def score(docs: DataFrame, train: str = "true") -> DataFrame:
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
 
-        def rows(kind: int, key: np.ndarray, doc_id: np.ndarray, sign: np.ndarray, times: np.ndarray, **more: np.ndarray) -> pa.RecordBatch:
-            none = {"known": np.zeros(len(key), np.int64), "logs": np.zeros(len(key)), "score": np.zeros(len(key))}
-            return pa.RecordBatch.from_pydict({"kind": np.full(len(key), kind, np.int32), "key": key, "doc_id": doc_id, "sign": sign,
-                                               "times": times.astype(np.int64), **(none | more)})
+        def listed(text: np.ndarray, key: np.ndarray, texts: int) -> pa.Array:
+            """Each text's distinct keys with their counts."""
+            order = np.lexsort((key, text))
+            text, key = text[order], key[order]
+            first = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (key[1:] != key[:-1])])[: len(text)])
+            times = np.diff(np.concatenate([first, [len(text)]])).astype(np.int32)
+            pairs = pa.StructArray.from_arrays([pa.array(key[first]), pa.array(times)], ["key", "times"])
+            return pa.ListArray.from_arrays(pa.array(np.searchsorted(text[first], np.arange(texts + 1)).astype(np.int32)), pairs)
 
         for batch in batches:
             for part in pieces(batch):
@@ -430,25 +434,28 @@ def score(docs: DataFrame, train: str = "true") -> DataFrame:
                 c = np.where(hit, m["counts"][k] if len(m["counts"]) else 0, 0)
                 q, has = looked_up(m["keys"], keys)
                 logs = np.where(has, m["logs"][q] if len(m["logs"]) else 0.0, 0.0)[where]
-                yield rows(-1, np.zeros(texts, np.int64), ids, sign, np.bincount(text, minlength=texts),
-                           known=np.bincount(text, hit, texts).astype(np.int64), logs=np.bincount(text, np.log10(c + 1.0), texts),
-                           score=np.add.reduceat(logs, begins[:-1]))
                 missing = ~has[where]
-                of = np.repeat(np.arange(texts), np.diff(begins))[missing]
-                for kind, t, w in ((0, text[~hit], token[~hit]), (1, of, keys[where[missing]])):
-                    order = np.lexsort((w, t))
-                    t, w = t[order], w[order]
-                    first = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (w[1:] != w[:-1])])[: len(t)])
-                    yield rows(kind, w[first], ids[t[first]], sign[t[first]], np.diff(np.concatenate([first, [len(t)]])))
-
-    measured = saved(docs.mapInArrow(measure, "kind int, key long, doc_id long, sign long, times long, known long, logs double, score double"))
-    scored = measured.where("kind < 0").select("doc_id", "sign", F.col("times").alias("n_tokens"), "known", "logs", "score")
-    values = tokens.select("kind", "key", F.log10(F.col("n") + 1.0).alias("value")).union(
-        found.where(step < least).select(F.lit(1), "key", F.col("log").alias("value")))
-    part = lambda kind, value: F.sum(F.when(F.col("kind") == kind, value))
-    seen = (measured.where("kind >= 0").select("kind", "key", "doc_id", "sign", "times").join(values, ["kind", "key"]).groupBy("doc_id", "sign")
-            .agg(part(0, F.col("times")).alias("more"), part(0, F.col("times") * F.col("value")).alias("more_logs"),
-                 part(1, F.col("times") * F.col("value")).alias("more_score")))
+                of = np.repeat(np.arange(texts), np.diff(begins))
+                yield pa.RecordBatch.from_pydict({
+                    "doc_id": ids, "sign": sign, "n_tokens": np.bincount(text, minlength=texts).astype(np.int64),
+                    "known": np.bincount(text, hit, texts).astype(np.int64), "logs": np.bincount(text, np.log10(c + 1.0), texts),
+                    "score": np.add.reduceat(logs, begins[:-1]),
+                    "words": listed(text[~hit], token[~hit], texts), "contexts": listed(of[missing], keys[where[missing]], texts)})
+
+    pairs = "array<struct<key:long,times:int>>"
+    measured = saved(docs.mapInArrow(measure, f"doc_id long, sign long, n_tokens long, known long, logs double, score double, words {pairs}, contexts {pairs}"))
+    scored = measured.drop("words", "contexts")
+
+    def joined(column: str, values: DataFrame, found: str, logs: str) -> DataFrame:
+        """Sums of a text over the keys that tasks don't hold."""
+        total = F.sum(F.col("times") * F.col("value"))
+        return (measured.select("doc_id", "sign", F.inline(column)).join(values, "key").groupBy("doc_id", "sign")
+                .agg(F.expr(found).alias("more"), (total if logs == "more_logs" else F.lit(0.0)).alias("more_logs"),
+                     (total if logs == "more_score" else F.lit(0.0)).alias("more_score")))
+
+    seen = (joined("words", tokens.select("key", F.log10(F.col("n") + 1.0).alias("value")), "sum(times)", "more_logs")
+            .union(joined("contexts", found.where(step < least).select("key", F.col("log").alias("value")), "0L", "more_score"))
+            .groupBy("doc_id", "sign").agg(*[F.sum(c).alias(c) for c in ("more", "more_logs", "more_score")]))
     equal = scored.groupBy("doc_id", "sign").agg(F.count("*").alias("rows"))
     more = seen.join(equal, ["doc_id", "sign"]).select("doc_id", "sign", (F.col("more") / F.col("rows")).cast("long").alias("more"),
                                                        (F.col("more_logs") / F.col("rows")).alias("more_logs"), (F.col("more_score") / F.col("rows")).alias("more_score"))
