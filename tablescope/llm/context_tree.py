@@ -137,7 +137,8 @@ def gather(docs: DataFrame, train: str = "true") -> DataFrame:
             yield from _table(*c.merged(), kind)
 
     rows = docs.select("text", F.coalesce(F.expr(train).cast("boolean"), F.lit(False)).alias("learns"))
-    return rows.mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    # tasks have combined their counts; combining them again before the exchange would find nothing
+    return rows.mapInArrow(run, "kind int, key long, n long").repartition("kind", "key").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
 def _log_gamma(x: np.ndarray) -> np.ndarray:
@@ -410,14 +411,12 @@ def score(docs: DataFrame, train: str = "true") -> DataFrame:
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
 
-        def listed(text: np.ndarray, key: np.ndarray, texts: int) -> pa.Array:
-            """Each text's distinct keys with their counts."""
-            order = np.lexsort((key, text))
-            text, key = text[order], key[order]
-            first = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (key[1:] != key[:-1])])[: len(text)])
-            times = np.diff(np.concatenate([first, [len(text)]])).astype(np.int32)
-            pairs = pa.StructArray.from_arrays([pa.array(key[first]), pa.array(times)], ["key", "times"])
-            return pa.ListArray.from_arrays(pa.array(np.searchsorted(text[first], np.arange(texts + 1)).astype(np.int32)), pairs)
+        def listed(text: np.ndarray, number: np.ndarray, keys: np.ndarray, texts: int) -> pa.Array:
+            """Each text's distinct keys with their counts; ``number`` is a place in ``keys``."""
+            pair, times = np.unique(text * np.int64(max(len(keys), 1)) + number, return_counts=True)
+            text, number = np.divmod(pair, max(len(keys), 1))
+            pairs = pa.StructArray.from_arrays([pa.array(keys[number]), pa.array(times.astype(np.int32))], ["key", "times"])
+            return pa.ListArray.from_arrays(pa.array(np.searchsorted(text, np.arange(texts + 1)).astype(np.int32)), pairs)
 
         for batch in batches:
             for part in pieces(batch):
@@ -435,12 +434,13 @@ def score(docs: DataFrame, train: str = "true") -> DataFrame:
                 q, has = looked_up(m["keys"], keys)
                 logs = np.where(has, m["logs"][q] if len(m["logs"]) else 0.0, 0.0)[where]
                 missing = ~has[where]
+                rare, word_number = np.unique(token[~hit], return_inverse=True)
                 of = np.repeat(np.arange(texts), np.diff(begins))
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": ids, "sign": sign, "n_tokens": np.bincount(text, minlength=texts).astype(np.int64),
                     "known": np.bincount(text, hit, texts).astype(np.int64), "logs": np.bincount(text, np.log10(c + 1.0), texts),
                     "score": np.add.reduceat(logs, begins[:-1]),
-                    "words": listed(text[~hit], token[~hit], texts), "contexts": listed(of[missing], keys[where[missing]], texts)})
+                    "words": listed(text[~hit], word_number, rare, texts), "contexts": listed(of[missing], where[missing], keys, texts)})
 
     pairs = "array<struct<key:long,times:int>>"
     measured = saved(docs.mapInArrow(measure, f"doc_id long, sign long, n_tokens long, known long, logs double, score double, words {pairs}, contexts {pairs}"))
