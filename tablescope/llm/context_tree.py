@@ -47,7 +47,7 @@ STEP = 100_000
 COMMON = 1 << 17
 SPACE, END = 0x20, 0x0A
 #: Entries that a counting task holds before it hands them on.
-HELD = 4_000_000
+HELD = 2_000_000
 _END_TOKEN = np.array([0x1F2E3D4C5B6A7988], np.uint64).view(np.int64)[0]
 
 
