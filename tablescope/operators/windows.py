@@ -114,8 +114,8 @@ def blocked(df: DataFrame, order: Sequence[str], by: Sequence[str] = (), halo: i
                     .withColumn(BLOCK, F.col("_t.b")).withColumn(OWN, F.col("_t.o")).drop("_t"))
 
 
-def block_window(by: Sequence[str] = ()):
-    return Window.partitionBy(BLOCK, *[col(b) for b in by]).orderBy(RN)
+def block_window(by: Sequence[str] = (), along=F.asc):
+    return Window.partitionBy(BLOCK, *[col(b) for b in by]).orderBy(along(RN))
 
 
 def own_rows(df: DataFrame, keep_number: str | None = None) -> DataFrame:
@@ -201,23 +201,22 @@ def fill_along(df: DataFrame, columns: Sequence[str], order: Sequence[str], by:
 
     Inside a block the nearest value is a window; across blocks a carry table (one row
     per block and series) supplies the nearest value of the blocks before or after.
+    A backward fill runs forward over the reversed order: a frame that begins at the row and
+    reaches to the end would be read anew for every row.
     """
     forward = direction == "forward"
-    pick = F.last if forward else F.first
+    along = F.asc if forward else F.desc
     ready = blocked(df, order, by, 0, opts)
-    win = block_window(by)
-    near = win.rowsBetween(Window.unboundedPreceding, 0) if forward \
-        else win.rowsBetween(0, Window.unboundedFollowing)
-    ready = ready.withColumns({f"_f{i}": pick(col(c), ignorenulls=True).over(near)
+    near = block_window(by, along).rowsBetween(Window.unboundedPreceding, 0)
+    ready = ready.withColumns({f"_f{i}": F.last(col(c), ignorenulls=True).over(near)
                                for i, c in enumerate(columns)})
     edge = F.max_by if forward else F.min_by
     carry = ready.groupBy(BLOCK, *[F.struct(col(b)).alias(f"_k{i}") for i, b in enumerate(by)]).agg(
         *[edge(col(c), F.when(col(c).isNotNull(), F.col(RN))).alias(f"_e{i}") for i, c in enumerate(columns)])
-    series = Window.partitionBy(*[f"_k{i}" for i in range(len(by))] or [F.lit(0)]).orderBy(BLOCK)
-    beyond = series.rowsBetween(Window.unboundedPreceding, -1) if forward \
-        else series.rowsBetween(1, Window.unboundedFollowing)
+    series = Window.partitionBy(*[f"_k{i}" for i in range(len(by))] or [F.lit(0)]).orderBy(along(BLOCK))
+    beyond = series.rowsBetween(Window.unboundedPreceding, -1)
     keys = [BLOCK, *[f"_k{i}" for i in range(len(by))]]
-    carry = carry.select(*keys, *[pick(F.col(f"_e{i}"), ignorenulls=True).over(beyond).alias(f"_e{i}")
+    carry = carry.select(*keys, *[F.last(F.col(f"_e{i}"), ignorenulls=True).over(beyond).alias(f"_e{i}")
                                   for i in range(len(columns))])
     ready = ready.withColumns({f"_k{i}": F.struct(col(b)) for i, b in enumerate(by)}) if by else ready
     out = lookup_join(ready, carry, keys, "left", opts)

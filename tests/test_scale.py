@@ -62,6 +62,11 @@ def test_blocks(skewed, by):
         same(fn(Options()), fn(SMALL), 6)
 
 
+def test_backward_fill_reads_no_frame_to_the_end(skewed):
+    for by in ([], ["g"]):
+        assert "unboundedfollowing" not in plan_of(windows.fill_along(skewed, ["v"], ["id"], by, "backward", SMALL)).lower()
+
+
 def test_blocks_never_smaller_than_halo(skewed):
     tiny = replace(Options(), block_rows=5)
     same(windows.moving_average(skewed, "v", ["id"], 50, (), Options()),
