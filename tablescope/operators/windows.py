@@ -54,14 +54,22 @@ def range_cells(df: DataFrame, order: Sequence[str], opts: Options = Options())
 
     Two levels. The first deals the rows to ranges of the order keys and the tie breakers, so that a
     key that a third of the rows share is spread over many ranges. The ranges are counted; those of more than twice
-    ``block_rows`` (the sample was unlucky, one row is repeated very often, or ``range_partitions`` were too few)
+    the wanted rows (the sample was unlucky or one row is repeated very often)
     are dealt out again among themselves, with equal rows told apart by a copy number. No cell depends on a single key.
+
+    Ranges are tasks, and their bounds come from a sample on the driver, so small blocks do not ask for as many
+    ranges: beyond ``few_ranges`` a range holds ``range_rows``, cut into blocks later by the row numbers.
     """
     names = df.columns
     rows = df.count()
-    parts = min(-(-rows // opts.block_rows), opts.range_partitions)
+
+    def wanted_parts(n: int) -> int:
+        return min(-(-n // opts.block_rows), max(-(-n // opts.range_rows), opts.few_ranges), opts.range_partitions)
+
+    parts = wanted_parts(rows)
+    most = 2 * max(opts.block_rows, -(-rows // parts))
     first = _in_order(df, parts, total_order(df, order))
-    heavy = first.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 2 * opts.block_rows)
+    heavy = first.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most)
     # at most range_partitions rows
     crowded = {r["_part"]: r["_n"] for r in heavy.collect()}
     if not crowded:
@@ -69,7 +77,7 @@ def range_cells(df: DataFrame, order: Sequence[str], opts: Options = Options())
     again = number_copies(first.where(F.col("_part").isin(list(crowded))).drop("_at"), "_copy")
     inner = again.select(*[col(c) for c in names])
     keys = [F.col("_part"), *total_order(inner, order), F.col("_copy")]
-    pieces = min(-(-sum(crowded.values()) // opts.block_rows), opts.range_partitions)
+    pieces = max(wanted_parts(sum(crowded.values())), -(-2 * sum(crowded.values()) // most))
     second = _in_order(again.withColumnRenamed("_part", "_cell"), pieces, [F.col("_cell"), *keys[1:]])
     second = second.withColumnRenamed("_part", "_sub").withColumnRenamed("_cell", "_part")
     # a piece may reach over two crowded cells: number it within each

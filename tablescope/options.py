@@ -95,6 +95,8 @@ class Options:
     buffer_rows: int = 50_000        # largest table whose percentiles skip the sketch
     exact_rows: int = 2_000_000      # largest group handed to one exact-percentile buffer
     block_rows: int = 1_000_000      # rows per ordered-window block
+    range_rows: int = 500_000        # rows per range of a range sort with more than few_ranges ranges
+    few_ranges: int = 64             # ranges of a range sort that may be smaller than that
     range_partitions: int = 20_000   # most partitions of one range sort (bounds are sampled on the driver)
     broadcast_rows: int = 1_000_000  # largest lookup table that is broadcast
     max_classes: int = 1_000         # most classes of a target; counted before any list of them is made

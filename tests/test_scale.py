@@ -145,6 +145,12 @@ def test_no_range_is_crowded(spark):
     assert sum(sizes) == df.count() and max(sizes) <= 2 * mean
 
 
+def test_small_blocks_do_not_ask_for_as_many_ranges(spark):
+    df, tiny = tied(spark), replace(SMALL, block_rows=5)
+    assert windows.range_cells(df, ["ts"], tiny).rdd.getNumPartitions() <= 2 * tiny.few_ranges < df.count() / tiny.block_rows
+    same(windows.number_rows(df, ["ts"], tiny), windows.number_rows(df, ["ts"], Options()))
+
+
 def test_tied_rows_are_numbered_alike(spark):
     df = tied(spark)
     key = lambda r: tuple((x is not None, x) for x in r)
