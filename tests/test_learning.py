@@ -369,3 +369,11 @@ def test_too_many_classes_fail_before_a_list_is_made(spark):
 def test_class_numbers_go_by_the_alphabet(spark):
     df = spark.createDataFrame([("b",), ("a",), ("c",), ("a",), (None,)], "k string")
     assert list(supervised.class_indexer(df, "k", 3).labels) == ["a", "b", "c"]
+
+
+def test_forests_keep_no_node_ids_and_large_fits_take_few_tasks(spark):
+    from tablescope.operators.learning.common import spread
+
+    for learner in [*supervised.regressors(100, 1.0).values(), *supervised.classifiers(100, 2).values()]:
+        assert not (learner.hasParam("cacheNodeIds") and learner.getOrDefault("cacheNodeIds"))
+    assert spread(spark.range(100).toDF("x"), 36_000_000).rdd.getNumPartitions() == 24
