@@ -40,6 +40,8 @@ from tablescope.llm.common import clean_documents, runs, saved, ship
 DEPTH = 6
 #: Depth at which the trees are cut into subtrees for the tasks.
 TOP = 3
+#: Nearest bytes by which counted keys are dealt to tasks.
+TOGETHER = 4
 #: Context keys (16 bytes each) that scoring tasks hold; the others are joined.
 HELD_KEYS = 1 << 20
 #: Context keys of a step of a solving task.
@@ -137,8 +139,10 @@ def gather(docs: DataFrame, train: str = "true") -> DataFrame:
             yield from _table(*c.merged(), kind)
 
     rows = docs.select("text", F.coalesce(F.expr(train).cast("boolean"), F.lit(False)).alias("learns"))
-    # tasks have combined their counts; combining them again before the exchange would find nothing
-    return rows.mapInArrow(run, "kind int, key long, n long").repartition("kind", "key").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    # tasks have combined their counts; combining them again before the exchange would find nothing. Tasks hand keys on in order,
+    # and those that share their nearest bytes stay together, so that neighbours differ in few bytes and rows are written small.
+    found = rows.mapInArrow(run, "kind int, key long, n long").withColumn("near", F.shiftright("key", 8 * (DEPTH - TOGETHER + 1)))
+    return found.repartition("near").groupBy("near", "kind", "key").agg(F.sum("n").alias("n")).drop("near")
 
 
 def _log_gamma(x: np.ndarray) -> np.ndarray:

@@ -152,3 +152,12 @@ def test_pipeline_stages(spark):
         now = cp.saved(stage(spark, now, SF))
         assert now.count() > 0.6 * docs.count()
         assert now.columns == columns if name != "mixing" else now.columns[: len(columns)] == columns
+
+
+def test_counts_travel_once_and_with_their_neighbours(spark):
+    docs = spark.createDataFrame([(i, f"word{i % 7} and word{i % 5}") for i in range(40)], "doc_id long, text string")
+    counts = context_tree.gather(docs)
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "hashpartitioning(near" in plan
+    found = {r["key"]: r["n"] for r in counts.where("kind = 1").collect()}
+    assert sum(found.values()) == sum(len(r["text"]) + 2 for r in docs.collect())
