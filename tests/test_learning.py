@@ -377,3 +377,23 @@ def test_forests_keep_no_node_ids_and_large_fits_take_few_tasks(spark):
     for learner in [*supervised.regressors(100, 1.0).values(), *supervised.classifiers(100, 2).values()]:
         assert not (learner.hasParam("cacheNodeIds") and learner.getOrDefault("cacheNodeIds"))
     assert spread(spark.range(100).toDF("x"), 36_000_000).rdd.getNumPartitions() == 24
+
+
+def test_fits_on_few_classes_deal_rows_evenly_and_keep_like_rows_together(spark, monkeypatch):
+    x = F.xxhash64("id") % 997 / 10.0
+    df = spark.range(40_000).select("id", x.alias("x"), (F.col("id") % 3).cast("double").alias("few"),
+                                    F.when(F.col("id") % 4 == 0, "b").otherwise("a").alias("kind"))
+    parts = []
+
+    def fit(self, data):
+        parts[:] = [[tuple(r["features"]) for r in p] for p in data.rdd.glom().collect()]
+        raise InterruptedError
+
+    for name, learner in [("RandomForestClassifier", lambda: supervised.forest_importance(df, ["x", "few"], "kind")),
+                          ("LogisticRegression", lambda: supervised.classification(df, ["x", "few"], "kind", ["id"], FAST)),
+                          ("LinearRegression", lambda: supervised.regression(df, ["few", "x"], "few", ["id"], FAST))]:
+        monkeypatch.setattr(getattr(supervised, name), "fit", fit)
+        with pytest.raises(InterruptedError):
+            learner()
+        assert len(parts) == 8 and max(map(len, parts)) < 1.5 * sum(map(len, parts)) / 8
+        assert all(p == sorted(p, key=lambda v: v[::-1]) for p in parts)
