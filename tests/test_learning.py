@@ -397,3 +397,37 @@ def test_fits_on_few_classes_deal_rows_evenly_and_keep_like_rows_together(spark,
             learner()
         assert len(parts) == 8 and max(map(len, parts)) < 1.5 * sum(map(len, parts)) / 8
         assert all(p == sorted(p, key=lambda v: v[::-1]) for p in parts)
+
+
+def test_large_forests_are_fitted_in_groups_of_trees(spark, rows, monkeypatch):
+    monkeypatch.setattr(supervised, "GROUPED_ROWS", 100)
+    monkeypatch.setattr(supervised, "TREES_PER_FIT", 3)
+    sizes = []
+    for learner in (supervised.RandomForestClassifier, supervised.RandomForestRegressor):
+        fit = learner.fit
+        monkeypatch.setattr(learner, "fit", lambda self, data, fit=fit: (sizes.append(self.getNumTrees()), fit(self, data))[1])
+    found = supervised.classification(rows, ["x", "z"], "kind", opts=FAST)
+    assert sizes == [3, 3, 2]
+    table = {(r["model"], r["metric"]): r["value"] for r in found.metrics.collect()}
+    assert len(table) == 6 and table[("Random Forest", "f1")] > 0.8
+    data = assemble(rows, ["x", "z"]).withColumn("label", (F.col("x") > 5).cast("double") + (F.col("z") > 5).cast("double"))
+    for learner in (supervised.classifiers(600, 3, FAST), supervised.regressors(600, 1.0, FAST)):
+        model = supervised.fit_model(learner["Random Forest"], data, 600)
+        assert len(model.trees) == 8 and len({t.toDebugString for t in model.trees}) > 4
+        assert sum(model.featureImportances.toArray()) == pytest.approx(1.0)
+        seen = model.transform(data)
+        assert seen.columns == [*data.columns, "prediction"]
+        for r in seen.limit(20).collect():
+            if hasattr(model.stages[0], "numClasses"):
+                votes = sum(part.predictRaw(r["features"]).toArray() for part in model.stages)
+                assert r["prediction"] == votes.argmax()
+            else:
+                assert r["prediction"] == pytest.approx(np.mean([t.predict(r["features"]) for t in model.trees]))
+
+
+def test_rows_of_tree_fits_are_sorted_by_computed_values(spark):
+    df = assemble(spark.range(20_000).select(F.col("id").cast("double").alias("x")), ["x"]).select("features")
+    plan = spread(df, 20_000, [0])._jdf.queryExecution().optimizedPlan().toString()
+    sort = next(line for line in plan.splitlines() if "Sort [" in line)
+    assert "UDF" not in sort and "_values" in sort
+    assert spread(df, 2_000_000, [0]).rdd.getNumPartitions() == 12 and spread(df, 2_000_000).rdd.getNumPartitions() == 8
