@@ -431,3 +431,31 @@ def test_rows_of_tree_fits_are_sorted_by_computed_values(spark):
     sort = next(line for line in plan.splitlines() if "Sort [" in line)
     assert "UDF" not in sort and "_values" in sort
     assert spread(df, 2_000_000, [0]).rdd.getNumPartitions() == 12 and spread(df, 2_000_000).rdd.getNumPartitions() == 8
+
+
+def test_trees_on_few_inputs_are_fitted_on_cells(spark, monkeypatch):
+    df = spark.range(30_000).select("id", (F.xxhash64("id") % 1000 / 10.0).alias("x"))
+    df = df.withColumn("y", F.sin(F.col("x") / 15) * 10 + F.xxhash64("id", F.lit(3)) % 100 / 100.0)
+    opts = replace(FAST, trees=6, boosting_rounds=12, forest_depth=6)
+    data = assemble(df, ["x"]).select("features", F.col("y").alias("label")).repartition(4, "features").cache()
+    learners = supervised.regressors(30_000, 1.0, opts)
+    assert supervised.on_cells(learners, data, 30_000, 1) == {}
+    monkeypatch.setattr(supervised, "CELL_ROWS", 10_000)
+    assert supervised.on_cells(learners, data, 30_000, 3) == {}
+    found = supervised.on_cells(learners, data, 30_000, 1)
+    assert set(found) == {"Random Forest", "Gradient Boosting"}
+    for name, model in found.items():
+        assert len(model.cuts[0]) == 31 and len(model.values) == 32
+        ours, theirs = (supervised.regression_metrics(m.transform(data)).first() for m in (model, learners[name].fit(data)))
+        assert ours["rmse"] == pytest.approx(theirs["rmse"], rel=0.03) and ours["r2"] > 0.9
+    # boosting on cells is boosting on rows whose features are their cells'
+    cells = assemble(supervised.with_cell(data, found["Random Forest"].cuts).drop("features").withColumnRenamed("cell", "x"), ["x"])
+    want = learners["Gradient Boosting"].fit(cells).transform(cells).groupBy("x").agg(F.first("prediction")).orderBy("x").collect()
+    assert [r[1] for r in want] == pytest.approx(found["Gradient Boosting"].values, rel=1e-6)
+    # the draws of all trees: the weight of all rows, nearly, and other sums for each tree
+    drawn = supervised.cell_draws(data, found["Random Forest"].cuts, 6, 42).groupBy("tree").agg(F.sum("weight").alias("w")).collect()
+    weights = {r["tree"]: r["w"] for r in drawn}
+    assert weights.pop(-1) == 30_000 and len(set(weights.values())) > 3
+    assert all(abs(w - 30_000) < 900 for w in weights.values())
+    whole = supervised.regression(df, ["x"], "y", ["id"], opts)
+    assert whole.predictions.count() == 6_000 and len(whole.metrics.collect()) == 12
