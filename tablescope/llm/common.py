@@ -34,7 +34,16 @@ def saved(df: DataFrame) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     gc.collect()
     df.sparkSession.sparkContext._jvm.System.gc()
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._saved_at = path
+    return out
+
+
+def discard(step: DataFrame) -> None:
+    """Delete a saved step that nothing reads any more."""
+    spark = step.sparkSession
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(step._saved_at)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def tidy(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:

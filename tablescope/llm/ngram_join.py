@@ -33,6 +33,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,13 +41,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablescope.llm.arrays import Words, grams, pieces, text_bytes
-from tablescope.llm.common import by_ids, clean_documents, components, runs, saved, ship, tidy, told_apart
+from tablescope.llm.common import by_ids, clean_documents, components, discard, runs, saved, ship, tidy, told_apart
 
 
 #: Shared keys that may be broadcast (about 40 bytes each).
 BROADCAST_KEYS = 500_000
 #: Families of up to this many blocks are completed as one, larger ones key by key.
 FAMILY_BLOCKS = 16
+#: Parts that keys are dealt to by their bits 1 to 3. More than PART_KEYS of them are grouped part by part, so that the
+#: disk holds the shuffled keys of one part at a time (of two, until Spark has deleted the first).
+KEY_PARTS, PART_KEYS = 8, 5_000_000
+#: Copies of sets that one pass over blocks may shuffle: so many times all sets, or so many grams if that is more.
+PASS_SETS, PASS_GRAMS = 2, 8_000_000
 
 
 def gram_sets(batch: pa.RecordBatch, n: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -242,6 +248,24 @@ def _by_key(rows: DataFrame, shared: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(shared) if shared.count() <= BROADCAST_KEYS else shared, "key")
 
 
+def _blocks_in_passes(placed: DataFrame, sets: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """The edges of all blocks in ``placed`` (block, rep, known). Blocks that copy many sets are joined in several passes.
+
+    A set has a copy in each block it is in, and a set of many open keys is in many blocks. The copies of a pass are
+    bounded by the sets there are, whatever their number, and each pass deletes its copies. ``sizes`` (rep, size) counts grams.
+    """
+    placed = saved(placed)
+    reps = placed.select("rep").distinct()
+    copied = placed.join(sizes, "rep").agg(F.sum("size")).first()[0] or 0
+    there = sizes.join(sets.select("rep"), "rep").agg(F.sum("size")).first()[0] or 0
+    passes = max(1, -(-copied // max(PASS_SETS * there, PASS_GRAMS)))
+    if passes > 1:
+        sets = saved(by_ids(sets, saved(reps), "left_semi", "rep"))
+    edges = [saved(_blocks(placed.where(F.pmod(F.xxhash64("block"), F.lit(passes)) == i).join(sets, "rep")
+                           .select("block", "rep", "known", "set"), percent)) for i in range(passes)]
+    return reduce(DataFrame.union, edges)
+
+
 def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80, block: int = 256) -> DataFrame:
     """One row per document: doc_id, n_shingles, class_id (equal sets), component_id (links of percent / 100 or more).
 
@@ -269,36 +293,61 @@ def _classes(docs: DataFrame, n: int, percent: int, block: int) -> DataFrame:
         for batch in batches:
             for part in pieces(batch):
                 ids = part.column("doc_id").to_pylist()
-                size, digest, keys, needs = [0] * len(ids), [None] * len(ids), [None] * len(ids), [None] * len(ids)
+                size, digest, needs, count = [0] * len(ids), [None] * len(ids), [None] * len(ids), [0] * len(ids)
+                keys = [[None] * len(ids) for _ in range(KEY_PARTS)]
                 for row, s in gram_sets(part, n):
                     size[row], digest[row] = len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest()
                     found_, needs[row] = range_keys(s, ranges)
-                    keys[row] = found_.tobytes()
+                    count[row] = len(found_)
+                    deal = found_ >> 1 & KEY_PARTS - 1
+                    for k in range(KEY_PARTS):
+                        keys[k][row] = found_[deal == k].tobytes()
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "size": pa.array(size, pa.int64()),
-                                                  "node": pa.array(digest, pa.binary()), "keys": pa.array(keys, pa.binary()),
-                                                  "needs": pa.array(needs, pa.list_(pa.int64()))})
-
-    found = saved(docs.mapInArrow(keys_of, "doc_id long, size long, node binary, keys binary, needs array<long>"))
+                                                  "node": pa.array(digest, pa.binary()), "needs": pa.array(needs, pa.list_(pa.int64())),
+                                                  "count": pa.array(count, pa.int64()),
+                                                  **{f"keys{k}": pa.array(keys[k], pa.binary()) for k in range(KEY_PARTS)}})
+
+    columns = [f"keys{k}" for k in range(KEY_PARTS)]
+    with_keys = saved(docs.mapInArrow(keys_of, "doc_id long, size long, node binary, needs array<long>, count long, "
+                                      + ", ".join(f"{c} binary" for c in columns)))
+    found = saved(with_keys.select("doc_id", "size", "node", "needs"))
     classes = saved(found.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep")))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
                 part = batch.slice(lo, 1000)
-                keys = [np.frombuffer(k, np.int64) for k in part.column("keys").to_pylist()]
-                yield pa.RecordBatch.from_pydict({
-                    "key": np.concatenate(keys), "rep": np.repeat(part.column("rep").to_numpy(), [len(k) for k in keys])})
+                reps = part.column("rep").to_numpy()
+                for column in part.columns[1:]:
+                    keys = [np.frombuffer(k, np.int64) for k in column.to_pylist()]
+                    yield pa.RecordBatch.from_pydict({"key": np.concatenate(keys), "rep": np.repeat(reps, [len(k) for k in keys])})
 
     copies = saved(found.where("node is not null").join(classes, "node").where("doc_id <> rep").select("doc_id"))
-    one_each = by_ids(found.where("node is not null").select("doc_id", "keys"), copies, "left_anti").select(F.col("doc_id").alias("rep"), "keys")
-    keyed = one_each.mapInArrow(spread, "key long, rep long")
-    shared = (keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("pivot"), F.sum(F.hash("rep").cast("long")).alias("s"),
-                                       F.bit_xor(F.xxhash64("rep")).alias("x"), F.max("rep").alias("top")).where("n > 1"))
+    one_each = by_ids(with_keys.where("node is not null").select("doc_id", "count", *columns), copies, "left_anti")
+
+    def keyed(parts: list[str]) -> DataFrame:
+        return one_each.select(F.col("doc_id").alias("rep"), *parts).mapInArrow(spread, "key long, rep long")
+
+    def in_part(rows: DataFrame, c: str) -> DataFrame:
+        return rows.where(F.col("key").bitwiseAND(2 * KEY_PARTS - 2) == 2 * columns.index(c))
+
+    def several(rows: DataFrame) -> DataFrame:
+        """Keys of two sets or more, with what tells their members."""
+        return rows.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("pivot"), F.sum(F.hash("rep").cast("long")).alias("s"),
+                                       F.bit_xor(F.xxhash64("rep")).alias("x"), F.max("rep").alias("top")).where("n > 1")
+
+    many = (one_each.agg(F.sum("count")).first()[0] or 0) > PART_KEYS
+    shared = reduce(DataFrame.union, [saved(several(keyed([c]))) for c in columns]) if many else several(keyed(columns))
     # keys with the same members say the same: one of them stays, with their number as its weight
     side = F.col("key").bitwiseAND(1).cast("int").alias("side")
     shared = saved(shared.groupBy("n", "pivot", "s", "x", "top", side).agg(F.min("key").alias("key"), F.count("*").alias("weight"))
                    .select("key", "weight"))
-    met = saved(_by_key(keyed, shared).select("key", side, "weight", "rep"))
+    sided = lambda rows: saved(rows.select("key", side, "weight", "rep"))
+    if many and shared.count() > BROADCAST_KEYS:
+        met = reduce(DataFrame.union, [sided(_by_key(keyed([c]), in_part(shared, c))) for c in columns])
+    else:
+        met = sided(_by_key(keyed(columns), shared))
+    discard(with_keys)
     # sets that share too few of their ranges for a link by the keys of a class have none there
     needs = found.where("node is not null").select(F.col("doc_id").alias("rep"), "needs")
     enough = (met.groupBy("rep", "side").agg(F.sum("weight").alias("w")).join(needs, "rep").where("w >= needs[side]")
@@ -360,7 +409,7 @@ def _classes(docs: DataFrame, n: int, percent: int, block: int) -> DataFrame:
     sides = pairs.select("key", "owner", "k", name.alias("block")).union(
         pairs.where("owner <> owner2 or k <> j").select("key", F.col("owner2"), F.col("j"), name.alias("block")))
     placed = small.union(at.join(sides, ["key", "owner", "k"]).select("block", "rep", "known"))
-    more = saved(_blocks(placed.join(sets, "rep").select("block", "rep", "known", "set"), percent))
+    more = _blocks_in_passes(placed, sets, found.select(F.col("doc_id").alias("rep"), "size"), percent)
     final = components(links.union(more)) if more.take(1) else found_parts
 
     out = (found.select("doc_id", F.col("size").alias("n_shingles"), "node").join(classes, "node", "left")

@@ -71,6 +71,41 @@ def test_jaccard_large_family_in_blocks(spark):
     assert got == linked(rows, 3, 80)
 
 
+def test_jaccard_keys_are_shuffled_in_parts(spark, docs, texts, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BROADCAST_KEYS", 0)
+    monkeypatch.setattr(ngram_join, "PART_KEYS", 100, raising=False)
+    by_key, keyed = ngram_join._by_key, []
+
+    def counted(rows, shared):
+        keyed.append(rows.count())
+        return by_key(rows, shared)
+
+    monkeypatch.setattr(ngram_join, "_by_key", counted)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_classes(docs, 3, 90).collect()}
+    assert got == linked(texts, 3, 90)
+    *parts, left = keyed  # eight parts of all keys, then the shared ones
+    assert len(parts) == 8 and left < sum(parts) and max(parts) < sum(parts) / 4
+
+
+def test_jaccard_copies_are_shuffled_in_passes(spark, monkeypatch):
+    sets = {k: np.unique(np.arange(k % 6, 100 + k % 6, dtype=np.uint64) * np.uint64(2**40 + k // 6 * 977)) for k in range(24)}
+    held = spark.createDataFrame([(k, bytearray(s.tobytes())) for k, s in sets.items()], "rep long, set binary")
+    sizes = spark.createDataFrame([(k, len(s)) for k, s in sets.items()], "rep long, size long")
+    placed = spark.createDataFrame([(b, k, k) for b in range(12) for k in sets if b % 4 == k // 6 or k % 2], "block long, rep long, known long")
+    monkeypatch.setattr(ngram_join, "PASS_GRAMS", 1)
+    blocks, copies = ngram_join._blocks, []
+
+    def counted(rows, percent):
+        copies.append(rows.count())
+        return blocks(rows, percent)
+
+    monkeypatch.setattr(ngram_join, "_blocks", counted)
+    edges = ngram_join._blocks_in_passes(placed, held, sizes, 80).distinct().collect()
+    # a block of all sets of a group links them to the first, one of the odd ones to the second
+    assert {(r.a, r.b) for r in edges} == {(k, k // 6 * 6) for k in sets if k % 6} | {(k, k // 6 * 6 + 1) for k in sets if k % 6 in (3, 5)}
+    assert len(copies) > 2 and sum(copies) == placed.count() and max(copies) < placed.count() / 2
+
+
 def test_components_by_rounds_equal_one_task(spark, monkeypatch):
     edges = spark.createDataFrame([(1, 2), (3, 2), (3, 4), (9, 8), (8, 7), (7, 20), (30, 31)], "a long, b long")
     small = sorted(map(tuple, common.components(edges).distinct().collect()))
