@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tablescope.operators.learning import association, clusters, forecast, isolation, supervised
+from tablescope.operators.learning import association, binned, clusters, forecast, isolation, supervised
 from tablescope.operators.learning.common import (accuracy_and_f1, assemble, class_metrics, confusion, mark_split,
                                                   standardize, spread)
 from tablescope.options import Options
@@ -459,3 +459,64 @@ def test_trees_on_few_inputs_are_fitted_on_cells(spark, monkeypatch):
     assert all(abs(w - 30_000) < 900 for w in weights.values())
     whole = supervised.regression(df, ["x"], "y", ["id"], opts)
     assert whole.predictions.count() == 6_000 and len(whole.metrics.collect()) == 12
+
+
+def _grid(spark, n=4_000):
+    """Two inputs of 16 values, a noisy label and a class of three; every value is as frequent as the others."""
+    df = spark.range(0, n, 1, 3).select((F.col("id") % 16).cast("double").alias("a"), F.floor(F.col("id") / 16 % 16).cast("double").alias("b"), "id")
+    df = df.withColumn("y", F.col("a") * F.col("b") + F.pmod(F.xxhash64("id"), F.lit(40))).withColumn(
+        "kind", F.pmod(F.floor(F.col("a") / 5) + F.floor(F.col("b") / 9) + F.when(F.col("id") % 7 == 0, 1).otherwise(0), F.lit(3)).cast("double"))
+    return assemble(df, ["a", "b"]).persist()
+
+
+def test_trees_on_binned_rows_equal_spark_trees(spark, monkeypatch):
+    from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier
+    from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor
+
+    monkeypatch.setattr(supervised, "CELL_ROWS", 1_000)
+    monkeypatch.setattr(binned, "BLOCK_ROWS", 300)
+    monkeypatch.setattr(binned, "SUM_BYTES", 1)  # a job for each tree
+    monkeypatch.setattr(binned, "DRAWS", np.ones(65_536, np.uint8))
+    monkeypatch.setattr(binned, "MOST_COUNTS", 0)
+    monkeypatch.setattr(binned, "per_node", lambda width, trees, classes: width)
+    base = _grid(spark)
+    seen = lambda model, data: [r[0] for r in model.transform(data).orderBy("id").select("prediction").collect()]
+    data = base.withColumn("label", F.col("y"))
+    learners = {"f": supervised.RandomForestRegressor(numTrees=2, maxDepth=5, seed=3), "g": GBTRegressor(maxIter=6, maxDepth=3, stepSize=0.1)}
+    found = supervised.on_bins(learners, data, 4_000, 2)
+    for name, model in (("f", DecisionTreeRegressor(maxDepth=5).fit(data)), ("g", learners["g"].fit(data))):
+        assert seen(found[name], data) == pytest.approx(seen(model, data), abs=1e-6)
+        assert list(found[name].featureImportances) == pytest.approx(list(model.featureImportances), abs=1e-6)
+    data = base.withColumn("label", F.col("kind"))
+    forest = supervised.on_bins({"f": supervised.RandomForestClassifier(numTrees=2, maxDepth=5, seed=3)}, data, 4_000, 2, 3)["f"]
+    model = DecisionTreeClassifier(maxDepth=5).fit(data)
+    assert seen(forest, data) == seen(model, data)
+    assert list(forest.featureImportances) == pytest.approx(list(model.featureImportances), abs=1e-6)
+    data = base.withColumn("label", (F.col("kind") > 0).cast("double"))
+    boosted = GBTClassifier(maxIter=6, maxDepth=3, stepSize=0.1)
+    found = supervised.on_bins({"g": boosted, "l": supervised.LogisticRegression()}, data, 4_000, 2, 2)
+    assert set(found) == {"g"} and seen(found["g"], data) == seen(boosted.fit(data), data)
+    assert supervised.on_bins({"g": boosted}, data, 999, 2, 2) == {}
+
+
+def test_forest_on_counted_rows(spark, lineitem, monkeypatch):
+    monkeypatch.setattr(supervised, "CELL_ROWS", 1_000)
+    data = _grid(spark).withColumn("label", F.col("kind"))
+    cuts = supervised.bin_cuts(data, 2)
+    held = binned.pack_counts(data, cuts, 3).collect()
+    times = np.concatenate([np.frombuffer(r["times"]) for r in held])
+    assert times.sum() == 4_000 and len(times) <= 16 * 16 * 3
+    forest = supervised.on_bins({"f": supervised.RandomForestClassifier(numTrees=20, maxDepth=6, seed=3)}, data, 4_000, 2, 3)["f"]
+    roots = [t.stats[0].sum() for t in forest.trees]
+    assert len(set(roots)) > 5 and np.mean(roots) == pytest.approx(4_000, rel=0.02)  # Poisson draws of all rows
+    spark_forest = supervised.RandomForestClassifier(numTrees=20, maxDepth=6, seed=3).fit(data)
+    hits = [m.transform(data).where("prediction = label").count() for m in (forest, spark_forest)]
+    assert hits[0] == pytest.approx(hits[1], rel=0.03)
+
+    def layout(*_):
+        raise AssertionError("counted rows were laid out")
+
+    monkeypatch.setattr(supervised, "spread", layout)
+    inputs = ["l_discount", "l_tax", "l_linenumber"]
+    table = supervised.forest_importance(lineitem, inputs, "l_returnflag").collect()
+    assert [r["feature"] for r in table] == inputs and sum(r["importance"] for r in table) == pytest.approx(1.0)
